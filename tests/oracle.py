@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from decimal import Decimal
 
 import duckdb
 
-from millrace.tables import TABLE_NAMES
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from millrace.tables import TABLE_NAMES  # noqa: E402
 
 
 def connect(folder: str):
@@ -63,9 +66,6 @@ def differences(spark, con, folder, build, sql):
 
 
 def main(argv):
-    import os
-
-    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from __spark_entry__ import oracle_sql, queries
     from millrace.session import local_session
 

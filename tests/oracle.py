@@ -45,6 +45,18 @@ def _sorted(columns, rows):
     return [columns[i] for i in order], sorted(plain, key=lambda r: [(v is None, type(v).__name__, repr(v) if not isinstance(v, (int, float)) or isinstance(v, bool) else v) for v in r])
 
 
+SAME_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+}
+
+
+def _sql_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return _sql_type(spark_type[6:-1]) + "[]"
+    return SAME_TYPES.get(spark_type, spark_type)
+
+
 def differences(spark, con, folder, build, sql):
     """An empty list when the query and its SQL agree, else what differs."""
     df = build(spark, folder)
@@ -52,11 +64,16 @@ def differences(spark, con, folder, build, sql):
     cursor = con.execute(sql)
     want_cols, want = _sorted([d[0] for d in cursor.description], cursor.fetchall())
     notes = []
+    got_types = {c: _sql_type(t) for c, t in df.dtypes}
+    want_types = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    wrong = {c: (t, want_types.get(c)) for c, t in got_types.items() if want_types.get(c) != t}
+    if wrong:
+        notes.append(f"types {wrong}")
     if got_cols != want_cols:
         notes.append(f"columns {got_cols} != {want_cols}")
     if len(got) != len(want):
         notes.append(f"rows {len(got)} != {len(want)}")
-    if not notes:
+    if len(got) == len(want) and got_cols == want_cols:
         bad = [(g, w) for g, w in zip(got, want) if g != w or [type(a) for a in g] != [type(b) for b in w]]
         if bad:
             notes.append(f"{len(bad)} of {len(got)} rows differ, first: spark={bad[0][0]} sql={bad[0][1]}"[:900])

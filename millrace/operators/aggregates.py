@@ -126,20 +126,20 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per numeric column: nulls, unique values (null counts as one), min, max,
     mean, standard deviation and quartiles.
 
-    All of it comes from the counts of (column, value), one exchange in all.
+    Uniques and quartiles share the counts of (column, value); mean and
+    deviation are a map-side aggregate of the scan.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    n = F.sum(F.when(F.col("value").isNotNull(), F.col("_n")))
-    mean = F.sum(F.col("value") * F.col("_n")) / n
-    square = F.sum(F.col("value") * F.col("value") * F.col("_n"))
-    stats = counts.groupBy("column_name").agg(
+    uniques = counts.groupBy("column_name").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0)).alias("n_null"),
         F.count(F.lit(1)).alias("n_unique"),
-        F.round(mean, 6).alias("mean"),
-        F.round(F.sqrt(F.try_divide(square - mean * mean * n, n - 1)), 6).alias("stddev"),
     )
-    return stats.join(weighted_quantiles(counts, ["column_name"], "value", "_n", BOX), "column_name")
+    moments = long.groupBy("column_name").agg(
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("stddev")
+    )
+    quartiles = weighted_quantiles(counts, ["column_name"], "value", "_n", BOX)
+    return uniques.join(moments, "column_name").join(quartiles, "column_name")
 
 
 def label_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

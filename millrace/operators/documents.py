@@ -109,7 +109,7 @@ def sentence_scores(pieces: DataFrame, keys: Sequence[str], identifier: str, tex
     scored = (
         words.join(weights.select(identifier, "term", "tf_idf"), [identifier, "term"])
         .groupBy(*keys, "sentence")
-        .agg(F.round(F.sum("tf_idf"), 6).alias("score"))
+        .agg(F.round(F.sum(F.col("tf_idf").cast("decimal(18,9)")), 6).cast("double").alias("score"))
     )
     return sentences.join(scored, [*keys, "sentence"])
 

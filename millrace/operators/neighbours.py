@@ -6,8 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from millrace.operators.ranking import hash_order, top_k
 
@@ -144,28 +144,52 @@ def regress(found: DataFrame, targets: DataFrame) -> DataFrame:
 # --- k-means -------------------------------------------------------------------
 
 
-def squared_distance(vector: Column, centre: Sequence[float]) -> Column:
-    point = F.array(*[F.lit(float(x)) for x in centre])
-    return F.aggregate(F.zip_with(vector, point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+def _closest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of every vector (ties to the lower one)."""
+    return np.stack([((vectors - c) ** 2).sum(1) for c in centres], axis=1).argmin(axis=1)
 
 
 def assigned(df: DataFrame, vector: str, centres: Sequence[Sequence[float]]) -> DataFrame:
-    """Every row with its nearest centre (ties to the lower number)."""
-    options = F.array(*[F.struct(squared_distance(F.col(vector), c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
-    return df.withColumn("_best", F.array_min(options)).withColumn("cluster", F.col("_best.i")).drop("_best")
+    """Every row with its nearest centre. The centres (k x dimensions numbers)
+    travel with the task; rows are worked on in Arrow batches."""
+    points = np.array(centres, dtype=float)
+    schema = StructType(df.schema.fields + [StructField("cluster", IntegerType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                yield batch.assign(cluster=_closest(np.stack(batch[vector].to_numpy()), points).astype("int32"))
+
+    return df.mapInPandas(run, schema)
 
 
 def updated_centres(df: DataFrame, vector: str, centres: Sequence[Sequence[float]]) -> list[list[float]]:
     """One step: the mean of every cluster. An empty cluster keeps its centre.
 
-    Sums are combined in the tasks; clusters x dimensions numbers come back.
+    A task sends one count and one sum vector per cluster; clusters x
+    dimensions numbers come back to the driver.
     """
-    dimension = len(centres[0])
-    means = assigned(df.select(vector), vector, centres).groupBy("cluster").agg(
-        F.array(*[F.avg(F.col(vector)[i]) for i in range(dimension)]).alias("centre")
+    points = np.array(centres, dtype=float)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, sums = np.zeros(len(points), dtype="int64"), np.zeros_like(points)
+        for batch in batches:
+            if batch.empty:
+                continue
+            vectors = np.stack(batch[vector].to_numpy())
+            nearest_centre = _closest(vectors, points)
+            counts += np.bincount(nearest_centre, minlength=len(points))
+            np.add.at(sums, nearest_centre, vectors)
+        yield pd.DataFrame({"cluster": np.arange(len(points), dtype="int32"), "n": counts, "total": list(sums)})
+
+    parts = df.select(vector).mapInPandas(partial, "cluster int, n long, total array<double>").filter("n > 0")
+    totals = parts.select("cluster", "n", F.posexplode("total").alias("position", "x")).groupBy("cluster", "position").agg(
+        (F.sum("x") / F.sum("n")).alias("mean")
     )
-    moved = {row.cluster: list(row.centre) for row in means.collect()}
-    return [moved.get(i, list(c)) for i, c in enumerate(centres)]
+    moved = points.copy()
+    for row in totals.collect():
+        moved[row.cluster, row.position] = row["mean"]
+    return moved.tolist()
 
 
 def initial_centres(df: DataFrame, identifier: str, vector: str, k: int, seed: str) -> list[list[float]]:

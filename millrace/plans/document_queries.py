@@ -142,7 +142,7 @@ def scored_sql(pieces: str, keys: str) -> str:
   SELECT * FROM (SELECT {keys}, (i - 1)::INTEGER AS sentence, trim(s[i]) AS text FROM (
     SELECT {keys}, regexp_split_to_array(text, '[.!?\\n]+') AS s, unnest(range(1, len(regexp_split_to_array(text, '[.!?\\n]+')) + 1)) AS i FROM pieces)) WHERE text <> ''),
 scored AS (
-  SELECT {keys}, sentence, any_value(text) AS text, round(sum(tf_idf), 6) AS score
+  SELECT {keys}, sentence, any_value(text) AS text, round(sum(tf_idf::DECIMAL(18,9)), 6)::DOUBLE AS score
   FROM (SELECT {keys}, sentence, text, unnest({tokens_sql('text')}) AS term FROM sentences) JOIN weights USING (doc_id, term) GROUP BY {keys}, sentence)"""
 
 
@@ -273,6 +273,18 @@ def _(t):
     return nb.assigned(points, "embedding", centres).select("vec_id", "cluster")
 
 
+@query("M9_kmeans_new_centres", """
+WITH start AS (SELECT row_number() OVER (ORDER BY md5(vec_id || ':seed'), vec_id) - 1 AS i, embedding::DOUBLE[] AS c FROM embeddings ORDER BY md5(vec_id || ':seed'), vec_id LIMIT 4),
+d AS (SELECT vec_id, embedding::DOUBLE[] AS v, i, list_sum(list_transform(list_zip(embedding::DOUBLE[], c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM embeddings, start),
+a AS (SELECT v, i FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, i) AS r FROM d) WHERE r = 1)
+SELECT i AS cluster, position - 1 AS position, round(avg(x), 6) AS mean FROM (SELECT i, unnest(v) AS x, generate_subscripts(v, 1) AS position FROM a) GROUP BY ALL""")
+def _(t):
+    points = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = nb.updated_centres(points, "embedding", nb.initial_centres(points, "vec_id", "embedding", 4, "seed"))
+    rows = [(i, j, round(x, 6)) for i, centre in enumerate(moved) for j, x in enumerate(centre)]
+    return t.spark.createDataFrame(rows, "cluster long, position long, mean double")
+
+
 @query("M9_kmeans_clusters")
 def _(t):
     clusters, _centres, _n = nb.k_means(t.embeddings, "vec_id", "embedding", 3, "seed", max_iterations=20)

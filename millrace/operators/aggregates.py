@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from millrace.operators.ranking import average_rank, rank_in_order, running_total
 
 
+def steady_round(value: Column, places: int = 6) -> Column:
+    """Round in two steps, so that a mean that is an exact half at the last
+    place does not depend on the order of summation."""
+    return F.round(F.round(value, places + 4), places)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
@@ -136,7 +142,7 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_unique"),
     )
     moments = long.groupBy("column_name").agg(
-        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("stddev")
+        steady_round(F.avg("value")).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("stddev")
     )
     quartiles = weighted_quantiles(counts, ["column_name"], "value", "_n", BOX)
     return uniques.join(moments, "column_name").join(quartiles, "column_name")

@@ -20,7 +20,7 @@ def _(t):
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 PROFILE_ONE = """SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null,
   count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS n_unique, count({c}) AS n,
-  round(avg({c}::DOUBLE), 6) AS mean, round(stddev_samp({c}::DOUBLE), 6) AS stddev, min({c})::DOUBLE AS lowest,
+  round(avg({c}::DOUBLE)::DECIMAL(28,10), 6)::DOUBLE AS mean, round(stddev_samp({c}::DOUBLE), 6) AS stddev, min({c})::DOUBLE AS lowest,
   round(quantile_cont({c}::DOUBLE, 0.25), 6) AS lower, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median,
   round(quantile_cont({c}::DOUBLE, 0.75), 6) AS upper, max({c})::DOUBLE AS highest FROM lineitem"""
 

@@ -153,15 +153,30 @@ def _(t):
     return graph.quantity_by_customer_product(graph.purchase_paths(fx.lines(t), fx.products(t)), CATEGORY)
 
 
+CO_BUYERS = """
+candidates AS (
+  SELECT a.customer_id, c.category_id, c.product_id, count(*) AS n_paths
+  FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.customer_id <> b.customer_id
+  JOIN edges c ON c.customer_id = b.customer_id AND c.category_id = a.category_id AND c.product_id <> a.product_id
+  WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = a.customer_id AND o.product_id = c.product_id)
+  GROUP BY ALL)"""
+
+
 @query("G3_co_buyer_recommendations", f"""
-{fx.GRAPH}
-SELECT a.customer_id, c.category_id, c.product_id, count(*) AS n_paths
-FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.customer_id <> b.customer_id
-JOIN edges c ON c.customer_id = b.customer_id AND c.category_id = a.category_id AND c.product_id <> a.product_id
-WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = a.customer_id AND o.product_id = c.product_id)
-GROUP BY ALL""")
+{fx.GRAPH},{CO_BUYERS}
+SELECT customer_id, category_id, list(product_id ORDER BY product_id) AS recommended_products FROM candidates GROUP BY ALL""")
+def _(t):
+    return graph.recommendation_lists(graph.co_buyer_candidates(fx.edges(t)))
+
+
+@query("G3_co_buyer_paths", f"""
+{fx.GRAPH},{CO_BUYERS}
+SELECT category_id, product_id, count(*) AS n_customers, sum(n_paths)::BIGINT AS n_paths FROM candidates GROUP BY ALL""")
 def _(t):
-    return graph.co_buyer_candidates(fx.edges(t))
+    """How often each product is recommended, over all customers."""
+    return graph.co_buyer_candidates(fx.edges(t)).groupBy("category_id", "product_id").agg(
+        F.count(F.lit(1)).alias("n_customers"), F.sum("n_paths").alias("n_paths")
+    )
 
 
 @query("G4_unbought_in_category", f"""
@@ -176,12 +191,9 @@ def _(t):
 
 
 @query("A22_recommendation_lists", f"""
-{fx.GRAPH}
-SELECT a.customer_id, a.category_id, list(c.product_id ORDER BY c.product_id) AS recommended_products
-FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.customer_id <> b.customer_id
-JOIN edges c ON c.customer_id = b.customer_id AND c.category_id = a.category_id AND c.product_id <> a.product_id
-WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = a.customer_id AND o.product_id = c.product_id)
-GROUP BY a.customer_id, a.category_id""")
+{fx.GRAPH},{CO_BUYERS}
+SELECT customer_id, category_id, list(product_id ORDER BY product_id) AS recommended_products
+FROM (SELECT customer_id, category_id, product_id, unnest(range(n_paths)) FROM candidates) GROUP BY customer_id, category_id""")
 def _(t):
     return graph.recommendation_lists(graph.co_buyer_candidates(fx.edges(t)), keep_duplicates=True)
 
@@ -241,9 +253,9 @@ SELECT * FROM (
   FROM near n JOIN edges e ON e.customer_id = n.neighbour_id
   WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = n.customer_id AND o.product_id = e.product_id)
   GROUP BY ALL)
-WHERE recommendation > 0.15 AND recommendation < 0.3""")
+WHERE recommendation > 0.04 AND recommendation < 0.3""")
 def _(t):
-    return graph.collaborative_filter(fx.edges(t), 5, 0.15, 0.3)
+    return graph.collaborative_filter(fx.edges(t), 5, 0.04, 0.3)
 
 
 @query("G9_also_bought", f"""
@@ -268,9 +280,13 @@ JOIN counts c2 ON c2.category_id = e.category_id AND c2.n > c1.n
 WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = e.customer_id AND o.product_id = c2.product_id)"""
 
 
-@query("G11_better_rated_unbought", fx.GRAPH + BETTER)
+@query("G11_better_rated_unbought", f"""
+SELECT customer_id, category_id, list(recommended_product ORDER BY recommended_product) AS recommended_products
+FROM ({fx.GRAPH}{BETTER}) GROUP BY ALL""")
 def _(t):
-    return graph.better_rated_unbought(fx.edges(t))
+    return graph.better_rated_unbought(fx.edges(t)).groupBy("customer_id", "category_id").agg(
+        F.array_sort(F.collect_list("recommended_product")).alias("recommended_products")
+    )
 
 
 @query("G11_better_rated_for_customer", f"{fx.GRAPH}{BETTER} AND e.customer_id = {CUSTOMER}")

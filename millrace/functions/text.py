@@ -26,8 +26,11 @@ def unescape(column: Column) -> Column:
         codes, text,
         lambda acc, n: F.regexp_replace(acc, F.concat(F.lit("&#[xX]"), n, F.lit(";")), _character(n)),
     )
-    for name, character in v.ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(character))
+    names = F.create_map(*[F.lit(x) for pair in v.ENTITIES.items() for x in pair])
+    present = F.filter(
+        F.array_distinct(F.regexp_extract_all(text, F.lit("&[a-zA-Z]+;"), F.lit(0))), lambda e: F.map_contains_key(names, e)
+    )
+    text = F.aggregate(present, text, lambda acc, e: F.replace(acc, e, F.try_element_at(names, e)))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 

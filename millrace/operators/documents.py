@@ -14,28 +14,28 @@ from millrace.functions import vocabulary as v
 from millrace.operators.aggregates import ordered_text
 from millrace.operators.ranking import first_by, top_k
 
-WORD = r"[\p{L}\p{N}_]+"
+# A run of letters that is a whole word (no digit or underscore beside it).
+WORD = r"(?<![\p{L}\p{N}_])\p{L}+(?![\p{L}\p{N}_])"
 SENTENCE_END = r"[.!?\n]+"
 
 
 def tokens(text: Column, stop_words: Sequence[str] = v.STOP_WORDS) -> Column:
     """Lower-case words made of letters only, without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    alphabetic = F.filter(words, lambda x: x.rlike(r"^\p{L}+$"))
-    if not stop_words:
-        return alphabetic
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(alphabetic, lambda x: ~F.array_contains(stops, x))
+    return F.filter(words, lambda x: ~x.isin(list(stop_words))) if stop_words else words
 
 
 def term_counts(df: DataFrame, identifier: str, text: str, stop_words: Sequence[str] = v.STOP_WORDS) -> DataFrame:
-    """(document, term, n, length); the length rides along, so no join for it."""
-    words = df.select(identifier, tokens(F.col(text), stop_words).alias("_w"))
-    return (
-        words.select(identifier, F.size("_w").cast("long").alias("n_tokens"), F.explode("_w").alias("term"))
-        .groupBy(identifier, "n_tokens", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """(document, term, n, length), without an exchange: a document is one row,
+    so its words are sorted in place and the runs of equal words counted."""
+    words = df.select(identifier, F.array_sort(tokens(F.col(text), stop_words)).alias("_w"))
+    words = words.select(identifier, "_w", F.size("_w").alias("_n")).filter(F.col("_n") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: ~F.get("_w", i).eqNullSafe(F.get("_w", i - 1)))
+    runs = words.select(identifier, "_w", "_n", starts.alias("_s"))
+    each = F.transform(
+        "_s", lambda start, j: F.struct(F.get("_w", start).alias("term"), (F.coalesce(F.get("_s", j + 1), F.col("_n")) - start).cast("long").alias("n"))
     )
+    return runs.select(identifier, F.col("_n").cast("long").alias("n_tokens"), F.inline(each))
 
 
 def tf_idf(df: DataFrame, identifier: str, text: str, stop_words: Sequence[str] = v.STOP_WORDS) -> DataFrame:
@@ -68,11 +68,11 @@ def chunks(df: DataFrame, identifier: str, text: str, size: int, overlap: int) -
     reaches the end, an empty text has none."""
     step = size - overlap
     length = F.length(text)
-    n = 1 + F.ceil(F.greatest(length - size, F.lit(0)) / step).cast("int")
-    starts = F.when(length > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * step))
-    return df.select(
-        identifier, F.posexplode(starts).alias("chunk", "start"), text
-    ).select(identifier, "chunk", "start", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("text"))
+    n = F.when(length > 0, 1 + F.ceil(F.greatest(length - size, F.lit(0)) / step)).otherwise(0).cast("int")
+    # One pass over the text: look ahead for a whole chunk, then move one step.
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
+    cut = df.select(identifier, F.posexplode(F.slice(pieces, F.lit(1), n)).alias("chunk", "text"))
+    return cut.select(identifier, "chunk", (F.col("chunk") * step).alias("start"), "text")
 
 
 def lines(df: DataFrame, identifier: str, text: str, separator: str = "\n") -> DataFrame:

@@ -15,6 +15,8 @@ from millrace.operators.ranking import top_k
 # A product's raters are cut into tiles of about this many before pairing, so
 # that no task builds more than TILE x TILE pairs whatever the product.
 TILE = 2000
+# Products per block of a category.
+CATALOGUE_BLOCK = 5000
 # Baskets above this many items go by (customer, basket) pairs instead of item
 # pairs, see co_buyer_candidates.
 HEAVY_BASKET = 500
@@ -279,11 +281,7 @@ def co_buyer_candidates(edges: DataFrame, heavy: int = HEAVY_BASKET) -> DataFram
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     mine = slim.select("customer_id", "category_id", F.col("product_id").alias("_owned"))
-    by_items = (
-        mine.join(item_pairs, ["category_id", "_owned"])
-        .groupBy("customer_id", "category_id", "product_id")
-        .agg(F.sum("_n").alias("n_paths"))
-    )
+    by_items = mine.join(item_pairs, ["category_id", "_owned"]).select("customer_id", "category_id", "product_id", "_n")
     basket = large.select(F.col("customer_id").alias("_other"), "category_id", "product_id")
     shared = (
         mine.join(basket.withColumnRenamed("product_id", "_owned"), ["category_id", "_owned"])
@@ -291,27 +289,60 @@ def co_buyer_candidates(edges: DataFrame, heavy: int = HEAVY_BASKET) -> DataFram
         .groupBy("customer_id", "category_id", "_other")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    by_basket = (
-        shared.join(basket, ["category_id", "_other"])
-        .groupBy("customer_id", "category_id", "product_id")
-        .agg(F.sum("_n").alias("n_paths"))
-    )
+    by_basket = shared.join(basket, ["category_id", "_other"]).select("customer_id", "category_id", "product_id", "_n")
+    # Sums and the test for "not bought" have the same key: one exchange.
     return (
         by_items.unionByName(by_basket)
+        .groupBy("customer_id", "product_id")
+        .agg(F.min("category_id").alias("category_id"), F.sum("_n").alias("n_paths"))
         .join(slim.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
-        .groupBy("customer_id", "category_id", "product_id")
-        .agg(F.sum("n_paths").alias("n_paths"))
+        .select("customer_id", "category_id", "product_id", "n_paths")
+    )
+
+
+def catalogue_blocks(products: DataFrame, size: int = CATALOGUE_BLOCK) -> DataFrame:
+    """The products of each category with a block number: categories of any
+    size become blocks of about ``size`` products."""
+    counts = products.groupBy("category_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_blocks"))
+    return products.join(counts, "category_id").withColumn(
+        "block", F.pmod(F.xxhash64("product_id"), F.col("_blocks")).cast("int")
+    ).drop("_blocks")
+
+
+def _unbought(interest: DataFrame, edges: DataFrame, blocked: DataFrame, wanted) -> DataFrame:
+    """For every (customer, category) of ``interest`` and every block of the
+    category: the wanted items of the block minus those the customer bought.
+
+    Customers meet whole blocks of the catalogue, not single products, so the
+    candidates are neither exchanged nor joined one by one.
+    """
+    shelves = blocked.groupBy("category_id", "block").agg(
+        F.array_sort(F.collect_list(F.struct("product_id", "weight"))).alias("_items")
+    )
+    owned = (
+        edges.select("customer_id", "product_id")
+        .join(blocked.select("product_id", "category_id", "block"), "product_id")
+        .groupBy("customer_id", "category_id", "block")
+        .agg(F.collect_set("product_id").alias("_owned"))
+    )
+    found = F.transform(F.filter("_items", wanted), lambda x: x["product_id"])
+    left = F.array_except(found, F.coalesce(F.col("_owned"), F.array().cast("array<bigint>")))
+    return (
+        interest.join(shelves, "category_id")
+        .join(owned, ["customer_id", "category_id", "block"], "left")
+        .withColumn("recommended_products", left)
+        .filter(F.size("recommended_products") > 0)
+        .select(*interest.columns, "block", "recommended_products")
     )
 
 
 def unbought_in_category(edges: DataFrame, products: DataFrame) -> DataFrame:
     """Products of the categories a customer buys from that the customer has
-    not bought; n_paths counts the customer's products in the category."""
-    live = products.filter(F.col("discontinued") == 0).select("product_id", "category_id")
+    not bought, as one sorted list per block of the category; n_paths counts the
+    customer's products in the category (each leads to every listed product)."""
+    live = products.filter(F.col("discontinued") == 0).select("product_id", "category_id", F.lit(0).alias("weight"))
     interest = edges.groupBy("customer_id", "category_id").agg(F.count(F.lit(1)).alias("n_paths"))
-    return interest.join(live, "category_id").join(
-        edges.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti"
-    )
+    return _unbought(interest, edges, catalogue_blocks(live), lambda x: F.lit(True))
 
 
 def recommendation_lists(candidates: DataFrame, keep_duplicates: bool = False) -> DataFrame:
@@ -350,7 +381,8 @@ def rating_counts(edges: DataFrame) -> DataFrame:
 
 def better_rated_unbought(edges: DataFrame, customer=None, category=None) -> DataFrame:
     """Products of a category with more ratings than some product the customer
-    bought there, and which the customer has not bought.
+    bought there, and which the customer has not bought: one sorted list per
+    (customer, category, block of the category).
 
     "More than some bought product" is "more than the least rated bought
     product", so one minimum per (customer, category) replaces the pairs.
@@ -362,15 +394,7 @@ def better_rated_unbought(edges: DataFrame, customer=None, category=None) -> Dat
     floor = (
         mine.join(counts, ["category_id", "product_id"])
         .groupBy("customer_id", "category_id")
-        .agg(F.min("rating_count").alias("_floor"))
-    )
-    return (
-        floor.join(counts, "category_id")
-        .filter(F.col("rating_count") > F.col("_floor"))
-        .select("customer_id", "category_id", F.col("product_id").alias("recommended_product"))
-        .join(
-            edges.select("customer_id", F.col("product_id").alias("recommended_product")),
-            ["customer_id", "recommended_product"],
-            "left_anti",
-        )
+        .agg(F.min("rating_count").alias("floor"))
     )
+    blocked = catalogue_blocks(counts.withColumnRenamed("rating_count", "weight"))
+    return _unbought(floor, mine, blocked, lambda x: x["weight"] > F.col("floor"))

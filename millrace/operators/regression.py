@@ -173,48 +173,73 @@ def _design(df: DataFrame, terms: Mapping[str, Column], y: str) -> DataFrame:
     return df.select(F.lit(1.0).alias("one"), *columns, F.col(y).cast("double").alias("y")).dropna()
 
 
-def least_squares(df: DataFrame, terms: Mapping[str, Column], y: str) -> Fit:
-    """Ordinary least squares with an intercept from one matrix of sums.
+def _fit(gram: np.ndarray, centre: np.ndarray, names: list[str], use: list[int]) -> Fit:
+    """The model on some columns of a matrix of sums around ``centre`` (column 0
+    is the constant, the last one the target)."""
+    last = len(gram) - 1
+    xx, xy = gram[np.ix_(use, use)], gram[use, last]
+    yy, n, k = gram[last, last], int(round(gram[0, 0])), len(use)
+    shifted = np.linalg.solve(xx, xy)
+    residual = yy - shifted @ xy
+    back = np.eye(k)
+    back[0, 1:] = -centre[use[1:]]
+    estimate = back @ shifted
+    estimate[0] += centre[last]
+    return Fit(["intercept", *names], estimate, back @ np.linalg.inv(xx) @ back.T, n, residual / (n - k), 1.0 - residual / (yy - gram[0, last] ** 2 / n))
 
-    Sums are taken around the means of the columns (one cheap aggregate), which
-    keeps them accurate, and the intercept is moved back at the end.
-    """
-    design = _design(df, terms, y)
-    k = len(terms) + 1
+
+def _gram(design: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products of all columns around their means, and the means."""
     centre_row = design.agg(*[F.avg(c).alias(c) for c in design.columns[1:]]).first()
     centre = np.array([0.0, *centre_row])
+    width = len(centre)
 
     def products(rows: np.ndarray) -> np.ndarray:
         shifted = rows - centre
         return shifted.T @ shifted
 
-    gram = _summed_matrices(design, products, (k + 1) ** 2).reshape(k + 1, k + 1)
-    xx, xy, yy, n = gram[:k, :k], gram[:k, k], gram[k, k], int(round(gram[0, 0]))
-    shifted = np.linalg.solve(xx, xy)
-    residual = yy - shifted @ xy
-    back = np.eye(k)
-    back[0, 1:] = -centre[1:k]
-    estimate = back @ shifted
-    estimate[0] += centre[k]
-    return Fit(["intercept", *terms], estimate, back @ np.linalg.inv(xx) @ back.T, n, residual / (n - k), 1.0 - residual / (yy - gram[0, k] ** 2 / n))
+    return _summed_matrices(design, products, width * width).reshape(width, width), centre
 
 
-def robust_covariance(df: DataFrame, terms: Mapping[str, Column], y: str, fit: Fit, kind: str = "HC3") -> np.ndarray:
-    """Heteroscedasticity-robust covariance, HC1 or HC3, from a second pass."""
-    design = _design(df, terms, y)
-    k = len(fit.terms)
-    estimate, bread = fit.estimate, fit.bread
+def _meats(design: DataFrame, fits: Sequence[Fit], uses: Sequence[list[int]], kind: str) -> list[np.ndarray]:
+    """The middle matrices of several models' robust errors, in one pass."""
+    models = [(fit.estimate, fit.bread, use) for fit, use in zip(fits, uses)]
 
     def meat(rows: np.ndarray) -> np.ndarray:
-        x = rows[:, :k]
-        error = rows[:, k] - x @ estimate
-        if kind == "HC3":
-            error = error / (1.0 - np.einsum("ij,jk,ik->i", x, bread, x))
-        return (x * (error**2)[:, None]).T @ x
+        parts = []
+        for estimate, bread, use in models:
+            x = rows[:, use]
+            error = rows[:, -1] - x @ estimate
+            if kind == "HC3":
+                error = error / (1.0 - np.einsum("ij,jk,ik->i", x, bread, x))
+            parts.append(((x * (error**2)[:, None]).T @ x).reshape(-1))
+        return np.concatenate(parts)
 
-    middle = _summed_matrices(design, meat, k * k).reshape(k, k)
-    scale = fit.n / (fit.n - k) if kind == "HC1" else 1.0
-    return scale * bread @ middle @ bread
+    sizes = [len(use) ** 2 for use in uses]
+    flat = _summed_matrices(design, meat, sum(sizes))
+    ends = np.cumsum([0, *sizes])
+    return [flat[a:b].reshape(len(use), len(use)) for a, b, use in zip(ends, ends[1:], uses)]
+
+
+def _sandwich(fit: Fit, middle: np.ndarray, kind: str) -> np.ndarray:
+    scale = fit.n / (fit.n - len(fit.terms)) if kind == "HC1" else 1.0
+    return scale * fit.bread @ middle @ fit.bread
+
+
+def least_squares(df: DataFrame, terms: Mapping[str, Column], y: str) -> Fit:
+    """Ordinary least squares with an intercept from one matrix of sums.
+
+    Sums are taken around the means of the columns (one cheap aggregate), which
+    keeps them accurate, and the intercept is moved back at the end.
+    """
+    gram, centre = _gram(_design(df, terms, y))
+    return _fit(gram, centre, list(terms), list(range(len(terms) + 1)))
+
+
+def robust_covariance(df: DataFrame, terms: Mapping[str, Column], y: str, fit: Fit, kind: str = "HC3") -> np.ndarray:
+    """Heteroscedasticity-robust covariance, HC1 or HC3, from a second pass."""
+    middle = _meats(_design(df, terms, y), [fit], [list(range(len(fit.terms)))], kind)[0]
+    return _sandwich(fit, middle, kind)
 
 
 def fit_frame(spark: SparkSession, model: str, fit: Fit, covariance: np.ndarray | None = None, places: int = 6) -> DataFrame:
@@ -230,13 +255,21 @@ def fit_frame(spark: SparkSession, model: str, fit: Fit, covariance: np.ndarray
 
 
 def nested_models(df: DataFrame, y: str, steps: Sequence[tuple[str, Mapping[str, Column]]], kind: str = "HC1") -> DataFrame:
-    """Models that each add the terms of one step, with robust errors."""
-    terms: dict[str, Column] = {}
-    frames = []
-    for name, added in steps:
-        terms = {**terms, **added}
-        fit = least_squares(df, terms, y)
-        frames.append(fit_frame(df.sparkSession, name, fit, robust_covariance(df, terms, y, fit, kind)))
+    """Models that each add the terms of one step, with robust errors.
+
+    All models share one matrix of sums and one pass for the errors, on the rows
+    where every term is known.
+    """
+    everything = {name: column for _, added in steps for name, column in added.items()}
+    design = _design(df, everything, y)
+    gram, centre = _gram(design)
+    fits, uses, names = [], [], []
+    for _, added in steps:
+        names = [*names, *added]
+        uses.append(list(range(len(names) + 1)))
+        fits.append(_fit(gram, centre, names, uses[-1]))
+    middles = _meats(design, fits, uses, kind)
+    frames = [fit_frame(df.sparkSession, step[0], fit, _sandwich(fit, m, kind)) for step, fit, m in zip(steps, fits, middles)]
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame)

@@ -181,13 +181,13 @@ def _(t):
 
 @query("G4_unbought_in_category", f"""
 {fx.GRAPH}
-SELECT customer_id, category_id, list(product_id ORDER BY product_id) AS recommended_products
-FROM (SELECT DISTINCT customer_id, category_id FROM edges) i JOIN products p USING (category_id)
+SELECT customer_id, category_id, n_paths, 0 AS block, list(product_id ORDER BY product_id) AS recommended_products
+FROM (SELECT customer_id, category_id, count(*) AS n_paths FROM edges GROUP BY ALL) i JOIN products p USING (category_id)
 WHERE discontinued = 0
   AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = i.customer_id AND o.product_id = p.product_id)
-GROUP BY customer_id, category_id""")
+GROUP BY customer_id, category_id, n_paths""")
 def _(t):
-    return graph.recommendation_lists(graph.unbought_in_category(fx.edges(t), fx.products(t)))
+    return graph.unbought_in_category(fx.edges(t), fx.products(t))
 
 
 @query("A22_recommendation_lists", f"""
@@ -274,21 +274,19 @@ def _(t):
 
 BETTER = """
 , counts AS (SELECT category_id, product_id, count(*) AS n FROM edges GROUP BY ALL)
-SELECT DISTINCT e.customer_id, e.category_id, c2.product_id AS recommended_product
+SELECT e.customer_id, e.category_id, min(c1.n) AS floor, 0 AS block, list(DISTINCT c2.product_id ORDER BY c2.product_id) AS recommended_products
 FROM edges e JOIN counts c1 ON c1.product_id = e.product_id
-JOIN counts c2 ON c2.category_id = e.category_id AND c2.n > c1.n
-WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = e.customer_id AND o.product_id = c2.product_id)"""
+JOIN (SELECT category_id, product_id, n FROM counts) c2 ON c2.category_id = e.category_id
+WHERE c2.n > (SELECT min(c.n) FROM edges f JOIN counts c ON c.product_id = f.product_id WHERE f.customer_id = e.customer_id AND f.category_id = e.category_id)
+  AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = e.customer_id AND o.product_id = c2.product_id) {only}
+GROUP BY e.customer_id, e.category_id"""
 
 
-@query("G11_better_rated_unbought", f"""
-SELECT customer_id, category_id, list(recommended_product ORDER BY recommended_product) AS recommended_products
-FROM ({fx.GRAPH}{BETTER}) GROUP BY ALL""")
+@query("G11_better_rated_unbought", fx.GRAPH + BETTER.format(only=""))
 def _(t):
-    return graph.better_rated_unbought(fx.edges(t)).groupBy("customer_id", "category_id").agg(
-        F.array_sort(F.collect_list("recommended_product")).alias("recommended_products")
-    )
+    return graph.better_rated_unbought(fx.edges(t))
 
 
-@query("G11_better_rated_for_customer", f"{fx.GRAPH}{BETTER} AND e.customer_id = {CUSTOMER}")
+@query("G11_better_rated_for_customer", fx.GRAPH + BETTER.format(only=f"AND e.customer_id = {CUSTOMER}"))
 def _(t):
     return graph.better_rated_unbought(fx.edges(t), customer=CUSTOMER)

@@ -66,6 +66,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer partitions than cores over all cores.
+
+    A small file is one task however much work its texts need. A table of many
+    files has enough partitions and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so later stages read the same rows even
     when an executor is lost and a non-deterministic partitioning would differ."""

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import spread
+
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
+# Tables whose rows are long texts: the work per byte is high.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 class Tables:
     """``tables.orders`` reads ``<folder>/orders.parquet`` when first asked for."""
 
@@ -25,7 +31,8 @@ class Tables:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
         if name not in self._loaded:
-            self._loaded[name] = self.spark.read.parquet(self.path(name))
+            scan = self.spark.read.parquet(self.path(name))
+            self._loaded[name] = spread(scan) if name in TEXT_TABLES else scan
         return self._loaded[name]
 
     def register_views(self) -> None:

@@ -28,7 +28,7 @@ def tokens(text: Column, stop_words: Sequence[str] = v.STOP_WORDS) -> Column:
 def term_counts(df: DataFrame, identifier: str, text: str, stop_words: Sequence[str] = v.STOP_WORDS) -> DataFrame:
     """(document, term, n, length), without an exchange: a document is one row,
     so its words are sorted in place and the runs of equal words counted."""
-    words = df.select(identifier, F.array_sort(tokens(F.col(text), stop_words)).alias("_w"))
+    words = df.select(identifier, F.sort_array(tokens(F.col(text), stop_words)).alias("_w"))
     words = words.select(identifier, "_w", F.size("_w").alias("_n")).filter(F.col("_n") > 0)
     starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: ~F.get("_w", i).eqNullSafe(F.get("_w", i - 1)))
     runs = words.select(identifier, "_w", "_n", starts.alias("_s"))

@@ -273,29 +273,31 @@ def co_buyer_candidates(edges: DataFrame, heavy: int = HEAVY_BASKET) -> DataFram
     light = sized.filter(F.col("_size") <= heavy).drop("_size")
     large = sized.filter(F.col("_size") > heavy).drop("_size")
 
-    one = light.select("customer_id", "category_id", F.col("product_id").alias("_owned"))
+    # A product has one category, so pairs need no category column.
     item_pairs = (
-        one.join(light, ["customer_id", "category_id"])
+        light.withColumnRenamed("product_id", "_owned")
+        .join(light, ["customer_id", "category_id"])
         .filter(F.col("_owned") != F.col("product_id"))
-        .groupBy("category_id", "_owned", "product_id")
+        .groupBy("_owned", "product_id")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    mine = slim.select("customer_id", "category_id", F.col("product_id").alias("_owned"))
-    by_items = mine.join(item_pairs, ["category_id", "_owned"]).select("customer_id", "category_id", "product_id", "_n")
+    mine = slim.select("customer_id", F.col("product_id").alias("_owned"), "category_id")
+    by_items = mine.join(item_pairs, "_owned").select("customer_id", "product_id", "_n")
     basket = large.select(F.col("customer_id").alias("_other"), "category_id", "product_id")
     shared = (
-        mine.join(basket.withColumnRenamed("product_id", "_owned"), ["category_id", "_owned"])
+        mine.join(basket.withColumnRenamed("product_id", "_owned").drop("category_id"), "_owned")
         .filter(F.col("customer_id") != F.col("_other"))
         .groupBy("customer_id", "category_id", "_other")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    by_basket = shared.join(basket, ["category_id", "_other"]).select("customer_id", "category_id", "product_id", "_n")
+    by_basket = shared.join(basket, ["category_id", "_other"]).select("customer_id", "product_id", "_n")
     # Sums and the test for "not bought" have the same key: one exchange.
     return (
         by_items.unionByName(by_basket)
         .groupBy("customer_id", "product_id")
-        .agg(F.min("category_id").alias("category_id"), F.sum("_n").alias("n_paths"))
+        .agg(F.sum("_n").alias("n_paths"))
         .join(slim.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
+        .join(slim.select("product_id", "category_id").distinct(), "product_id")
         .select("customer_id", "category_id", "product_id", "n_paths")
     )
 
@@ -309,28 +311,33 @@ def catalogue_blocks(products: DataFrame, size: int = CATALOGUE_BLOCK) -> DataFr
     ).drop("_blocks")
 
 
-def _unbought(interest: DataFrame, edges: DataFrame, blocked: DataFrame, wanted) -> DataFrame:
+def _unbought(interest: DataFrame, edges: DataFrame, blocked: DataFrame, floor: str | None = None) -> DataFrame:
     """For every (customer, category) of ``interest`` and every block of the
-    category: the wanted items of the block minus those the customer bought.
+    category: the items of the block minus those the customer bought; with
+    ``floor`` only items whose weight is above that column.
 
     Customers meet whole blocks of the catalogue, not single products, so the
-    candidates are neither exchanged nor joined one by one.
+    candidates are neither exchanged nor joined one by one. Lists above a floor
+    are made once per (block, floor) and shared by all customers with it.
     """
-    shelves = blocked.groupBy("category_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("product_id", "weight"))).alias("_items")
-    )
+    shelves = blocked.groupBy("category_id", "block").agg(F.sort_array(F.collect_list(F.struct("product_id", "weight"))).alias("_items"))
+    keys = ["category_id"]
+    if floor is None:
+        lists = shelves.select("category_id", "block", F.transform("_items", lambda x: x["product_id"]).alias("_found"))
+    else:
+        keys.append(floor)
+        above = F.transform(F.filter("_items", lambda x: x["weight"] > F.col(floor)), lambda x: x["product_id"])
+        lists = interest.select(*keys).distinct().join(shelves, "category_id").select(*keys, "block", above.alias("_found"))
     owned = (
         edges.select("customer_id", "product_id")
         .join(blocked.select("product_id", "category_id", "block"), "product_id")
         .groupBy("customer_id", "category_id", "block")
         .agg(F.collect_set("product_id").alias("_owned"))
     )
-    found = F.transform(F.filter("_items", wanted), lambda x: x["product_id"])
-    left = F.array_except(found, F.coalesce(F.col("_owned"), F.array().cast("array<bigint>")))
     return (
-        interest.join(shelves, "category_id")
+        interest.join(lists.filter(F.size("_found") > 0), keys)
         .join(owned, ["customer_id", "category_id", "block"], "left")
-        .withColumn("recommended_products", left)
+        .withColumn("recommended_products", F.array_except("_found", F.coalesce("_owned", F.array().cast("array<bigint>"))))
         .filter(F.size("recommended_products") > 0)
         .select(*interest.columns, "block", "recommended_products")
     )
@@ -342,19 +349,17 @@ def unbought_in_category(edges: DataFrame, products: DataFrame) -> DataFrame:
     customer's products in the category (each leads to every listed product)."""
     live = products.filter(F.col("discontinued") == 0).select("product_id", "category_id", F.lit(0).alias("weight"))
     interest = edges.groupBy("customer_id", "category_id").agg(F.count(F.lit(1)).alias("n_paths"))
-    return _unbought(interest, edges, catalogue_blocks(live), lambda x: F.lit(True))
+    return _unbought(interest, edges, catalogue_blocks(live))
 
 
 def recommendation_lists(candidates: DataFrame, keep_duplicates: bool = False) -> DataFrame:
     """Candidates as one sorted list per (customer, category), which no
     category outgrows. ``keep_duplicates`` repeats a product once per path."""
-    lists = candidates.groupBy("customer_id", "category_id").agg(
-        F.array_sort(F.collect_list(F.struct("product_id", "n_paths"))).alias("_items")
-    )
-    if keep_duplicates:
-        items = F.flatten(F.transform("_items", lambda x: F.array_repeat(x["product_id"], x["n_paths"].cast("int"))))
-    else:
-        items = F.transform("_items", lambda x: x["product_id"])
+    grouped = candidates.groupBy("customer_id", "category_id")
+    if not keep_duplicates:
+        return grouped.agg(F.sort_array(F.collect_list("product_id")).alias("recommended_products"))
+    lists = grouped.agg(F.sort_array(F.collect_list(F.struct("product_id", "n_paths"))).alias("_items"))
+    items = F.flatten(F.transform("_items", lambda x: F.array_repeat(x["product_id"], x["n_paths"].cast("int"))))
     return lists.select("customer_id", "category_id", items.alias("recommended_products"))
 
 
@@ -397,4 +402,4 @@ def better_rated_unbought(edges: DataFrame, customer=None, category=None) -> Dat
         .agg(F.min("rating_count").alias("floor"))
     )
     blocked = catalogue_blocks(counts.withColumnRenamed("rating_count", "weight"))
-    return _unbought(floor, mine, blocked, lambda x: x["weight"] > F.col("floor"))
+    return _unbought(floor, mine, blocked, "floor")

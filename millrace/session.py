@@ -77,7 +77,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so later stages read the same rows even
-    when an executor is lost and a non-deterministic partitioning would differ."""
+    """Materialise ``df`` reliably in the shared folder. Later stages then see
+    the same rows even when an executor is lost and a non-deterministic
+    partitioning would come out differently."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -167,13 +167,14 @@ def histogram_equal_bins(df: DataFrame, value: str, bins: int, density: bool = F
     numbers = df.select(F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     low = numbers.agg(F.min("_v")).scalar()
     width = (numbers.agg(F.max("_v") - F.min("_v")).scalar()) / bins
-    index = F.least(F.floor((F.col("_v") - low) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-    counts = numbers.groupBy(F.coalesce(index, F.lit(0)).cast("long").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    # A constant column has bins of no width: all of it is in the first one.
+    index = F.when(width == 0, 0).otherwise(F.least(F.floor(F.try_divide(F.col("_v") - low, width)), F.lit(bins - 1)))
+    counts = numbers.groupBy(index.cast("long").alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
     frame = df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counts, F.col("bin") == F.col("_bin"), "left")
     n = F.coalesce(F.col("_n"), F.lit(0))
     columns = ["bin", F.round(low + F.col("bin") * width, 6).alias("low"), F.round(low + (F.col("bin") + 1) * width, 6).alias("high"), n.alias("n")]
     if density:
-        columns.append(F.round(n / (numbers.agg(F.count(F.lit(1))).scalar() * width), 9).alias("density"))
+        columns.append(F.round(F.try_divide(n, numbers.agg(F.count(F.lit(1))).scalar() * width), 9).alias("density"))
     return frame.select(*columns)
 
 

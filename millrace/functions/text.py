@@ -52,8 +52,8 @@ def domain_of(url: Column) -> Column:
 
 
 def word_pattern(terms: Sequence[str]) -> str:
-    """One pattern for whole-word hits of any term; W stands for more word characters."""
-    body = "|".join(term.replace("W", WORD_CHAR + "*") for term in terms)
+    r"""One pattern for whole-word hits of any term, with ``\w`` in any script."""
+    body = "|".join(term.replace(r"\w", WORD_CHAR) for term in terms)
     return f"(^|{NOT_WORD_CHAR})(?:{body})($|{NOT_WORD_CHAR})"
 
 

@@ -259,7 +259,7 @@ def collaborative_filter(edges: DataFrame, neighbours: int, low: float, high: fl
 def co_buyer_candidates(edges: DataFrame, heavy: int = HEAVY_BASKET) -> DataFrame:
     """Products of a category that other buyers of the customer's products in
     that category also bought and the customer did not: customer_id,
-    category_id, product_id, n_paths (customer -> product <- other -> product).
+    category_id, its block, product_id, n_paths (customer -> product <- other -> product).
 
     A basket is what one customer bought in one category. Ordinary baskets are
     reduced to counted item pairs, shared by all customers. A heavy basket
@@ -297,8 +297,8 @@ def co_buyer_candidates(edges: DataFrame, heavy: int = HEAVY_BASKET) -> DataFram
         .groupBy("customer_id", "product_id")
         .agg(F.sum("_n").alias("n_paths"))
         .join(slim.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
-        .join(slim.select("product_id", "category_id").distinct(), "product_id")
-        .select("customer_id", "category_id", "product_id", "n_paths")
+        .join(catalogue_blocks(slim.select("product_id", "category_id").distinct()), "product_id")
+        .select("customer_id", "category_id", "block", "product_id", "n_paths")
     )
 
 
@@ -353,14 +353,15 @@ def unbought_in_category(edges: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def recommendation_lists(candidates: DataFrame, keep_duplicates: bool = False) -> DataFrame:
-    """Candidates as one sorted list per (customer, category), which no
-    category outgrows. ``keep_duplicates`` repeats a product once per path."""
-    grouped = candidates.groupBy("customer_id", "category_id")
+    """Candidates as one sorted list per customer and block of a category, so
+    that a list has a bounded number of products whatever the category holds.
+    ``keep_duplicates`` repeats a product once per path."""
+    grouped = candidates.groupBy("customer_id", "category_id", "block")
     if not keep_duplicates:
         return grouped.agg(F.sort_array(F.collect_list("product_id")).alias("recommended_products"))
     lists = grouped.agg(F.sort_array(F.collect_list(F.struct("product_id", "n_paths"))).alias("_items"))
     items = F.flatten(F.transform("_items", lambda x: F.array_repeat(x["product_id"], x["n_paths"].cast("int"))))
-    return lists.select("customer_id", "category_id", items.alias("recommended_products"))
+    return lists.select("customer_id", "category_id", "block", items.alias("recommended_products"))
 
 
 def also_bought(edges: DataFrame, product, more_than: int = 0) -> DataFrame:

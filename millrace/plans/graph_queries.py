@@ -164,7 +164,7 @@ candidates AS (
 
 @query("G3_co_buyer_recommendations", f"""
 {fx.GRAPH},{CO_BUYERS}
-SELECT customer_id, category_id, list(product_id ORDER BY product_id) AS recommended_products FROM candidates GROUP BY ALL""")
+SELECT customer_id, category_id, 0 AS block, list(product_id ORDER BY product_id) AS recommended_products FROM candidates GROUP BY ALL""")
 def _(t):
     return graph.recommendation_lists(graph.co_buyer_candidates(fx.edges(t)))
 
@@ -192,7 +192,7 @@ def _(t):
 
 @query("A22_recommendation_lists", f"""
 {fx.GRAPH},{CO_BUYERS}
-SELECT customer_id, category_id, list(product_id ORDER BY product_id) AS recommended_products
+SELECT customer_id, category_id, 0 AS block, list(product_id ORDER BY product_id) AS recommended_products
 FROM (SELECT customer_id, category_id, product_id, unnest(range(n_paths)) FROM candidates) GROUP BY customer_id, category_id""")
 def _(t):
     return graph.recommendation_lists(graph.co_buyer_candidates(fx.edges(t)), keep_duplicates=True)

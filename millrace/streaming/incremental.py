@@ -75,11 +75,13 @@ def source_counters(staged: DataFrame, top: int = 12) -> DataFrame:
 
 def trailing_counts(df: DataFrame, moment: str, kind: str, last_day: str, days: int) -> DataFrame:
     """Rows per day and kind over the ``days`` days that end with ``last_day``."""
-    day = F.to_date(moment)
-    end = F.lit(last_day).cast("date")
+    # Bounds on the stored column itself, so that they reach the scan.
+    kind_of_time = df.schema[moment].dataType
+    last = F.lit(last_day).cast("date")
+    start, end = F.date_sub(last, days - 1).cast(kind_of_time), F.date_add(last, 1).cast(kind_of_time)
     return (
-        df.filter(day.between(F.date_sub(end, days - 1), end))
-        .groupBy(day.alias("day"), kind)
+        df.filter((F.col(moment) >= start) & (F.col(moment) < end))
+        .groupBy(F.to_date(moment).alias("day"), kind)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

@@ -112,11 +112,15 @@ def product_view(products: DataFrame, lines: DataFrame, quirk: bool = False) ->
 
 
 def ratings(lines: DataFrame) -> DataFrame:
-    """Share of a customer's whole quantity that went to each product."""
+    """Share of a customer's whole quantity that went to each product.
+
+    The customer's total is summed from the per-product sums, so the lines are
+    exchanged once for both.
+    """
     per_product = lines.groupBy("customer_id", "product_id").agg(
         F.sum("quantity").alias("total_products_purchased")
     )
-    per_customer = lines.groupBy("customer_id").agg(F.sum("quantity").alias("total_purchased"))
+    per_customer = per_product.groupBy("customer_id").agg(F.sum("total_products_purchased").alias("total_purchased"))
     return per_product.join(per_customer, "customer_id").withColumn(
         "rating", F.col("total_products_purchased") / F.col("total_purchased")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators import graph, retail
+from millrace.session import checkpoint
 from millrace.tables import Tables
 
 # Parts larger than this size stand in for products no longer sold.
@@ -46,7 +47,9 @@ def lines(t: Tables) -> DataFrame:
 
 
 def edges(t: Tables) -> DataFrame:
-    return graph.rated_edges(retail.ratings(lines(t)), products(t))
+    """The rated edges, materialised: graph questions read them several times,
+    and they are far smaller than the lines they come from."""
+    return checkpoint(graph.rated_edges(retail.ratings(lines(t)), products(t)))
 
 
 # The same relations as SQL common table expressions.

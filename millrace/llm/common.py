@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +19,18 @@ SPACE = "\t-\r \x85\xa0  -     　"
 # tokenizers joins characters over such a border.
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
+ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes: some texts are very long."""
+    """Bound what one Arrow batch holds, by rows and by bytes: some texts are very long.
+
+    Also lets Python workers find this package where the driver found it. A
+    cluster whose machines lack that path gets the package by ``--py-files``.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, keyed_ids, token_counts
+from millrace.llm import bpe, keyed_ids, quality, sanitise, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,22 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.score(docs, toxicity.learn(docs, labels(spark, folder)))
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality.judge(docs, quality.train(docs, labels(spark, folder)))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,3 +57,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     store = keyed_ids.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
     return store.read(docs, with_ids=False)
+
+
+@query("op6_sanitise")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.spans(documents(spark, folder))

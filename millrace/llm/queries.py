@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, keyed_ids, quality, sanitise, token_counts, toxicity
+from millrace.llm import bpe, contamination, keyed_ids, near_duplicates, quality, sanitise, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_contamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 @query("op8_keyed_ids")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
@@ -62,3 +68,83 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_sanitise")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return sanitise.spans(documents(spark, folder))
+
+
+@query("op10_near_duplicates")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.classes(documents(spark, folder)).drop("text_class")
+
+
+# Days drawn from an MD5, so that any engine can draw the same.
+HEX = "0123456789abcdef"
+
+
+def _day(text: Column | str, first: int) -> Column:
+    """0 to 255, from two digits of the MD5."""
+    digit = [F.instr(F.lit(HEX), F.substring(F.md5(F.encode(text, "UTF-8")), first + k, 1)) - 1 for k in (0, 1)]
+    return digit[0] * 16 + digit[1]
+
+
+def captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, fetched on a day of 2024 that its address gives."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), _day(F.col("url"), 1)))
+
+
+def list_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Dated list derived from the pages: each host, each parent domain but the last label, and each first part of a path
+    is added, removed and added again on days that its name gives."""
+    url = F.col("url")
+    asked = spark.read.parquet(f"{folder}/pages.parquet").select(F.explode(url_filter.questions(url)).alias("q")).select("q.scope", "q.key").distinct()
+    listed = asked.where("scope = 'host' OR (scope = 'domain' AND key LIKE '%.%.%') OR (scope = 'prefix' AND key NOT LIKE '%/%/%')")
+    name = F.concat_ws(":", "scope", "key")
+    start = F.date_add(F.lit("2024-01-01").cast("date"), _day(name, 1))
+    stay, gap = F.floor(_day(name, 3) / 8).cast("int") + 1, F.floor(_day(name, 5) / 4).cast("int") + 1
+    steps = F.array(F.struct(F.lit("add").alias("action"), start.alias("at")), F.struct(F.lit("remove").alias("action"), F.date_add(start, stay).alias("at")),
+                    F.struct(F.lit("add").alias("action"), F.date_add(start, stay + gap).alias("at")))
+    return listed.select("scope", "key", F.explode(steps).alias("s")).select("scope", "key", "s.action", "s.at")
+
+
+_DAY = "((instr('{hex}', substr(md5({x}), {a}, 1)) - 1) * 16 + instr('{hex}', substr(md5({x}), {b}, 1)) - 1)"
+
+
+def _sql_day(x: str, first: int) -> str:
+    return _DAY.format(hex=HEX, x=x, a=first, b=first + 1)
+
+
+URL_SQL = f"""
+WITH captured AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST({_sql_day("url", 1)} AS INTEGER) AS fetched_at,
+         regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages),
+questions AS (
+  SELECT page_id, fetched_at, 'host' AS scope, host AS key FROM captured
+  UNION ALL
+  SELECT page_id, fetched_at, 'domain', array_to_string(string_split(host, '.')[k:], '.')
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM captured)
+  UNION ALL
+  SELECT page_id, fetched_at, 'prefix', host || '/' || array_to_string(parts[1:k], '/')
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM captured)),
+names AS (
+  SELECT DISTINCT scope, key, scope || ':' || key AS name FROM questions
+  WHERE scope = 'host' OR (scope = 'domain' AND key LIKE '%.%.%') OR (scope = 'prefix' AND key NOT LIKE '%/%/%')),
+dated AS (
+  SELECT scope, key, CAST({_sql_day("name", 1)} AS INTEGER) AS a, CAST({_sql_day("name", 3)} // 8 + 1 AS INTEGER) AS b, CAST({_sql_day("name", 5)} // 4 + 1 AS INTEGER) AS c
+  FROM names),
+stays AS (
+  SELECT scope, key, DATE '2024-01-01' + a AS valid_from, DATE '2024-01-01' + a + b AS valid_to FROM dated
+  UNION ALL
+  SELECT scope, key, DATE '2024-01-01' + a + b + c, NULL FROM dated),
+hits AS (
+  SELECT q.page_id, count(*) AS n, min(q.scope || ':' || q.key) AS reason
+  FROM questions q JOIN stays s ON q.scope = s.scope AND q.key = s.key AND s.valid_from <= q.fetched_at AND (s.valid_to IS NULL OR q.fetched_at < s.valid_to)
+  GROUP BY q.page_id)
+SELECT c.page_id, c.fetched_at, coalesce(h.n, 0) AS n_active, h.reason IS NOT NULL AS blocked, h.reason
+FROM captured c LEFT JOIN hits h ON c.page_id = h.page_id
+"""
+
+
+@query("op5_url_filter", URL_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(captures(spark, folder), list_changes(spark, folder))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, contamination, keyed_ids, near_duplicates, quality, sanitise, token_counts, toxicity, url_filter
+from millrace.llm import bpe, contamination, keyed_ids, near_duplicates, quality, repeats, sanitise, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return sanitise.spans(documents(spark, folder))
 
 
+@query("op9_repeats")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove(documents(spark, folder), with_kept=False)
+
+
 @query("op10_near_duplicates")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.classes(documents(spark, folder)).drop("text_class")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -14,24 +15,52 @@ NOT_WORD_CHAR = r"[^\p{L}\p{N}_]"
 SPACES = r"[\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+# A character reference: numeric, or a name of up to 32 characters, with or without its semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that count without a semicolon, longest first, so that the longest one that begins a reference is found.
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_REPLACEMENT = "\ufffd"
+
+
 def unescape(column: Column) -> Column:
-    """Resolve numeric and common named character references, once each."""
-    numbers = F.array_distinct(F.regexp_extract_all(column, F.lit(r"&#([0-9]{1,6});"), F.lit(1)))
-    text = F.aggregate(
-        numbers, column,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _character(F.hex(n.cast("long")))),
+    """Resolve character references in one pass: what comes out of one is never read as another."""
+    references = F.regexp_extract_all(column, F.lit(REFERENCE), F.lit(0))
+    resolved = F.zip_with(F.split(column, REFERENCE, -1), references, lambda gap, r: F.concat(gap, F.when(r.isNull(), "").otherwise(_resolve(r))))
+    return F.when(F.contains(column, F.lit("&")), F.array_join(resolved, "")).otherwise(column)
+
+
+def _resolve(reference: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in html5.items() for x in pair])
+    body = F.substring(reference, 2, 1 << 30)
+    opening = F.regexp_extract(body, f"^(?:{_OPEN_NAMES})", 0)
+    named = F.coalesce(
+        F.try_element_at(names, body),
+        F.when(opening != "", F.concat(F.try_element_at(names, opening), F.substring(body, F.length(opening) + 1, F.lit(1 << 30)))),
+        reference,
     )
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#[xX]([0-9a-fA-F]{1,5});"), F.lit(1)))
-    text = F.aggregate(
-        codes, text,
-        lambda acc, n: F.regexp_replace(acc, F.concat(F.lit("&#[xX]"), n, F.lit(";")), _character(n)),
+    hexed = F.regexp_extract(body, "^#[xX]0*([0-9a-fA-F]*)", 1)
+    digits = F.regexp_extract(body, "^#0*([0-9]*)", 1)
+    # Nothing beyond seven digits is a character.
+    number = F.when(body.rlike("^#[xX]"), F.when(F.length(hexed) <= 6, F.conv(hexed, 16, 10).cast("long"))).otherwise(
+        F.when(F.length(digits) <= 7, F.coalesce(digits.try_cast("long"), F.lit(0))))
+    number = F.when(body.rlike("^#[xX]0*;?$"), F.lit(0)).otherwise(number)
+    return F.when(~body.rlike("^#[0-9xX]"), named).otherwise(_numbered(number))
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a code, with the repairs that the markup standard names: code page 1252 for the
+    upper controls, the replacement character for what no text can hold, nothing for other non-characters."""
+    legacy = F.create_map(*[F.lit(x) for n in range(0x80, 0xA0) for x in (n, bytes([n]).decode("cp1252", "ignore") or chr(n))])
+    gone = (
+        code.between(1, 8) | code.isin(0xB, 0x7F) | code.between(0xE, 0x1F)
+        | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
     )
-    names = F.create_map(*[F.lit(x) for pair in v.ENTITIES.items() for x in pair])
-    present = F.filter(
-        F.array_distinct(F.regexp_extract_all(text, F.lit("&[a-zA-Z]+;"), F.lit(0))), lambda e: F.map_contains_key(names, e)
+    return (
+        F.when(code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit(_REPLACEMENT))
+        .when(code.between(0x80, 0x9F), F.try_element_at(legacy, code.cast("int")))
+        .when(gone, F.lit(""))
+        .otherwise(_character(F.hex(code)))
     )
-    text = F.aggregate(present, text, lambda acc, e: F.replace(acc, e, F.try_element_at(names, e)))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def _character(hex_code: Column) -> Column:
@@ -45,6 +74,11 @@ def clean_html(column: Column, max_chars: int | None = None) -> Column:
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
+def stripped(column: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(F.regexp_replace(column, f"^{SPACES}", ""), f"{SPACES}$", "")
+
+
 def domain_of(url: Column) -> Column:
     """Lower-case host of a URL without a leading ``www.``; empty if none."""
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
@@ -88,14 +122,14 @@ def mail_date(column: Column) -> Column:
 
 def date_or_default(column: Column, default: str) -> Column:
     """A blank or missing date reads as the default."""
-    return F.coalesce(F.try_to_date(F.nullif(F.trim(column), F.lit(""))), F.lit(default).cast("date"))
+    return F.coalesce(F.try_to_date(F.nullif(stripped(column), F.lit(""))), F.lit(default).cast("date"))
 
 
 def without_bullet(line: Column) -> Column:
     """A line without its list marker or number."""
-    text = F.trim(F.regexp_replace(F.trim(line), r"^`+|`+$", ""))
-    text = F.trim(F.regexp_replace(text, r"^[-*•–—] ", ""))
-    return F.trim(F.regexp_replace(text, r"^[0-9][.)](.+)$", "$1"))
+    text = stripped(F.regexp_replace(stripped(line), "^`+", ""))
+    text = stripped(F.regexp_replace(text, r"^[-*•–—] ", ""))
+    return stripped(F.regexp_replace(text, r"^[0-9][.)](.+)$", "$1"))
 
 
 def bullets(text: Column) -> Column:
@@ -105,3 +139,9 @@ def bullets(text: Column) -> Column:
 
 def polarity_label(polarity: Column) -> Column:
     return F.when(polarity > 0, "Positive").when(polarity < 0, "Negative").otherwise("Neutral")
+
+
+def with_thousands(number: Column, decimals: int = 0, mark: str = ",") -> Column:
+    """A number as text, rounded half up, its thousands set apart by ``mark``."""
+    text = F.format_number(F.round(number.cast("decimal(38,18)"), decimals), decimals)
+    return text if mark == "," else F.replace(text, F.lit(","), F.lit(mark))

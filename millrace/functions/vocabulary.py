@@ -156,18 +156,6 @@ TRUST_TIERS = [
      "ft.com", "aljazeera.com", "cnbc.com", "reuters.com", "reutersagency.com"],
 ]
 
-# Common named character references.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•",
-    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-    "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&pound;": "£", "&cent;": "¢",
-    "&yen;": "¥", "&sect;": "§", "&deg;": "°", "&times;": "×", "&divide;": "÷",
-    "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç",
-    "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß", "&ntilde;": "ñ",
-}
-
 # English stop words.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers "

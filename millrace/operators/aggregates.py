@@ -180,13 +180,15 @@ def histogram_equal_bins(df: DataFrame, value: str, bins: int, density: bool = F
 
 def histogram_breaks(df: DataFrame, value: str, breaks: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Counts between fixed breaks, (low, high] with the first one closed at
-    both ends; empty bins included, values outside the breaks left out."""
+    both ends; empty bins included. Values below the first break are bin -1
+    (without a low end), values above the last one the bin after the last
+    (without a high end), so that the counts sum to all known values."""
     edges = [float(b) for b in breaks]
-    inside = F.col(value).between(edges[0], edges[-1])
-    bin_of = sum((F.when(F.col(value) > b, 1).otherwise(0) for b in edges[1:-1]), F.lit(0))
-    counted = df.filter(inside).groupBy(*by).agg(*[F.count_if(bin_of == i).alias(str(i)) for i in range(len(edges) - 1)])
-    rows = [F.struct(F.lit(i).cast("long").alias("bin"), F.lit(edges[i]).alias("low"), F.lit(edges[i + 1]).alias("high"), F.col(str(i)).alias("n"))
-            for i in range(len(edges) - 1)]
+    v, last = F.col(value), len(edges) - 1
+    bin_of = F.when(v < edges[0], -1).otherwise(sum((F.when(v > b, 1).otherwise(0) for b in edges[1:]), F.lit(0)))
+    counted = df.filter(v.isNotNull()).groupBy(*by).agg(*[F.count_if(bin_of == i).alias(str(i)) for i in range(-1, last + 1)])
+    border = lambda i: F.lit(edges[i] if 0 <= i <= last else None).cast("double")
+    rows = [F.struct(F.lit(i).cast("long").alias("bin"), border(i).alias("low"), border(i + 1).alias("high"), F.col(str(i)).alias("n")) for i in range(-1, last + 1)]
     return counted.select(*by, F.inline(F.array(*rows)))
 
 

@@ -29,8 +29,10 @@ def term_counts(df: DataFrame, identifier: str, text: str, stop_words: Sequence[
     """(document, term, n, length), without an exchange: a document is one row,
     so its words are sorted in place and the runs of equal words counted."""
     words = df.select(identifier, F.sort_array(tokens(F.col(text), stop_words)).alias("_w"))
-    words = words.select(identifier, "_w", F.size("_w").alias("_n")).filter(F.col("_n") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: ~F.get("_w", i).eqNullSafe(F.get("_w", i - 1)))
+    words = words.select(identifier, "_w", F.size("_w").alias("_n"))
+    # No filter on empty texts: pushed below, it would read all words twice. They have no runs, so no rows.
+    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: ~F.get("_w", i).eqNullSafe(F.get("_w", i - 1)))
     runs = words.select(identifier, "_w", "_n", starts.alias("_s"))
     each = F.transform(
         "_s", lambda start, j: F.struct(F.get("_w", start).alias("term"), (F.coalesce(F.get("_s", j + 1), F.col("_n")) - start).cast("long").alias("n"))
@@ -183,11 +185,11 @@ def text_map(df: DataFrame, column: str, function: Callable[[pd.Series], pd.Data
 def polarity(df: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame) -> DataFrame:
     """Summed word polarity and its label; texts without a hit are Neutral.
 
-    ``lexicon`` has term and polarity, unique per term. Hits are joined on the
-    term and summed before they meet the texts again.
+    ``lexicon`` has term and polarity, unique per term. Words meet it before
+    anything is summed, so only hits go on.
     """
-    words = df.select(*keys, F.explode(tokens(F.col(text), ())).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("_n"))
-    sums = words.join(lexicon, "term").groupBy(*keys).agg(F.sum(F.col("polarity") * F.col("_n")).alias("polarity"))
+    words = df.select(*keys, F.explode(tokens(F.col(text), ())).alias("term"))
+    sums = words.join(lexicon, "term").groupBy(*keys).agg(F.sum("polarity").alias("polarity"))
     scored = df.select(*keys).distinct().join(sums, list(keys), "left")
     value = F.coalesce(F.col("polarity"), F.lit(0)).cast("long")
     return scored.select(*keys, value.alias("polarity"), tx.polarity_label(value).alias("sentiment"))

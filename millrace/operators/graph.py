@@ -12,15 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.ranking import top_k
 
-# A product's raters are cut into tiles of about this many before pairing, so
-# that no task builds more than TILE x TILE pairs whatever the product.
-TILE = 2000
-# Products per block of a category.
-CATALOGUE_BLOCK = 5000
-# Baskets above this many items go by (customer, basket) pairs instead of item
-# pairs, see co_buyer_candidates.
-HEAVY_BASKET = 500
-
 
 def rated_edges(ratings: DataFrame, products: DataFrame) -> DataFrame:
     """Ratings of products that are still sold, with the product's category."""
@@ -101,99 +92,51 @@ def quantity_by_customer_product(paths: DataFrame, category: str | None = None)
     )
 
 
-# --- pairs of customers that rated one product ---------------------------------
+# --- one customer beside the others ---------------------------------------------
 
 
-def co_rating_pairs(edges: DataFrame, tile: int = TILE) -> DataFrame:
-    """Unordered pairs of customers with a product both rated, one row per
-    (pair, product): customer_1 < customer_2, product_id, rating_1, rating_2.
+def co_rating_pairs(edges: DataFrame, customer) -> DataFrame:
+    """One row per product that ``customer`` and another customer both rated:
+    customer_1 (the given one), customer_2, product_id, rating_1, rating_2.
 
-    The result has a row per pair by definition. What must not happen is one
-    task making all pairs of a popular product, so raters are hashed into
-    ceil(n / tile) blocks per product and the join key carries both blocks: a
-    popular product becomes many equal tiles, a small one stays a single tile.
-    Apply rating filters to ``edges`` before calling.
+    Only the products of the one customer are followed, so the work is linear
+    in the raters of these products.
     """
-    slim = edges.select("customer_id", "product_id", "rating")
-    blocks = slim.groupBy("product_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_blocks"))
-    placed = slim.join(blocks, "product_id").withColumn(
-        "_block", F.pmod(F.xxhash64("customer_id"), F.col("_blocks")).cast("int")
-    )
-    left = placed.select(
-        "product_id",
-        F.col("_block").alias("_low"),
-        F.explode(F.sequence(F.col("_block"), F.col("_blocks") - 1)).alias("_high"),
-        F.col("customer_id").alias("_a"),
-        F.col("rating").alias("_ra"),
-    )
-    right = placed.select(
-        "product_id",
-        F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_low"),
-        F.col("_block").alias("_high"),
-        F.col("customer_id").alias("_b"),
-        F.col("rating").alias("_rb"),
-    )
-    pairs = left.join(right, ["product_id", "_low", "_high"]).filter(
-        (F.col("_low") < F.col("_high")) | (F.col("_a") < F.col("_b"))
+    mine = edges.filter(F.col("customer_id") == customer).select(
+        F.col("customer_id").alias("customer_1"), "product_id", F.col("rating").alias("rating_1")
     )
-    forward = F.col("_a") < F.col("_b")
-    return pairs.select(
-        F.least("_a", "_b").alias("customer_1"),
-        F.greatest("_a", "_b").alias("customer_2"),
-        "product_id",
-        F.when(forward, F.col("_ra")).otherwise(F.col("_rb")).alias("rating_1"),
-        F.when(forward, F.col("_rb")).otherwise(F.col("_ra")).alias("rating_2"),
+    others = edges.filter(F.col("customer_id") != customer).select(
+        F.col("customer_id").alias("customer_2"), "product_id", F.col("rating").alias("rating_2")
     )
+    return mine.join(others, "product_id").select("customer_1", "customer_2", "product_id", "rating_1", "rating_2")
 
 
-def mirrored(pairs: DataFrame) -> DataFrame:
-    """Both directions of unordered pairs, by one explode (no second join)."""
-    sides = F.array(
-        F.struct(F.col("customer_1").alias("a"), F.col("customer_2").alias("b"), F.lit(False).alias("swapped")),
-        F.struct(F.col("customer_2").alias("a"), F.col("customer_1").alias("b"), F.lit(True).alias("swapped")),
-    )
-    return pairs.withColumn("_side", F.explode(sides))
-
+def rating_differences(edges: DataFrame, customer, category=None) -> DataFrame:
+    """Absolute rating gap of one customer and every other one over the
+    products they share, in one category or in all."""
+    pairs = co_rating_pairs(edges if category is None else edges.filter(F.col("category_id") == category), customer)
+    return pairs.withColumn("rating_difference", F.abs(F.col("rating_1") - F.col("rating_2")))
 
-def rating_differences(edges: DataFrame, customer=None, product=None) -> DataFrame:
-    """Absolute rating gap of customers over the products they share.
 
-    With ``customer`` the one customer's ratings meet everyone else's (linear
-    in the raters); with ``product`` only that product is paired; without
-    either, all pairs come out once, as customer_1 < customer_2.
-    """
-    if customer is not None:
-        mine = edges.filter(F.col("customer_id") == customer).select(
-            F.col("customer_id").alias("customer_1"), "product_id", F.col("rating").alias("rating_1")
-        )
-        others = edges.filter(F.col("customer_id") != customer).select(
-            F.col("customer_id").alias("customer_2"), "product_id", F.col("rating").alias("rating_2")
-        )
-        pairs = mine.join(others, "product_id")
-    else:
-        pairs = co_rating_pairs(edges if product is None else edges.filter(F.col("product_id") == product))
-    return pairs.withColumn("rating_difference", F.abs(F.col("rating_1") - F.col("rating_2")))
+def rating_gaps_to_mean(edges: DataFrame, product) -> DataFrame:
+    """Every rating of one product beside the mean of all of them."""
+    rated = edges.filter(F.col("product_id") == product).select("customer_id", "product_id", "rating")
+    mean = rated.groupBy("product_id").agg(F.round(F.avg("rating"), 9).alias("mean_rating"))
+    return rated.join(mean, "product_id").select(
+        "customer_id", "product_id", "rating", "mean_rating", F.round(F.abs(F.col("rating") - F.col("mean_rating")), 9).alias("rating_difference")
+    )
 
 
-def close_high_raters(edges: DataFrame, min_rating: float, max_gap: float, min_gap: float | None = None, quirk: bool = False) -> DataFrame:
-    """Pairs that both rated a product above ``min_rating`` with a gap below
-    ``max_gap`` (and above ``min_gap`` if given).
+def close_high_raters(edges: DataFrame, customer, min_rating: float, max_gap: float, min_gap: float | None = None, quirk: bool = False) -> DataFrame:
+    """Customers that rated a product as ``customer`` did: both above
+    ``min_rating``, with a gap below ``max_gap`` (and above ``min_gap`` if given).
 
-    Default: the gap is absolute, each pair once. ``quirk=True`` leaves the
-    absolute value out and lists ordered pairs, so any negative gap passes.
-    Ratings of a customer sum to 1, so fewer than 1/min_rating products of each
-    customer reach the pairing.
+    Default: the gap is absolute. ``quirk=True`` leaves the absolute value out,
+    so any negative gap passes.
     """
-    pairs = co_rating_pairs(edges.filter(F.col("rating") > min_rating))
+    pairs = co_rating_pairs(edges.filter(F.col("rating") > min_rating), customer)
     if quirk:
-        ordered = mirrored(pairs).select(
-            F.col("_side.a").alias("customer_1"),
-            F.col("_side.b").alias("customer_2"),
-            "product_id",
-            F.when(F.col("_side.swapped"), F.col("rating_2")).otherwise(F.col("rating_1")).alias("rating_1"),
-            F.when(F.col("_side.swapped"), F.col("rating_1")).otherwise(F.col("rating_2")).alias("rating_2"),
-        )
-        return ordered.filter(F.col("rating_1") - F.col("rating_2") < max_gap)
+        return pairs.filter(F.col("rating_1") - F.col("rating_2") < max_gap)
     gap = F.abs(F.col("rating_1") - F.col("rating_2"))
     kept = pairs.filter(gap < max_gap)
     return kept if min_gap is None else kept.filter(gap > min_gap)
@@ -210,10 +153,10 @@ def first_product_per_pair(pairs: DataFrame) -> DataFrame:
     ).drop("_first", "_gap")
 
 
-def cosine_similarity(edges: DataFrame) -> DataFrame:
-    """Cosine of two customers' ratings over the products both rated."""
+def cosine_similarity(edges: DataFrame, customer) -> DataFrame:
+    """Cosine of one customer's ratings and every other one's over the products both rated."""
     return (
-        co_rating_pairs(edges)
+        co_rating_pairs(edges, customer)
         .groupBy("customer_1", "customer_2")
         .agg(
             F.count(F.lit(1)).alias("n_shared"),
@@ -231,22 +174,20 @@ def cosine_similarity(edges: DataFrame) -> DataFrame:
 
 
 def nearest_customers(similarity: DataFrame, neighbours: int) -> DataFrame:
-    """The k most similar customers of each customer (ties by id)."""
-    both = mirrored(similarity).select(
-        F.col("_side.a").alias("customer_id"), F.col("_side.b").alias("neighbour_id"), "similarity"
-    )
-    return top_k(both, ["customer_id"], [F.desc("similarity"), F.col("neighbour_id")], neighbours)
+    """The k most similar customers (ties by id)."""
+    named = similarity.select(F.col("customer_1").alias("customer_id"), F.col("customer_2").alias("neighbour_id"), "similarity")
+    return top_k(named, ["customer_id"], [F.desc("similarity"), F.col("neighbour_id")], neighbours)
 
 
-def collaborative_filter(edges: DataFrame, neighbours: int, low: float, high: float) -> DataFrame:
-    """Mean rating by a customer's nearest customers of the products this
+def collaborative_filter(edges: DataFrame, customer, neighbours: int, low: float, high: float) -> DataFrame:
+    """Mean rating by the customer's nearest customers of the products this
     customer has not bought, kept when it lies between ``low`` and ``high``."""
-    near = nearest_customers(cosine_similarity(edges), neighbours).select("customer_id", "neighbour_id")
+    near = nearest_customers(cosine_similarity(edges, customer), neighbours).select("customer_id", "neighbour_id")
     theirs = edges.select(F.col("customer_id").alias("neighbour_id"), "product_id", "rating")
-    owned = edges.select("customer_id", "product_id")
+    owned = edges.filter(F.col("customer_id") == customer).select("product_id")
     return (
         near.join(theirs, "neighbour_id")
-        .join(owned, ["customer_id", "product_id"], "left_anti")
+        .join(owned, "product_id", "left_anti")
         .groupBy("customer_id", "product_id")
         .agg(F.count(F.lit(1)).alias("n_neighbours"), F.round(F.avg("rating"), 9).alias("recommendation"))
         .filter((F.col("recommendation") > low) & (F.col("recommendation") < high))
@@ -256,112 +197,48 @@ def collaborative_filter(edges: DataFrame, neighbours: int, low: float, high: fl
 # --- recommendations -----------------------------------------------------------
 
 
-def co_buyer_candidates(edges: DataFrame, heavy: int = HEAVY_BASKET) -> DataFrame:
+def co_buyer_candidates(edges: DataFrame, customer) -> DataFrame:
     """Products of a category that other buyers of the customer's products in
     that category also bought and the customer did not: customer_id,
-    category_id, its block, product_id, n_paths (customer -> product <- other -> product).
+    category_id, product_id, n_paths (customer -> product <- other -> product).
 
-    A basket is what one customer bought in one category. Ordinary baskets are
-    reduced to counted item pairs, shared by all customers. A heavy basket
-    (more than ``heavy`` items) would make too many pairs; there are few of
-    those, and each reaches a customer as one counted (customer, basket) pair
-    that then meets the basket's items, which are results anyway.
+    The customer's products lead to their buyers, counted per category, and
+    those to what they bought there: linear in the baskets that are met.
     """
     slim = edges.select("customer_id", "category_id", "product_id")
-    sizes = slim.groupBy("customer_id", "category_id").agg(F.count(F.lit(1)).alias("_size"))
-    sized = slim.join(sizes, ["customer_id", "category_id"])
-    light = sized.filter(F.col("_size") <= heavy).drop("_size")
-    large = sized.filter(F.col("_size") > heavy).drop("_size")
-
-    # A product has one category, so pairs need no category column.
-    item_pairs = (
-        light.withColumnRenamed("product_id", "_owned")
-        .join(light, ["customer_id", "category_id"])
-        .filter(F.col("_owned") != F.col("product_id"))
-        .groupBy("_owned", "product_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    mine = slim.select("customer_id", F.col("product_id").alias("_owned"), "category_id")
-    by_items = mine.join(item_pairs, "_owned").select("customer_id", "product_id", "_n")
-    basket = large.select(F.col("customer_id").alias("_other"), "category_id", "product_id")
+    mine = slim.filter(F.col("customer_id") == customer)
+    others = slim.filter(F.col("customer_id") != customer)
     shared = (
-        mine.join(basket.withColumnRenamed("product_id", "_owned").drop("category_id"), "_owned")
-        .filter(F.col("customer_id") != F.col("_other"))
-        .groupBy("customer_id", "category_id", "_other")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        others.join(mine.select("product_id"), "product_id", "left_semi")
+        .groupBy("customer_id", "category_id").agg(F.count(F.lit(1)).alias("_n"))
     )
-    by_basket = shared.join(basket, ["category_id", "_other"]).select("customer_id", "product_id", "_n")
-    # Sums and the test for "not bought" have the same key: one exchange.
     return (
-        by_items.unionByName(by_basket)
-        .groupBy("customer_id", "product_id")
+        others.join(mine.select("product_id"), "product_id", "left_anti")
+        .join(shared, ["customer_id", "category_id"])
+        .groupBy("category_id", "product_id")
         .agg(F.sum("_n").alias("n_paths"))
-        .join(slim.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
-        .join(catalogue_blocks(slim.select("product_id", "category_id").distinct()), "product_id")
-        .select("customer_id", "category_id", "block", "product_id", "n_paths")
+        .select(F.lit(customer).cast(edges.schema["customer_id"].dataType).alias("customer_id"), "category_id", "product_id", "n_paths")
     )
 
 
-def catalogue_blocks(products: DataFrame, size: int = CATALOGUE_BLOCK) -> DataFrame:
-    """The products of each category with a block number: categories of any
-    size become blocks of about ``size`` products."""
-    counts = products.groupBy("category_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_blocks"))
-    return products.join(counts, "category_id").withColumn(
-        "block", F.pmod(F.xxhash64("product_id"), F.col("_blocks")).cast("int")
-    ).drop("_blocks")
-
-
-def _unbought(interest: DataFrame, edges: DataFrame, blocked: DataFrame, floor: str | None = None) -> DataFrame:
-    """For every (customer, category) of ``interest`` and every block of the
-    category: the items of the block minus those the customer bought; with
-    ``floor`` only items whose weight is above that column.
-
-    Customers meet whole blocks of the catalogue, not single products, so the
-    candidates are neither exchanged nor joined one by one. Lists above a floor
-    are made once per (block, floor) and shared by all customers with it.
-    """
-    shelves = blocked.groupBy("category_id", "block").agg(F.sort_array(F.collect_list(F.struct("product_id", "weight"))).alias("_items"))
-    keys = ["category_id"]
-    if floor is None:
-        lists = shelves.select("category_id", "block", F.transform("_items", lambda x: x["product_id"]).alias("_found"))
-    else:
-        keys.append(floor)
-        above = F.transform(F.filter("_items", lambda x: x["weight"] > F.col(floor)), lambda x: x["product_id"])
-        lists = interest.select(*keys).distinct().join(shelves, "category_id").select(*keys, "block", above.alias("_found"))
-    owned = (
-        edges.select("customer_id", "product_id")
-        .join(blocked.select("product_id", "category_id", "block"), "product_id")
-        .groupBy("customer_id", "category_id", "block")
-        .agg(F.collect_set("product_id").alias("_owned"))
-    )
+def unbought_in_category(edges: DataFrame, products: DataFrame, customer) -> DataFrame:
+    """Products of the categories the customer buys from that the customer has
+    not bought; n_paths counts the customer's products in the category (each
+    leads to every such product)."""
+    mine = edges.filter(F.col("customer_id") == customer)
+    interest = mine.groupBy("customer_id", "category_id").agg(F.count(F.lit(1)).alias("n_paths"))
+    live = products.filter(F.col("discontinued") == 0).select("product_id", "category_id")
     return (
-        interest.join(lists.filter(F.size("_found") > 0), keys)
-        .join(owned, ["customer_id", "category_id", "block"], "left")
-        .withColumn("recommended_products", F.array_except("_found", F.coalesce("_owned", F.array().cast("array<bigint>"))))
-        .filter(F.size("recommended_products") > 0)
-        .select(*interest.columns, "block", "recommended_products")
+        live.join(interest, "category_id").join(mine.select("product_id"), "product_id", "left_anti")
+        .select("customer_id", "category_id", "product_id", "n_paths")
     )
 
 
-def unbought_in_category(edges: DataFrame, products: DataFrame) -> DataFrame:
-    """Products of the categories a customer buys from that the customer has
-    not bought, as one sorted list per block of the category; n_paths counts the
-    customer's products in the category (each leads to every listed product)."""
-    live = products.filter(F.col("discontinued") == 0).select("product_id", "category_id", F.lit(0).alias("weight"))
-    interest = edges.groupBy("customer_id", "category_id").agg(F.count(F.lit(1)).alias("n_paths"))
-    return _unbought(interest, edges, catalogue_blocks(live))
-
-
-def recommendation_lists(candidates: DataFrame, keep_duplicates: bool = False) -> DataFrame:
-    """Candidates as one sorted list per customer and block of a category, so
-    that a list has a bounded number of products whatever the category holds.
-    ``keep_duplicates`` repeats a product once per path."""
-    grouped = candidates.groupBy("customer_id", "category_id", "block")
-    if not keep_duplicates:
-        return grouped.agg(F.sort_array(F.collect_list("product_id")).alias("recommended_products"))
-    lists = grouped.agg(F.sort_array(F.collect_list(F.struct("product_id", "n_paths"))).alias("_items"))
+def recommendation_lists(candidates: DataFrame) -> DataFrame:
+    """The candidates of one customer as a sorted list per category, in which a product stands once per path."""
+    lists = candidates.groupBy("customer_id", "category_id").agg(F.sort_array(F.collect_list(F.struct("product_id", "n_paths"))).alias("_items"))
     items = F.flatten(F.transform("_items", lambda x: F.array_repeat(x["product_id"], x["n_paths"].cast("int"))))
-    return lists.select("customer_id", "category_id", "block", items.alias("recommended_products"))
+    return lists.select("customer_id", "category_id", items.alias("recommended_products"))
 
 
 def also_bought(edges: DataFrame, product, more_than: int = 0) -> DataFrame:
@@ -385,22 +262,25 @@ def rating_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("category_id", "product_id").agg(F.count(F.lit(1)).alias("rating_count"))
 
 
-def better_rated_unbought(edges: DataFrame, customer=None, category=None) -> DataFrame:
+def better_rated_unbought(edges: DataFrame, customer, category=None) -> DataFrame:
     """Products of a category with more ratings than some product the customer
-    bought there, and which the customer has not bought: one sorted list per
-    (customer, category, block of the category).
+    bought there, and which the customer has not bought: customer_id,
+    category_id, floor, product_id, rating_count.
 
     "More than some bought product" is "more than the least rated bought
-    product", so one minimum per (customer, category) replaces the pairs.
+    product", so one minimum per category replaces the pairs.
     """
-    counts = rating_counts(edges)
-    mine = edges if customer is None else edges.filter(F.col("customer_id") == customer)
+    mine = edges.filter(F.col("customer_id") == customer)
     if category is not None:
         mine = mine.filter(F.col("category_id") == category)
+    counts = rating_counts(edges.join(mine.select("category_id").distinct(), "category_id", "left_semi"))
     floor = (
         mine.join(counts, ["category_id", "product_id"])
         .groupBy("customer_id", "category_id")
         .agg(F.min("rating_count").alias("floor"))
     )
-    blocked = catalogue_blocks(counts.withColumnRenamed("rating_count", "weight"))
-    return _unbought(floor, mine, blocked, "floor")
+    return (
+        counts.join(floor, "category_id").filter(F.col("rating_count") > F.col("floor"))
+        .join(mine.select("product_id"), "product_id", "left_anti")
+        .select("customer_id", "category_id", "floor", "product_id", "rating_count")
+    )

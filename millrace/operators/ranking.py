@@ -14,12 +14,19 @@ A plain window sends each group to one task. Three forms here avoid that:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from millrace.session import checkpoint
 
+# Rows that one bucket of a hash order should have.
+ROWS_PER_BUCKET = 100_000
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality on all keys (grouping treats nulls as one group)."""
@@ -53,14 +60,18 @@ def hash_rank(
     seed: str,
     rank: str = "rank",
     size: str | None = None,
-    prefix: int = 3,
+    prefix: int | None = None,
 ) -> DataFrame:
     """Number the rows of each stratum in hash order; optionally add the
     stratum's row count as ``size``.
 
     ``prefix`` hex digits make ``16**prefix`` even buckets per stratum, so the
-    work of one stratum spreads over as many tasks.
+    work of one stratum spreads over as many tasks. Unless given, it follows
+    from the row count: even one stratum of all rows has buckets of about
+    ``ROWS_PER_BUCKET`` rows.
     """
+    if prefix is None:
+        prefix = max(1, math.ceil(math.log(max(df.count(), 1) / ROWS_PER_BUCKET, 16)))
     hashed = df.withColumn("_hash", hash_order(id_column, seed)).withColumn(
         "_bucket", F.substring("_hash", 1, prefix)
     )
@@ -114,16 +125,56 @@ def running_total(
     condition = F.col("_pid") == F.col("_opid")
     for c in by:
         condition = condition & F.col(c).eqNullSafe(F.col("_g_" + c))
-    local = W.partitionBy("_pid", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("_w").over(local)
+    kind = placed.schema["_w"].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long", "double"):
+        # The rows of a written partition stand in order: one pass adds them up, without another exchange.
+        local = placed.mapInArrow(
+            _running_sums([placed.columns.index(c) for c in by], placed.columns.index("_w"), kind == "double"),
+            StructType([*placed.schema.fields, StructField("_local", placed.select(F.sum("_w")).schema[0].dataType)]),
+        )
+    else:
+        line = W.partitionBy("_pid", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        local = placed.withColumn("_local", F.sum("_w").over(line))
     return (
-        placed.withColumn("_local", total)
-        .join(F.broadcast(offsets), condition, "left")
+        local.join(F.broadcast(offsets), condition, "left")
         .withColumn(out, F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
         .drop("_w", "_pid", "_local", "_opid", "_offset", *["_g_" + c for c in by])
     )
 
 
+def _running_sums(keys: list[int], weight: int, real: bool):
+    """Running sums per group over one sorted partition; the group at the end of a batch goes on in the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            known = batch.column(weight).is_valid().to_numpy(zero_copy_only=False)
+            w = pc.fill_null(batch.column(weight), 0).to_numpy(zero_copy_only=False).astype(float if real else np.int64)
+            fresh = np.zeros(n, bool)
+            for k in keys:
+                column = batch.column(k)
+                differ = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+                null = column.is_null().to_numpy(zero_copy_only=False)
+                fresh[1:] |= differ | (null[1:] != null[:-1])
+            first = [batch.column(k)[0].as_py() for k in keys]
+            fresh[0] = last is None or first != last[0]
+            starts = np.flatnonzero(fresh).tolist()
+            out, seen = np.empty(n, w.dtype), np.empty(n, bool)
+            for a, b in zip([0, *starts], [*starts, n], strict=True):
+                if a < b:
+                    goes_on = not fresh[a]
+                    out[a:b] = np.cumsum(np.concatenate([[carry if goes_on else 0], w[a:b]]).astype(w.dtype))[1:]
+                    seen[a:b] = np.cumsum(known[a:b]) + (last[1] if goes_on and last else 0) > 0
+            carry, last = out[-1], ([batch.column(k)[n - 1].as_py() for k in keys], int(seen[-1]))
+            # As in SQL, a sum of nothing but nulls is null.
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, mask=~seen)], names=[*batch.schema.names, "_local"])
+
+    return run
+
+
 def rank_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """The exact row number of every row in its group, for a unique order."""
     return running_total(df, by, order, None, rank)

@@ -14,8 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# A factor with more levels than this is refused: its dummies would not fit a model.
-MAX_LEVELS = 200
 
 
 def standardised(df: DataFrame, columns: Sequence[str], ddof: int = 0, stats: dict | None = None) -> tuple[DataFrame, dict]:
@@ -145,11 +143,12 @@ def _summed_matrices(df: DataFrame, make: Callable[[np.ndarray], np.ndarray], si
 # --- least squares with factors and robust errors ------------------------------
 
 
-def levels_of(df: DataFrame, column: str, base: str | None = None) -> list:
-    """The sorted values of a factor, the base first."""
-    found = sorted(row[0] for row in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect())
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
+def levels_of(df: DataFrame, column: str, base: str | None = None, most: int | None = None) -> list:
+    """The sorted values of a factor, the base first. A model has a column per level, so the caller may name the most it wants."""
+    levels = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    found = sorted(row[0] for row in (levels if most is None else levels.limit(most + 1)).collect())
+    if most is not None and len(found) > most:
+        raise ValueError(f"{column} has more than {most} levels")
     return found if base is None else [base] + [x for x in found if x != base]
 
 

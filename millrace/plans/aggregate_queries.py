@@ -107,11 +107,14 @@ def _(t):
 BREAKS = [0, 1, 2, 3, 5, 10, 20, 50]
 
 
-@query("A16_histogram_breaks", " UNION ALL ".join(
-    f"""SELECT event_type, {i}::BIGINT AS bin, {lo}::DOUBLE AS low, {hi}::DOUBLE AS high,
-        count(*) FILTER (WHERE value {'>=' if i == 0 else '>'} {lo} AND value <= {hi}) AS n
-        FROM events WHERE value BETWEEN {BREAKS[0]} AND {BREAKS[-1]} GROUP BY event_type"""
-    for i, (lo, hi) in enumerate(zip(BREAKS, BREAKS[1:]))))
+def _bin_sql(i: int) -> str:
+    low, high = (BREAKS[i] if i >= 0 else None), (BREAKS[i + 1] if i + 1 < len(BREAKS) else None)
+    tests = ([f"value {'>=' if i == 0 else '>'} {low}"] if low is not None else []) + ([f"value {'<=' if low is not None else '<'} {high}"] if high is not None else [])
+    return f"""SELECT event_type, {i}::BIGINT AS bin, {'NULL' if low is None else low}::DOUBLE AS low, {'NULL' if high is None else high}::DOUBLE AS high,
+        count(*) FILTER (WHERE {' AND '.join(tests)}) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type"""
+
+
+@query("A16_histogram_breaks", " UNION ALL ".join(map(_bin_sql, range(-1, len(BREAKS)))))
 def _(t):
     return ag.histogram_breaks(t.events, "value", BREAKS, ["event_type"])
 

@@ -287,7 +287,7 @@ def _(t):
 
 @query("M9_kmeans_clusters")
 def _(t):
-    clusters, _centres, _n = nb.k_means(t.embeddings, "vec_id", "embedding", 3, "seed", max_iterations=20)
+    clusters, _centres, _n = nb.k_means(t.embeddings, "vec_id", "embedding", 3, "seed")
     return clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 

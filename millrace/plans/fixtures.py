@@ -47,9 +47,15 @@ def lines(t: Tables) -> DataFrame:
 
 
 def edges(t: Tables) -> DataFrame:
-    """The rated edges, materialised: graph questions read them several times,
-    and they are far smaller than the lines they come from."""
-    return checkpoint(graph.rated_edges(retail.ratings(lines(t)), products(t)))
+    """The rated edges as a plan: a question about one customer or product prunes what it does not need."""
+    return graph.rated_edges(retail.ratings(lines(t)), products(t))
+
+
+def written_edges(t: Tables) -> DataFrame:
+    """The rated edges, written once per ``Tables``, for questions that truly read all of them more than once."""
+    if t.cache.get("edges") is None:
+        t.cache["edges"] = checkpoint(edges(t))
+    return t.cache["edges"]
 
 
 # The same relations as SQL common table expressions.

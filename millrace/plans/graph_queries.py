@@ -10,7 +10,8 @@ PAIRS = """
 pairs AS (
   SELECT a.customer_id AS customer_1, b.customer_id AS customer_2, a.product_id,
          a.rating AS rating_1, b.rating AS rating_2
-  FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.customer_id < b.customer_id)"""
+  FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.customer_id <> b.customer_id
+  WHERE a.customer_id = {customer})"""
 SIMILARITY = """
 similarity AS (
   SELECT customer_1, customer_2, count(*) AS n_shared,
@@ -20,32 +21,26 @@ NEAR = """
 near AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY similarity DESC, neighbour_id) AS rank
-    FROM (SELECT customer_1 AS customer_id, customer_2 AS neighbour_id, similarity FROM similarity
-          UNION ALL SELECT customer_2, customer_1, similarity FROM similarity))
+    FROM (SELECT customer_1 AS customer_id, customer_2 AS neighbour_id, similarity FROM similarity))
   WHERE rank <= {k})"""
 
 # Parameters of the one-customer, one-product and one-category questions.
 CUSTOMER, PRODUCT, CATEGORY = 17, 3, "Brand#7"
-HIGH, GAP, SMALL_GAP = 0.05, 0.02, 0.002
+HIGH, GAP, SMALL_GAP = 0.01, 0.02, 0.002
+PAIRS = PAIRS.format(customer=CUSTOMER)
 
 
 @query("J6_not_bought", f"""
-{fx.GRAPH}, brands AS (SELECT DISTINCT customer_id, category_id FROM edges WHERE category_id = '{CATEGORY}')
-SELECT b.customer_id, p.product_id FROM brands b JOIN products p USING (category_id)
-WHERE discontinued = 0 AND NOT EXISTS (
-  SELECT 1 FROM edges e WHERE e.customer_id = b.customer_id AND e.product_id = p.product_id)""")
+{fx.GRAPH}
+SELECT i.customer_id, p.product_id FROM (SELECT DISTINCT customer_id, category_id FROM edges WHERE customer_id = {CUSTOMER}) i JOIN products p USING (category_id)
+WHERE discontinued = 0 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.customer_id = i.customer_id AND e.product_id = p.product_id)""")
 def _(t):
-    bought = fx.edges(t)
-    shelf = fx.products(t).filter((F.col("category_id") == CATEGORY) & (F.col("discontinued") == 0))
-    fans = bought.filter(F.col("category_id") == CATEGORY).select("customer_id", "category_id").distinct()
-    return fans.join(shelf, "category_id").select("customer_id", "product_id").join(
-        bought.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti"
-    )
+    return graph.unbought_in_category(fx.edges(t), fx.products(t), CUSTOMER).select("customer_id", "product_id")
 
 
 @query("J7_co_rating_pairs", f"{fx.GRAPH},{PAIRS} SELECT customer_1, customer_2, product_id FROM pairs")
 def _(t):
-    return graph.co_rating_pairs(fx.edges(t)).select("customer_1", "customer_2", "product_id")
+    return graph.co_rating_pairs(fx.edges(t), CUSTOMER).select("customer_1", "customer_2", "product_id")
 
 
 @query("J8_first_product_per_pair", f"""
@@ -54,7 +49,7 @@ SELECT customer_1, customer_2, product_id, rating_1, rating_2 FROM (
   SELECT *, row_number() OVER (PARTITION BY customer_1, customer_2 ORDER BY abs(rating_1 - rating_2) DESC, product_id) AS rn
   FROM pairs WHERE rating_1 > {HIGH} AND rating_2 > {HIGH} AND abs(rating_1 - rating_2) < {GAP}) WHERE rn = 1""")
 def _(t):
-    return graph.first_product_per_pair(graph.close_high_raters(fx.edges(t), HIGH, GAP))
+    return graph.first_product_per_pair(graph.close_high_raters(fx.edges(t), CUSTOMER, HIGH, GAP))
 
 
 @query("J9_rating_gap_band", f"""
@@ -62,7 +57,7 @@ def _(t):
 SELECT * FROM pairs WHERE rating_1 > {HIGH} AND rating_2 > {HIGH}
   AND abs(rating_1 - rating_2) > {SMALL_GAP} AND abs(rating_1 - rating_2) < {GAP}""")
 def _(t):
-    return graph.close_high_raters(fx.edges(t), HIGH, GAP, SMALL_GAP)
+    return graph.close_high_raters(fx.edges(t), CUSTOMER, HIGH, GAP, SMALL_GAP)
 
 
 @query("J10_purchase_paths", f"""
@@ -88,7 +83,7 @@ UNION SELECT 'has_number_of', 'prod_' || product_id, 'rating_' || product_id FRO
 
 def edge_table(t):
     supplies = t.lineitem.select(F.col("l_suppkey").alias("supplier_id"), F.col("l_partkey").alias("product_id"))
-    return graph.edge_table(fx.lines(t), fx.orders(t), fx.products(t), supplies, graph.rating_counts(fx.edges(t)))
+    return graph.edge_table(fx.lines(t), fx.orders(t), fx.products(t), supplies, graph.rating_counts(fx.written_edges(t)))
 
 
 @query("J11_edge_table", f"{EDGE_TABLE} SELECT edge, src, dst FROM edge_table")
@@ -107,7 +102,7 @@ UNION ALL SELECT 'node', 'product', count(*) FROM live
 UNION ALL SELECT 'node', 'order_header', count(*) FROM orders
 UNION ALL SELECT 'node', 'order_line', count(*) FROM (SELECT DISTINCT order_id, product_id FROM lines)""")
 def _(t):
-    rated = fx.edges(t).select(
+    rated = fx.written_edges(t).select(
         F.lit("rated").alias("edge"), graph.prefixed("cust_", "customer_id").alias("src"),
         graph.prefixed("prod_", "product_id").alias("dst"),
     )
@@ -153,97 +148,85 @@ def _(t):
     return graph.quantity_by_customer_product(graph.purchase_paths(fx.lines(t), fx.products(t)), CATEGORY)
 
 
-CO_BUYERS = """
+CO_BUYERS = f"""
 candidates AS (
   SELECT a.customer_id, c.category_id, c.product_id, count(*) AS n_paths
   FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.customer_id <> b.customer_id
   JOIN edges c ON c.customer_id = b.customer_id AND c.category_id = a.category_id AND c.product_id <> a.product_id
-  WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = a.customer_id AND o.product_id = c.product_id)
+  WHERE a.customer_id = {CUSTOMER} AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = a.customer_id AND o.product_id = c.product_id)
   GROUP BY ALL)"""
 
 
-@query("G3_co_buyer_recommendations", f"""
-{fx.GRAPH},{CO_BUYERS}
-SELECT customer_id, category_id, 0 AS block, list(product_id ORDER BY product_id) AS recommended_products FROM candidates GROUP BY ALL""")
+@query("G3_co_buyer_recommendations", f"{fx.GRAPH},{CO_BUYERS} SELECT customer_id, category_id, product_id FROM candidates")
 def _(t):
-    return graph.recommendation_lists(graph.co_buyer_candidates(fx.edges(t)))
+    return graph.co_buyer_candidates(fx.edges(t), CUSTOMER).drop("n_paths")
 
 
-@query("G3_co_buyer_paths", f"""
-{fx.GRAPH},{CO_BUYERS}
-SELECT category_id, product_id, count(*) AS n_customers, sum(n_paths)::BIGINT AS n_paths FROM candidates GROUP BY ALL""")
+@query("G3_co_buyer_paths", f"{fx.GRAPH},{CO_BUYERS} SELECT customer_id, category_id, product_id, n_paths FROM candidates")
 def _(t):
-    """How often each product is recommended, over all customers."""
-    return graph.co_buyer_candidates(fx.edges(t)).groupBy("category_id", "product_id").agg(
-        F.count(F.lit(1)).alias("n_customers"), F.sum("n_paths").alias("n_paths")
-    )
+    """How many ways lead to each recommended product."""
+    return graph.co_buyer_candidates(fx.edges(t), CUSTOMER)
 
 
 @query("G4_unbought_in_category", f"""
 {fx.GRAPH}
-SELECT customer_id, category_id, n_paths, 0 AS block, list(product_id ORDER BY product_id) AS recommended_products
-FROM (SELECT customer_id, category_id, count(*) AS n_paths FROM edges GROUP BY ALL) i JOIN products p USING (category_id)
+SELECT customer_id, category_id, product_id, n_paths
+FROM (SELECT customer_id, category_id, count(*) AS n_paths FROM edges WHERE customer_id = {CUSTOMER} GROUP BY ALL) i JOIN products p USING (category_id)
 WHERE discontinued = 0
-  AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = i.customer_id AND o.product_id = p.product_id)
-GROUP BY customer_id, category_id, n_paths""")
+  AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = i.customer_id AND o.product_id = p.product_id)""")
 def _(t):
-    return graph.unbought_in_category(fx.edges(t), fx.products(t))
+    return graph.unbought_in_category(fx.edges(t), fx.products(t), CUSTOMER)
 
 
 @query("A22_recommendation_lists", f"""
 {fx.GRAPH},{CO_BUYERS}
-SELECT customer_id, category_id, 0 AS block, list(product_id ORDER BY product_id) AS recommended_products
+SELECT customer_id, category_id, list(product_id ORDER BY product_id) AS recommended_products
 FROM (SELECT customer_id, category_id, product_id, unnest(range(n_paths)) FROM candidates) GROUP BY customer_id, category_id""")
 def _(t):
-    return graph.recommendation_lists(graph.co_buyer_candidates(fx.edges(t)), keep_duplicates=True)
+    return graph.recommendation_lists(graph.co_buyer_candidates(fx.edges(t), CUSTOMER))
 
 
-@query("G5_rating_difference_customer", f"""
-{fx.GRAPH}
-SELECT a.customer_id AS customer_1, b.customer_id AS customer_2, a.product_id, a.rating AS rating_1, b.rating AS rating_2,
-       abs(a.rating - b.rating) AS rating_difference
-FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.customer_id <> b.customer_id
-WHERE a.customer_id = {CUSTOMER}""")
+@query("G5_rating_difference_customer", f"{fx.GRAPH},{PAIRS} SELECT *, abs(rating_1 - rating_2) AS rating_difference FROM pairs")
 def _(t):
-    return graph.rating_differences(fx.edges(t), customer=CUSTOMER)
+    return graph.rating_differences(fx.edges(t), CUSTOMER)
 
 
 @query("G5_rating_difference_product", f"""
-{fx.GRAPH},{PAIRS}
-SELECT *, abs(rating_1 - rating_2) AS rating_difference FROM pairs WHERE product_id = {PRODUCT}""")
+{fx.GRAPH}
+SELECT customer_id, product_id, rating, round(avg(rating) OVER (), 9) AS mean_rating, round(abs(rating - round(avg(rating) OVER (), 9)), 9) AS rating_difference
+FROM edges WHERE product_id = {PRODUCT}""")
 def _(t):
-    return graph.rating_differences(fx.edges(t), product=PRODUCT)
+    return graph.rating_gaps_to_mean(fx.edges(t), PRODUCT)
 
 
-@query("G5_rating_difference_all", f"{fx.GRAPH},{PAIRS} SELECT *, abs(rating_1 - rating_2) AS rating_difference FROM pairs")
+@query("G5_rating_difference_all", f"""
+{fx.GRAPH},{PAIRS} SELECT *, abs(rating_1 - rating_2) AS rating_difference FROM pairs
+WHERE product_id IN (SELECT product_id FROM products WHERE category_id = '{CATEGORY}')""")
 def _(t):
-    return graph.rating_differences(fx.edges(t))
+    return graph.rating_differences(fx.edges(t), CUSTOMER, CATEGORY)
 
 
 @query("G6_close_high_raters", f"""
 {fx.GRAPH},{PAIRS}
 SELECT * FROM pairs WHERE rating_1 > {HIGH} AND rating_2 > {HIGH} AND abs(rating_1 - rating_2) < {GAP}""")
 def _(t):
-    return graph.close_high_raters(fx.edges(t), HIGH, GAP)
+    return graph.close_high_raters(fx.edges(t), CUSTOMER, HIGH, GAP)
 
 
 @query("G6_close_high_raters_quirk", f"""
-{fx.GRAPH}
-SELECT a.customer_id AS customer_1, b.customer_id AS customer_2, a.product_id, a.rating AS rating_1, b.rating AS rating_2
-FROM edges a JOIN edges b ON a.product_id = b.product_id AND a.customer_id <> b.customer_id
-WHERE a.rating > {HIGH} AND b.rating > {HIGH} AND a.rating - b.rating < {GAP}""")
+{fx.GRAPH},{PAIRS} SELECT * FROM pairs WHERE rating_1 > {HIGH} AND rating_2 > {HIGH} AND rating_1 - rating_2 < {GAP}""")
 def _(t):
-    return graph.close_high_raters(fx.edges(t), HIGH, GAP, quirk=True)
+    return graph.close_high_raters(fx.edges(t), CUSTOMER, HIGH, GAP, quirk=True)
 
 
 @query("G7_customer_similarity", f"{fx.GRAPH},{PAIRS},{SIMILARITY} SELECT * FROM similarity")
 def _(t):
-    return graph.cosine_similarity(fx.edges(t))
+    return graph.cosine_similarity(fx.edges(t), CUSTOMER)
 
 
 @query("W2_nearest_customers", f"{fx.GRAPH},{PAIRS},{SIMILARITY},{NEAR.format(k=3)} SELECT customer_id, neighbour_id, similarity, rank FROM near")
 def _(t):
-    return graph.nearest_customers(graph.cosine_similarity(fx.edges(t)), 3).withColumn("rank", F.col("rank").cast("long"))
+    return graph.nearest_customers(graph.cosine_similarity(fx.edges(t), CUSTOMER), 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("G8_collaborative_filter", f"""
@@ -255,7 +238,7 @@ SELECT * FROM (
   GROUP BY ALL)
 WHERE recommendation > 0.04 AND recommendation < 0.3""")
 def _(t):
-    return graph.collaborative_filter(fx.edges(t), 5, 0.04, 0.3)
+    return graph.collaborative_filter(fx.edges(t), CUSTOMER, 5, 0.04, 0.3)
 
 
 @query("G9_also_bought", f"""
@@ -272,21 +255,18 @@ def _(t):
     return graph.rating_counts(fx.edges(t)).orderBy("category_id", F.desc("rating_count"), "product_id")
 
 
-BETTER = """
-, counts AS (SELECT category_id, product_id, count(*) AS n FROM edges GROUP BY ALL)
-SELECT e.customer_id, e.category_id, min(c1.n) AS floor, 0 AS block, list(DISTINCT c2.product_id ORDER BY c2.product_id) AS recommended_products
-FROM edges e JOIN counts c1 ON c1.product_id = e.product_id
-JOIN (SELECT category_id, product_id, n FROM counts) c2 ON c2.category_id = e.category_id
-WHERE c2.n > (SELECT min(c.n) FROM edges f JOIN counts c ON c.product_id = f.product_id WHERE f.customer_id = e.customer_id AND f.category_id = e.category_id)
-  AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = e.customer_id AND o.product_id = c2.product_id) {only}
-GROUP BY e.customer_id, e.category_id"""
+BETTER = f"""
+{fx.GRAPH}, counts AS (SELECT category_id, product_id, count(*) AS n FROM edges GROUP BY ALL),
+floors AS (SELECT e.customer_id, e.category_id, min(n) AS floor FROM edges e JOIN counts c ON c.product_id = e.product_id WHERE e.customer_id = {CUSTOMER} GROUP BY ALL)
+SELECT f.customer_id, f.category_id, floor, c.product_id, n AS rating_count FROM floors f JOIN counts c ON c.category_id = f.category_id
+WHERE n > floor AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.customer_id = f.customer_id AND o.product_id = c.product_id)"""
 
 
-@query("G11_better_rated_unbought", fx.GRAPH + BETTER.format(only=""))
+@query("G11_better_rated_for_customer", BETTER)
 def _(t):
-    return graph.better_rated_unbought(fx.edges(t))
+    return graph.better_rated_unbought(fx.edges(t), CUSTOMER)
 
 
-@query("G11_better_rated_for_customer", fx.GRAPH + BETTER.format(only=f"AND e.customer_id = {CUSTOMER}"))
+@query("G11_better_rated_unbought", f"{BETTER} AND f.category_id = '{CATEGORY}'")
 def _(t):
-    return graph.better_rated_unbought(fx.edges(t), customer=CUSTOMER)
+    return graph.better_rated_unbought(fx.edges(t), CUSTOMER, CATEGORY)

@@ -24,7 +24,7 @@ def _(t):
     messy = t.customer.select(F.col("c_custkey").alias("Cust.Key"), F.col("c_name").alias("Cust.Name."), F.col("c_acctbal").alias("Acct.Bal"))
     path = sinks.write_csv(messy, scratch_path(t.spark, "csv"))
     schema = StructType([StructField("Cust.Key", LongType()), StructField("Cust.Name.", StringType()), StructField("Acct.Bal", DoubleType())])
-    return readers.read_csv(t.spark, path, schema)
+    return readers.read_csv(t.spark, path, schema, unescape=True)
 
 
 @query("S2_csv_upper_names", "SELECT s_suppkey AS SUPP_KEY, s_name AS SUPP_NAME_ FROM supplier")
@@ -32,7 +32,7 @@ def _(t):
     messy = t.supplier.select(F.col("s_suppkey").alias("Supp Key"), F.col("s_name").alias("Supp-Name?"))
     path = sinks.write_csv(messy, scratch_path(t.spark, "csv"))
     schema = StructType([StructField("Supp Key", LongType()), StructField("Supp-Name?", StringType())])
-    return readers.read_csv(t.spark, path, schema, readers.upper_name)
+    return readers.read_csv(t.spark, path, schema, readers.upper_name, unescape=True)
 
 
 @query("S3_csv_after_preamble", "SELECT o_orderkey AS ID, o_custkey AS RESPONDENT, o_orderpriority AS ANSWER FROM orders")
@@ -57,14 +57,18 @@ def _(t):
                               (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
 
 
-@query("S6_file_paths", "SELECT doc_id, '/images/train/' || doc_id || '.tif' AS path FROM labels")
+@query("S5_whole_documents", "SELECT item_id, text FROM benchmark")
 def _(t):
-    return t.labels.select("doc_id", readers.file_path("/images/train/", F.col("doc_id"), ".tif").alias("path"))
+    """Texts written one to a file and read back whole; the writer ends each file with a newline."""
+    root = scratch_path(t.spark, "texts")
+    t.benchmark.select("text", "item_id").write.partitionBy("item_id").text(root)
+    whole = readers.read_documents(t.spark, root + "/item_id=*")
+    return whole.select(F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("long").alias("item_id"), F.regexp_replace("text", "\n$", "").alias("text"))
 
 
-@query("S6_file_listing")
+@query("S6_file_paths", "SELECT doc_id, '/images/train/' || doc_id || '.tif' AS path FROM labels")
 def _(t):
-    return readers.list_files(t.spark, t.folder, "*.parquet").select("file", "length")
+    return t.labels.select("doc_id", readers.file_path("/images/train/", F.col("doc_id"), ".tif").alias("path"))
 
 
 @query("S7_capped_feed", """
@@ -74,13 +78,14 @@ def _(t):
     return readers.capped_feed(t.documents.select("source", "doc_id"), "source", "doc_id").select("source", "doc_id", "entry")
 
 
-@query("S8_csv_sink", "SELECT o_orderkey, o_totalprice, o_orderpriority, year(o_orderdate)::INTEGER AS year FROM orders")
+@query("S8_csv_sink", "SELECT doc_id, text, CASE WHEN n_chars % 7 = 0 THEN NULL WHEN n_chars % 5 = 0 THEN '' ELSE ' ' || source || ' ' END AS remark, lang FROM documents")
 def _(t):
-    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("year"))
-    path = sinks.write_csv(rows, scratch_path(t.spark, "csv"), ["year"])
-    schema = StructType([StructField("o_orderkey", LongType()), StructField("o_totalprice", DoubleType()),
-                         StructField("o_orderpriority", StringType()), StructField("year", IntegerType())])
-    return readers.read_csv(t.spark, path, schema)
+    """Texts with line breaks, quotes and backslashes, nulls, empty fields and outer blanks, by way of files."""
+    rest = F.col("n_chars") % 7 == 0
+    rows = t.documents.select("doc_id", "text", F.when(rest, None).when(F.col("n_chars") % 5 == 0, "").otherwise(F.concat(F.lit(" "), "source", F.lit(" "))).alias("remark"), "lang")
+    path = sinks.write_csv(rows, scratch_path(t.spark, "csv"), ["lang"])
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("remark", StringType()), StructField("lang", StringType())])
+    return readers.read_csv(t.spark, path, schema, unescape=True)
 
 
 @query("S9_document_collections", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -97,8 +102,8 @@ first_load AS (SELECT *, row_number() OVER (PARTITION BY day, lower(headline) OR
 second_load AS (SELECT event_id, day, event_type, upper(headline) AS headline, value + 1000 AS value,
   row_number() OVER (PARTITION BY day, lower(headline) ORDER BY event_id) AS r FROM stories WHERE day >= DATE '2024-01-15'),
 a AS (SELECT * FROM first_load WHERE r = 1), b AS (SELECT * FROM second_load WHERE r = 1)
-SELECT event_id, day, event_type, headline, value FROM b
-UNION ALL SELECT event_id, day, event_type, headline, value FROM a
+SELECT event_id, day, event_type, headline, value, TIMESTAMP '2024-02-02 06:00:00' AS ingest_timestamp FROM b
+UNION ALL SELECT event_id, day, event_type, headline, value, TIMESTAMP '2024-02-01 06:00:00' FROM a
 WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.day = a.day AND lower(b.headline) = lower(a.headline))"""
 
 
@@ -113,9 +118,9 @@ def late_stories(t):
 
 def upserted(t, runs: int = 1) -> str:
     path, key = scratch_path(t.spark, "stories"), {"headline": F.lower("headline")}
-    sinks.upsert(path, stories(t).filter(F.col("day") <= F.lit("2024-01-20").cast("date")), key, "day", [F.col("event_id")])
+    sinks.upsert(path, stories(t).filter(F.col("day") <= F.lit("2024-01-20").cast("date")), key, "day", [F.col("event_id")], "2024-02-01 06:00:00")
     for _ in range(runs):
-        sinks.upsert(path, late_stories(t), key, "day", [F.col("event_id")])
+        sinks.upsert(path, late_stories(t), key, "day", [F.col("event_id")], "2024-02-02 06:00:00")
     return path
 
 
@@ -137,16 +142,29 @@ def _(t):
 SAFE = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query("S12_html_report", f"""
-SELECT '<div class="panel"><div class="panel-title">' || {SAFE.format(c="'Page ' || page_id")} || '</div><div class="panel-content"><p><a href="' || {SAFE.format(c='url')}
-  || '">' || {SAFE.format(c='url')} || '</a></p><p>' || {SAFE.format(c="regexp_extract(html, '<title>([^<]*)', 1)")} || '</p><p>' || length(html) || ' characters</p></div></div>' AS html FROM pages""")
+CARD = f"""'<article class="card"><h2>' || {SAFE.format(c="'Page ' || page_id")} || '</h2><a href="' || {SAFE.format(c='url')}
+  || '">' || {SAFE.format(c='url')} || '</a><p class="lead">' || {SAFE.format(c="regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '[\\r\\n]+', ' ', 'g')")}
+  || '</p><p>' || {SAFE.format(c="regexp_replace(html, '[\\r\\n]+', ' ', 'g')")} || '</p></article>'"""
+
+
+def _cards(t):
+    return t.pages.select(sinks.html_card(F.concat(F.lit("Page "), F.col("page_id").cast("string")), F.col("url"), F.regexp_extract("html", "<title>([^<]*)", 1), F.col("html")).alias("html"))
+
+
+@query("S12_html_report", f"SELECT {CARD} AS html FROM pages")
 def _(t):
-    card = sinks.html_card(F.concat(F.lit("Page "), F.col("page_id").cast("string")), F.col("url"),
-                           F.regexp_extract("html", "<title>([^<]*)", 1), F.concat(F.length("html").cast("string"), F.lit(" characters")))
-    path = sinks.write_report(t.pages.select(card.alias("html")), "html", scratch_path(t.spark, "report"))
+    path = sinks.write_report(_cards(t), "html", scratch_path(t.spark, "report"))
     return t.spark.read.text(path).withColumnRenamed("value", "html")
 
 
+@query("S12_report_page", f"""
+SELECT {CARD} AS html FROM pages
+UNION ALL SELECT unnest(['<!DOCTYPE html>', '<html lang="en"><head><meta charset="utf-8"><title>Pages &amp; places</title></head><body>', '</body></html>'])""")
+def _(t):
+    path = sinks.write_report(_cards(t), "html", scratch_path(t.spark, "report"), "Pages & places")
+    return t.spark.read.text(path, recursiveFileLookup=True).withColumnRenamed("value", "html")
+
+
 @query("S13_json_properties", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def _(t):
     return t.events.select("event_id", F.from_json("props", "k long").alias("p")).select("event_id", "p.k")
@@ -238,3 +256,19 @@ SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), la
 FROM (SELECT conv_id, turn, '- ' || text AS text FROM conversations)""")
 def _(t):
     return t.conversations.select("conv_id", "turn", tx.bullets(F.concat(F.lit("- "), "text")).alias("lines"))
+
+
+@query("F_published_at", """
+SELECT event_id, CASE WHEN event_type = 'view' THEN ts WHEN event_type <> 'click' THEN ts - INTERVAL 1 DAY END AS published FROM events""")
+def _(t):
+    """The published date, else the updated one, of entries of which some lack the first and some both."""
+    kind, text = F.col("event_type"), lambda moment: F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    raw = F.when(kind == "view", text(F.col("ts"))).when(kind == "click", "soon").otherwise("")
+    updated = F.when(kind == "click", "").otherwise(text(F.col("ts").cast("timestamp_ntz") - F.expr("interval 1 day")))
+    return t.events.select("event_id", tx.published_at(raw, updated).cast("timestamp_ntz").alias("published"))
+
+
+@query("F_thousands", """
+SELECT o_orderkey, trim(format('{:,}', CAST(round(o_totalprice::DECIMAL(18,4), 0) AS BIGINT))) AS shown FROM orders""")
+def _(t):
+    return t.orders.select("o_orderkey", tx.with_thousands(F.col("o_totalprice")).alias("shown"))

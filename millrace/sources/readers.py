@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from millrace.functions import vocabulary as v
+from millrace.functions.text import stripped
 from millrace.operators.ranking import first_by, top_k
 
 
@@ -46,22 +47,38 @@ def renamed(df: DataFrame, clean) -> DataFrame:
     return df.toDF(*[clean(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, clean=lower_name) -> DataFrame:
-    """CSV with a header line and a declared schema: no inference pass."""
-    return renamed(spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=False), clean)
+def unescaped(column: Column) -> Column:
+    """The inverse of ``sinks.escaped``."""
+    parts = F.transform(F.split(column, r"\\\\", -1), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.when(F.contains(column, F.lit("\\")), F.array_join(parts, "\\")).otherwise(column)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, clean=lower_name, unescape: bool = False) -> DataFrame:
+    """CSV with a header line and a declared schema: no inference pass. ``unescape``: files of ``sinks.write_csv``."""
+    options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **({"nullValue": "\\N"} if unescape else {})}
+    rows = spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=False, **options)
+    if unescape:
+        rows = rows.select(*(unescaped(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() == "string" else F.col(f"`{f.name}`") for f in schema))
+    return renamed(rows, clean)
 
 
 def read_csv_after(spark: SparkSession, path: str, schema: StructType, skip: int, clean=upper_name, head: str | None = None) -> DataFrame:
     """CSV of which the header and ``skip`` further lines are no records.
 
-    Only those few lines are looked at on the driver; the scan drops lines equal
-    to them, which needs no row numbers and stays splittable. ``head`` names the
-    file that starts with them when ``path`` is a folder of several files.
+    Only those few lines are looked at on the driver. The scan sets lines equal
+    to them aside, which needs no row numbers and stays splittable; of each such
+    line, as many as the preamble has are dropped and later records equal to it
+    stay. ``head`` names the file that starts with them when ``path`` is a
+    folder of several files.
     """
     leading = [row.value for row in spark.read.text(head or path).take(skip + 1)]
     lines = spark.read.text(path, recursiveFileLookup=True)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    records = lines.filter(~F.col("value").isin(leading)).select(F.from_csv("value", fields).alias("r"))
+    preamble = spark.createDataFrame([(x, leading.count(x)) for x in sorted(set(leading))], "value string, in_head long")
+    again = (lines.filter(F.col("value").isin(leading)).groupBy("value").agg(F.count("*").alias("n")).join(preamble, "value")
+             .where(F.col("n") > F.col("in_head")).select("value", F.explode(F.sequence(F.col("in_head") + 1, "n"))).select("value"))
+    options = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
+    records = lines.filter(~F.col("value").isin(leading)).unionByName(again).select(F.from_csv("value", fields, options).alias("r"))
     return renamed(records.select("r.*"), clean)
 
 
@@ -124,15 +141,18 @@ def parse_records(df: DataFrame, text: str, schema: StructType, required: Sequen
     return parsed.select(*others, F.posexplode("_records").alias("entry", "_r")).select(*others, "entry", "_r.*")
 
 
-def valid_stories(stories: DataFrame, order: Sequence[Column], limit: int | None = None) -> DataFrame:
+def valid_stories(stories: DataFrame, order: Sequence[Column], limit: int | None = None, headline_chars: int | None = None) -> DataFrame:
     """Stories with every required field filled, known categories, trimmed
-    headlines and one row per headline (ignoring case, first wins)."""
+    headlines and one row per whole headline (ignoring case, first wins).
+    ``headline_chars`` cuts headlines for display after that."""
     complete = stories
     for field in v.REQUIRED_STORY_FIELDS:
         complete = complete.filter(F.coalesce(F.col(field), F.lit("")) != "")
     known = F.col("category").isin(list(v.CATEGORY_LABELS))
     tidy = complete.withColumn("category", F.when(known, F.col("category")).otherwise(v.DEFAULT_CATEGORY)).withColumn(
-        "headline", F.substring(F.trim("headline"), 1, 300)
-    )
+        "headline", stripped(F.col("headline"))
+    ).filter(F.col("headline") != "")
     unique = first_by(tidy.withColumn("_key", F.lower("headline")), ["_key"], order).drop("_key")
+    if headline_chars is not None:
+        unique = unique.withColumn("headline", F.substring("headline", 1, headline_chars))
     return unique if limit is None else unique.orderBy(*order).limit(limit)

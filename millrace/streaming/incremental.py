@@ -15,18 +15,20 @@ def within_lookback(df: DataFrame, moment: str, as_of: str, days: int) -> DataFr
     return df.filter(F.col(moment).cast("timestamp_ntz") >= cutoff)
 
 
-def staged_entries(entries: DataFrame, as_of: str, lookback_days: int, cap: int = 40) -> DataFrame:
-    """Every capped feed entry with the reason it was dropped, or ``kept``.
+def staged_entries(entries: DataFrame, as_of: str, lookback_days: int, cap: int | None = None, feed_order: str = "source") -> DataFrame:
+    """Every feed entry with the reason it was dropped, or ``kept``.
 
     Columns of ``entries``: source, position, url, title, summary, published.
     Stages in order: stale (older than the lookback or undated), incomplete,
-    off_topic, duplicate (a URL seen before, by source then position), kept.
+    off_topic, duplicate (a URL seen before, by ``feed_order`` then position),
+    kept. ``feed_order`` names the column that ranks the feeds. With ``cap``
+    only the first entries of each source are staged.
     """
-    capped = capped_feed(entries, "source", "position", cap)
+    capped = entries if cap is None else capped_feed(entries, "source", "position", cap)
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(lookback_days)} days")
     title, summary = tx.clean_html(F.col("title")), tx.clean_html(F.col("summary"))
     cleaned = capped.select(
-        "source", "position", F.trim("url").alias("url"), title.alias("title"), summary.alias("summary"), "published"
+        F.col(feed_order).alias("_feed"), "source", "position", F.trim("url").alias("url"), title.alias("title"), summary.alias("summary"), "published"
     ).withColumn("topic", tx.topic_of(F.concat_ws(" ", "title", "summary")))
     fresh = F.coalesce(F.col("published").cast("timestamp_ntz") >= cutoff, F.lit(False))
     complete = (F.col("title") != "") & (F.coalesce(F.col("url"), F.lit("")) != "")
@@ -34,34 +36,34 @@ def staged_entries(entries: DataFrame, as_of: str, lookback_days: int, cap: int
         "outcome",
         F.when(~fresh, "stale").when(~complete, "incomplete").when(F.col("topic") == "off_topic", "off_topic").otherwise("kept"),
     )
-    passed = marked.filter(F.col("outcome") == "kept").select("url", "source", "position")
-    winners = first_by(passed, ["url"], [F.col("source"), F.col("position")]).select(
+    passed = marked.filter(F.col("outcome") == "kept").select("url", "_feed", "source", "position")
+    winners = first_by(passed, ["url"], [F.col("_feed"), F.col("source"), F.col("position")]).select(
         "source", "position", F.lit(True).alias("_first")
     )
     return (
         marked.join(winners, ["source", "position"], "left")
         .withColumn("outcome", F.when((F.col("outcome") == "kept") & F.col("_first").isNull(), "duplicate").otherwise(F.col("outcome")))
-        .drop("_first")
+        .drop("_first", "_feed")
     )
 
 
-def candidates(staged: DataFrame, limit: int = 150, title_chars: int = 300, summary_chars: int = 1200) -> DataFrame:
-    """Kept entries for curation: first topic first, newest first, capped."""
+def candidates(staged: DataFrame, limit: int | None = None, title_chars: int | None = None, summary_chars: int | None = None) -> DataFrame:
+    """Kept entries for curation: first topic first, newest first. Row and text limits are the caller's."""
     rank = F.when(F.col("topic") == "ai", 0).otherwise(1)
-    return (
-        staged.filter(F.col("outcome") == "kept")
-        .orderBy(rank, F.desc("published"), "source", "position")
-        .limit(limit)
-        .select(
-            "source", "position", "url", tx.domain_of(F.col("url")).alias("domain"), "published", "topic",
-            F.substring("title", 1, title_chars).alias("title"), F.substring("summary", 1, summary_chars).alias("summary"),
-        )
+    rows = staged.filter(F.col("outcome") == "kept").orderBy(rank, F.desc("published"), "source", "position")
+
+    def field(name: str, chars: int | None):
+        return F.col(name) if chars is None else F.substring(name, 1, chars).alias(name)
+
+    return (rows if limit is None else rows.limit(limit)).select(
+        "source", "position", "url", tx.domain_of(F.col("url")).alias("domain"), "published", "topic",
+        field("title", title_chars), field("summary", summary_chars),
     )
 
 
-def source_counters(staged: DataFrame, top: int = 12) -> DataFrame:
+def source_counters(staged: DataFrame, top: int | None = None) -> DataFrame:
     """Fetched, kept and off-topic entries per source, most kept first."""
-    return (
+    counted = (
         staged.groupBy("source")
         .agg(
             F.count(F.lit(1)).alias("fetched"),
@@ -69,8 +71,8 @@ def source_counters(staged: DataFrame, top: int = 12) -> DataFrame:
             F.count_if(F.col("outcome") == "off_topic").alias("off_topic"),
         )
         .orderBy(F.desc("kept"), "source")
-        .limit(top)
     )
+    return counted if top is None else counted.limit(top)
 
 
 def trailing_counts(df: DataFrame, moment: str, kind: str, last_day: str, days: int) -> DataFrame:

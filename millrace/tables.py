@@ -22,6 +22,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.cache: dict[str, DataFrame] = {}  # written results that several questions share
         self._loaded: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:

@@ -1,5 +1,4 @@
 from collections import Counter, defaultdict
-from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -14,60 +13,56 @@ def rated(spark):
     return rows, spark.createDataFrame(rows, "customer_id long, product_id long, category_id string, rating double").repartition(5)
 
 
-def brute_pairs(rows):
-    raters = defaultdict(dict)
-    for c, p, _, r in rows:
-        raters[p][c] = r
-    return sorted((a, b, p, m[a], m[b]) for p, m in raters.items() for a, b in combinations(sorted(m), 2))
+def brute_pairs(rows, me):
+    mine = {p: r for c, p, _, r in rows if c == me}
+    return sorted((me, c, p, mine[p], r) for c, p, _, r in rows if c != me and p in mine)
 
 
-def test_pairs_do_not_depend_on_the_tile_size(spark):
+def test_pairs_of_every_customer(spark):
     rows, df = rated(spark)
-    for tile in (2, 3, 1000):
-        assert sorted(tuple(r) for r in graph.co_rating_pairs(df, tile).collect()) == brute_pairs(rows)
+    for me in (0, 5, 11):
+        assert sorted(tuple(r) for r in graph.co_rating_pairs(df, me).collect()) == brute_pairs(rows, me)
 
 
 def test_close_raters_with_and_without_absolute_gap(spark):
     rows, df = rated(spark)
-    good = [(a, b, p, x, y) for a, b, p, x, y in brute_pairs(rows) if x > 0.12 and y > 0.12]
+    good = [(a, b, p, x, y) for a, b, p, x, y in brute_pairs(rows, 4) if x > 0.12 and y > 0.12]
+    assert good
     want = sorted((a, b, p) for a, b, p, x, y in good if abs(x - y) < 0.03)
-    assert sorted((r[0], r[1], r[2]) for r in graph.close_high_raters(df, 0.12, 0.03).collect()) == want
-    ordered = [(a, b, p) for a, b, p, x, y in good if x - y < 0.03] + [(b, a, p) for a, b, p, x, y in good if y - x < 0.03]
-    assert sorted((r[0], r[1], r[2]) for r in graph.close_high_raters(df, 0.12, 0.03, quirk=True).collect()) == sorted(ordered)
+    assert sorted((r[0], r[1], r[2]) for r in graph.close_high_raters(df, 4, 0.12, 0.03).collect()) == want
+    ordered = [(a, b, p) for a, b, p, x, y in good if x - y < 0.03]
+    assert sorted((r[0], r[1], r[2]) for r in graph.close_high_raters(df, 4, 0.12, 0.03, quirk=True).collect()) == sorted(ordered)
 
 
-def test_co_buyer_paths_with_light_and_heavy_baskets(spark):
+def test_recommendations_of_one_customer(spark):
     rows, df = rated(spark)
     bought, category = defaultdict(set), {}
     for c, p, k, _ in rows:
         bought[c].add(p)
         category[p] = k
-    want = Counter()
-    for me in bought:
+    raters = Counter(p for _, p, _, _ in rows)
+    for me in (0, 3, 11):
+        paths, better = Counter(), {}
         for p in bought[me]:
             for other in bought:
                 if other != me and p in bought[other]:
                     for q in bought[other] - bought[me]:
                         if category[q] == category[p]:
-                            want[me, q] += 1
-    for heavy in (1, 2, 1000):
-        got = {(r.customer_id, r.product_id): r.n_paths for r in graph.co_buyer_candidates(df, heavy).collect()}
-        assert got == dict(want)
+                            paths[q] += 1
+        assert {r.product_id: r.n_paths for r in graph.co_buyer_candidates(df, me).collect()} == dict(paths)
+        for kind in {category[p] for p in bought[me]}:
+            floor = min(raters[p] for p in bought[me] if category[p] == kind)
+            better |= {q: floor for q in category if category[q] == kind and q not in bought[me] and raters[q] > floor}
+        assert {r.product_id: r.floor for r in graph.better_rated_unbought(df, me).collect()} == better
 
 
-def test_unbought_lists_over_several_blocks(spark):
-    _, df = rated(spark)
-    products = spark.createDataFrame([(p, "A" if p < 30 else "B", 0) for p in range(40)], "product_id long, category_id string, discontinued int")
+def test_unbought_products_of_one_customer(spark):
+    rows, df = rated(spark)
+    products = spark.createDataFrame([(p, "A" if p < 3 else "B", int(p == 30)) for p in range(40)], "product_id long, category_id string, discontinued int")
     edges = df.drop("category_id").join(products.select("product_id", "category_id"), "product_id")
-    whole = graph.unbought_in_category(edges, products)
-    blocks = graph.catalogue_blocks(products.withColumn("weight", F.lit(0)), 4)
-    split = graph._unbought(edges.groupBy("customer_id", "category_id").agg(F.count(F.lit(1)).alias("n_paths")), edges, blocks)
-    assert split.select("block").distinct().count() > 1
-
-    def flat(frame):
-        return sorted(tuple(r) for r in frame.select("customer_id", F.explode("recommended_products")).collect())
-
-    assert flat(split) == flat(whole)
+    kinds = {"A" if p < 3 else "B" for c, p, _, _ in rows if c == 2}
+    want = {p for p in range(40) if p != 30 and ("A" if p < 3 else "B") in kinds} - {p for c, p, _, _ in rows if c == 2}
+    assert {r.product_id for r in graph.unbought_in_category(edges, products, 2).collect()} == want
 
 
 def test_also_bought_counts_buyers(spark):

@@ -1,6 +1,8 @@
 import json
 from pathlib import Path
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -70,4 +72,39 @@ def test_collection_keeps_types(spark, tmp_path):
 
 def test_cards_escape_text(spark):
     card = spark.range(1).select(sinks.html_card(F.lit("<b> & \"x\""), F.lit("u"), F.lit(None).cast("string"), F.lit("s"))).first()[0]
-    assert "&lt;b&gt; &amp; &quot;x&quot;" in card and "<p></p>" in card
+    assert "&lt;b&gt; &amp; &quot;x&quot;" in card and '<p class="lead"></p>' in card
+
+
+def test_any_text_comes_back_from_csv(spark, tmp_path):
+    rows = [(1, "a\nb\r\nc"), (2, ""), (3, None), (4, " x "), (5, 'say "hi", \\n and \\'), (6, "\\N"), (7, "\\\\n\\\n"), (8, "#,;'\t")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    path = sinks.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(map(tuple, readers.read_csv(spark, path, df.schema, unescape=True).collect())) == rows
+
+
+def test_records_equal_to_the_preamble_stay(spark, tmp_path):
+    path = tmp_path / "answers.csv"
+    path.write_text("id,answer\nx,y\n1,a\nx,y\nx,y\n2, b \n")
+    schema = StructType([StructField("id", StringType()), StructField("answer", StringType())])
+    got = sorted(map(tuple, readers.read_csv_after(spark, str(path), schema, 1).collect()))
+    assert got == [("1", "a"), ("2", " b "), ("x", "y"), ("x", "y")]
+
+
+def test_an_unreadable_table_is_an_error(spark, tmp_path):
+    (tmp_path / "t" / "day=1").mkdir(parents=True)
+    (tmp_path / "t" / "day=1" / "part-0.parquet").write_text("no parquet")
+    rows = spark.createDataFrame([(1, "a", 1)], "id int, headline string, day int")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sinks.upsert(str(tmp_path / "t"), rows, {"headline": F.lower("headline")}, "day", [F.col("id")])
+
+
+def test_cards_stay_on_one_line(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", "http://x", "<\r\n>", None)], "t string, l string, h string, s string")
+    path = sinks.write_report(df.select(sinks.html_card(*map(F.col, "tlhs")).alias("html")), "html", str(tmp_path / "r"))
+    assert spark.read.text(path).count() == 1
+
+
+def test_long_headlines_are_told_apart(spark):
+    rows = [(k, "c", "x" * 400 + str(k), "s", "u", "t", "r") for k in range(2)]
+    df = spark.createDataFrame(rows, "id int, category string, headline string, source string, source_url string, summary string, relevance_notes string")
+    assert readers.valid_stories(df, [F.col("id")]).count() == 2

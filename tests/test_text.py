@@ -31,7 +31,7 @@ def test_topic_gate_uses_whole_words_in_any_script(spark):
 
 
 def test_bullets_and_dates(spark):
-    assert one(spark, "- one\n\n* two\n3) three\n`• four`", tx.bullets) == ["one", "two", "three", "four"]
+    assert one(spark, "- one\n\n* two\n3) three\n`• four`", tx.bullets) == ["one", "two", "three", "four`"]
     assert str(one(spark, "Tue, 02 Jan 2024 10:00:00 GMT", tx.mail_date)) == "2024-01-02 10:00:00"
     assert one(spark, "not a date", tx.mail_date) is None
     assert str(one(spark, " ", lambda c: tx.date_or_default(c, "2020-02-03"))) == "2020-02-03"
@@ -92,3 +92,17 @@ def test_empty_texts_are_neutral(spark):
     df = spark.createDataFrame([(1, "good good bad"), (2, "Bad!"), (3, ""), (4, None)], "k long, t string")
     got = {r.k: (r.polarity, r.sentiment) for r in dx.polarity(df, ["k"], "t", lexicon).collect()}
     assert got == {1: (1, "Positive"), 2: (-1, "Negative"), 3: (0, "Neutral"), 4: (0, "Neutral")}
+
+
+def test_unescape_equals_the_standard_library(spark):
+    import html
+
+    texts = ["&#38;lt;b", "&amp;lt;", "&#128;", "&#0;", "&#xD800;", "&#x0001F600;", "&#x110000;", "&#99999999999999999999;", "&#11;x", "&#13;", "&#xFFFE;", "&frac12;", "&lambda;", "&Auml;", "&amp", "&ampx",
+             "&notit;", "&notin;", "&copy2024", "&unknown;", "& &", "&&&", "&;", "&#;", "&#x;", "&#x0;", "&#65", "&#X41;", "a&lt;b&gt;c", "&NotEqualTilde;", "", "plain", "&" + "a" * 60 + ";", "x&nbsp;y", "&#129;"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(tx.unescape(F.col("t"))).collect()]
+    assert got == [html.unescape(t) for t in texts]
+
+
+def test_bullets_lose_any_white_space(spark):
+    df = spark.createDataFrame([("\t- item\r",), ("Use `x`",), ("` - a`",), ("3) three ",)], "t string")
+    assert [r[0] for r in df.select(tx.without_bullet(F.col("t"))).collect()] == ["item", "Use `x`", "a`", "three"]

@@ -10,6 +10,7 @@ from millrace.operators import aggregates as ag
 from millrace.operators import documents as dx
 from millrace.operators import neighbours as nb
 from millrace.operators import sampling
+from millrace.operators.ranking import hash_order
 from millrace.plans.registry import query
 
 STOPS = "[" + ",".join(f"'{w}'" for w in dx.v.STOP_WORDS) + "]"
@@ -71,10 +72,11 @@ def _(t):
     return dx.packed_chunks(t.documents, "doc_id", "text", 500)
 
 
-SPLIT = """split AS (
-  SELECT *, r <= ceil(n * 0.2::DOUBLE) AS is_test FROM (
-    SELECT vec_id, embedding::DOUBLE[] AS v, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':42'), vec_id) AS r,
-      count(*) OVER (PARTITION BY label) AS n FROM embeddings))"""
+# A stated number of questions, whatever the store holds: the first vectors in hash order.
+QUESTIONS = 50
+SPLIT = f"""split AS (
+  SELECT *, r <= {QUESTIONS} AS is_test FROM (
+    SELECT vec_id, embedding::DOUBLE[] AS v, label, row_number() OVER (ORDER BY md5(vec_id || ':42'), vec_id) AS r FROM embeddings))"""
 DISTANCE = {
     "euclidean": "sqrt(list_sum(list_transform(list_zip(q.v, s.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))",
     "manhattan": "list_sum(list_transform(list_zip(q.v, s.v), lambda x: abs(x[1] - x[2])))",
@@ -91,9 +93,9 @@ def found_sql(metric: str, k: int) -> str:
 
 
 def sides(t):
-    split = sampling.train_test(t.embeddings, "vec_id", 0.2, "42", ["label"])
-    queries = split.filter(F.col("part") == "test").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    store = split.filter(F.col("part") == "train").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    asked = t.embeddings.orderBy(hash_order("vec_id", "42"), "vec_id").limit(QUESTIONS)
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    store = t.embeddings.join(F.broadcast(asked.select("vec_id")), "vec_id", "left_anti").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
     return queries, store
 
 

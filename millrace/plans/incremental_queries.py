@@ -100,11 +100,30 @@ def _(t):
     return inc.content_keys(daily_text(t), "day")
 
 
+RESULTS = """kept AS (SELECT day, part, content_key, CASE WHEN day <= DATE '2024-01-10' THEN 'old' ELSE 'new' END AS result,
+  CASE WHEN day <= DATE '2024-01-10' THEN TIMESTAMP '2024-01-11 00:00:00' ELSE TIMESTAMP '2024-01-25 00:00:00' END AS computed_at FROM keys WHERE day < DATE '2024-01-25')"""
+
+
+def stored_results(t) -> str:
+    """Results of two earlier runs over what there was then: ten days, and the days up to the 24th."""
+    path = scratch_path(t.spark, "results")
+    known = inc.content_keys(daily_text(t), "day")
+    inc.store_results(known.filter(F.col("day") <= F.lit("2024-01-10").cast("date")).withColumn("result", F.lit("old")), path, "2024-01-11 00:00:00")
+    later = known.filter((F.col("day") > F.lit("2024-01-10").cast("date")) & (F.col("day") < F.lit("2024-01-25").cast("date")))
+    inc.store_results(later.withColumn("result", F.lit("new")), path, "2024-01-25 00:00:00")
+    return path
+
+
 @query("T6_changed_content", f"WITH {CONTENT} SELECT day, part, content_key FROM keys WHERE day >= DATE '2024-01-25'")
 def _(t):
-    current = inc.content_keys(daily_text(t), "day")
-    stored = current.filter(F.col("day") < F.lit("2024-01-25").cast("date"))
-    return inc.changed_parts(current, stored, "day")
+    stored = t.spark.read.parquet(stored_results(t)).select("day", "part", "content_key")
+    return inc.changed_parts(inc.content_keys(daily_text(t), "day"), stored, "day")
+
+
+@query("T6_cached_results", f"WITH {CONTENT}, {RESULTS} SELECT * FROM kept WHERE computed_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY")
+def _(t):
+    """What the stored results still answer: those of unchanged texts not older than two weeks."""
+    return inc.cached_results(inc.content_keys(daily_text(t), "day"), stored_results(t), "day", "2024-01-31", 14)
 
 
 # --- stream twins

@@ -3,17 +3,16 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import reshape, sampling, sets
-from millrace.operators.ranking import first_by, rank_in_order, top_k
+from millrace.operators.ranking import first_by, hash_rank, rank_in_order, top_k
 from millrace.plans.registry import query
 
 # --- joins
 
 
 @query("J3_merge_on_two_names", """
-SELECT o_orderkey, l_partkey, l_quantity, o_orderpriority FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+SELECT o_orderkey, l_partkey, l_quantity, o_orderpriority FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def _(t):
-    full = t.orders.filter(F.col("o_orderstatus") == "F")
-    return full.join(t.lineitem, full.o_orderkey == t.lineitem.l_orderkey).select("o_orderkey", "l_partkey", "l_quantity", "o_orderpriority")
+    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_partkey", "l_quantity", "o_orderpriority")
 
 
 @query("J4_three_key_merge", """
@@ -159,10 +158,13 @@ def _(t):
 
 @query("U3_balanced_union", """
 SELECT doc_id, toxic FROM (
-  SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || ':balance'), doc_id) AS r FROM labels) WHERE r <= 5""")
+  SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || ':balance'), doc_id) AS r FROM labels)
+WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic))""")
 def _(t):
-    classes = [sampling.head_per_class(t.labels.filter(F.col("toxic") == k), "toxic", "doc_id", 5, "balance") for k in (0, 1)]
-    return sets.stack(classes).select("doc_id", "toxic")
+    """Of every class as many rows as the smallest one has."""
+    classes = t.labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+    least = classes.agg(F.min("n")).scalar()
+    return hash_rank(t.labels, ["toxic"], "doc_id", "balance", "_r").filter(F.col("_r") <= least).select("doc_id", "toxic")
 
 
 @query("U4_expanded_vectors", """

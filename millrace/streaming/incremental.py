@@ -96,3 +96,18 @@ def content_keys(parts: DataFrame, by: str) -> DataFrame:
 def changed_parts(current: DataFrame, stored: DataFrame, by: str) -> DataFrame:
     """Parts to recompute: those whose key is not among the stored ones."""
     return current.join(stored, [by, "part", "content_key"], "left_anti")
+
+
+def store_results(results: DataFrame, path: str, computed_at: str) -> None:
+    """Append results under their content keys, with the time they were computed."""
+    results.withColumn("computed_at", F.lit(computed_at).cast("timestamp_ntz")).write.mode("append").parquet(path)
+
+
+def cached_results(current: DataFrame, path: str, by: str, as_of: str, max_age_days: int) -> DataFrame:
+    """Stored results for the current content keys that are not older than the
+    limit, the newest of each: a changed text or an aged result has none."""
+    oldest = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(max_age_days)} days")
+    keys = [by, "part", "content_key"]
+    stored = current.sparkSession.read.parquet(path).filter(F.col("computed_at") >= oldest)
+    newest = first_by(stored, keys, [F.desc("computed_at")])
+    return current.join(newest, keys)

@@ -264,7 +264,7 @@ def mean_squared_error(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
     """Area under the curve from average ranks, over distinct scores."""
-    ranked = average_rank(df.filter(F.col(actual).isNotNull()).select(actual, score), score, "_rank")
+    ranked = average_rank(df.filter(F.col(actual).isNotNull() & F.col(score).isNotNull()).select(actual, score), score, "_rank")
     sums = ranked.agg(
         F.sum(F.when(F.col(actual) == 1, F.col("_rank"))).alias("_w"),
         F.count_if(F.col(actual) == 1).alias("n_positive"),

@@ -180,16 +180,20 @@ def rank_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column], ran
     return running_total(df, by, order, None, rank)
 
 
-def average_rank(df: DataFrame, value: str, rank: str = "rank", ties: str | None = None) -> DataFrame:
-    """Rank with ties sharing the mean of their places.
-
-    Ranks are worked out over distinct values; the rows get them by a join.
-    """
+def value_ranks(df: DataFrame, value: str, rank: str = "rank", ties: str | None = None) -> DataFrame:
+    """Every distinct value with the mean of the places its rows share."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(value).isNotNull())
     placed = running_total(counts, [], [F.col(value)], "_n", "_cum")
-    ranks = placed.select(
+    return placed.select(
         F.col(value).alias("_v"),
         (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(rank),
         *([F.col("_n").alias(ties)] if ties else []),
     )
-    return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+
+
+def average_rank(df: DataFrame, value: str, rank: str = "rank", ties: str | None = None) -> DataFrame:
+    """Rank with ties sharing the mean of their places; a row without a value keeps a null rank.
+
+    Ranks are worked out over distinct values; the rows get them by a join.
+    """
+    return df.join(value_ranks(df, value, rank, ties), F.col(value) == F.col("_v"), "left").drop("_v")

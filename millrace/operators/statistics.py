@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.operators.ranking import average_rank, hash_rank, running_total
+from millrace.operators.ranking import hash_rank, running_total, value_ranks
 
 # Distinct values per side up to which the shift is worked out on the driver.
 LOCAL_VALUES = 2000
@@ -144,8 +144,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of average ranks of the rows where both are known."""
     known = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).dropna()
     pairs = known.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    ranks_x = average_rank(known, "_x", "_rx").select("_x", "_rx").distinct()
-    ranks_y = average_rank(known, "_y", "_ry").select("_y", "_ry").distinct()
+    ranks_x = value_ranks(known, "_x", "_rx").withColumnRenamed("_v", "_x")
+    ranks_y = value_ranks(known, "_y", "_ry").withColumnRenamed("_v", "_y")
     weighted = pairs.join(ranks_x, "_x").join(ranks_y, "_y")
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     n = known.agg(F.count(F.lit(1)).alias("n"))

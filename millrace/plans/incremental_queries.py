@@ -144,6 +144,22 @@ def _(t):
     return t.spark.read.parquet(target)
 
 
+@query("T2_stream_late_rows", """
+SELECT event_id, ts, event_type FROM events
+WHERE event_type <> 'view' OR ts > (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 7 DAY FROM events WHERE event_type NOT IN ('view', 'error'))""")
+def _(t):
+    """Three micro-batches: views come last, and those behind the watermark are dropped. Lateness is judged by
+    the watermark with which the batch before began, here that of the first batch."""
+    source, target, checkpoint = (scratch_path(t.spark, f"stream-{x}") for x in ("source", "table", "state"))
+    rows = t.events.select("event_id", "ts", "event_type")
+    turn = F.when(F.col("event_type") == "view", 2).when(F.col("event_type") == "error", 1).otherwise(0)
+    for k in range(3):
+        rows.filter(turn == k).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.file_stream(t.spark, source, files_per_batch=1)
+    streams.stream_in_time(stream, "ts", "event_id", "7 days", target, checkpoint)
+    return t.spark.read.parquet(target).select("event_id", "ts", "event_type")
+
+
 @query("T3_stream_distinct_keys", "SELECT DISTINCT user_id FROM events")
 def _(t):
     target, checkpoint = scratch_path(t.spark, "stream-table"), scratch_path(t.spark, "stream-state")

@@ -19,7 +19,7 @@ order_counts AS (SELECT o_custkey AS customer_id, count(o_orderkey) AS total_ord
 WITH {fx.LINES}, {fx.CUSTOMERS}
 SELECT order_id, product_id, quantity, customer_id, customer_name, country FROM lines JOIN customers USING (customer_id)""")
 def _(t):
-    return fx.lines(t).join(fx.customers(t), "customer_id").select(
+    return fx.plain_lines(t).join(fx.orders(t).join(fx.customers(t), "customer_id"), "order_id").select(
         "order_id", "product_id", "quantity", "customer_id", "customer_name", "country"
     )
 

@@ -65,3 +65,13 @@ def stream_upsert(events: DataFrame, prepare, keys, partition: str, order, targe
         upsert(target, prepare(batch), keys, partition, order)
 
     _run(events.writeStream.foreachBatch(save), checkpoint)
+
+
+def stream_in_time(events: DataFrame, moment: str, key: str, lateness: str, target: str, checkpoint: str) -> None:
+    """Rows that are not later than the watermark of the batches before them, once per key.
+
+    The watermark is the newest moment seen so far less ``lateness``; rows
+    behind it are dropped by the stateful step, here the one on the key.
+    """
+    kept = events.withColumn("_t", F.col(moment).cast("timestamp")).withWatermark("_t", lateness).dropDuplicates([key, "_t"]).drop("_t")
+    _run(kept.writeStream.outputMode("append").format("parquet").option("path", target), checkpoint)

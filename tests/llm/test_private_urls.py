@@ -59,8 +59,7 @@ def test_clean_keeps_rows_and_columns(spark):
     got = sanitise.clean(docs)
     assert got.columns == docs.columns
     texts = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
-    assert texts == sorted((str(i), str(t)) for i, t in rows if i not in (50, 51)) + [("50", "call <PHONE> or <CARD> now"), ("51", "+<CARD>")] or ("50", "call <PHONE> or <CARD> now") in texts
-    assert len(texts) == len(rows)
+    assert texts == sorted([*((str(i), str(t)) for i, t in rows if i not in (50, 51)), ("50", "call <PHONE> or <CARD> now"), ("51", "+<CARD>")])
 
 
 def test_as_of_join(spark):

@@ -53,7 +53,7 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):  # a local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
     if context.getCheckpointDir() is None:

@@ -81,6 +81,13 @@ def text_key(column: Column) -> Column:
     return F.md5(column.cast("binary"))
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` by way of Parquet in the shared folder. What is counted by a key and then met by that key goes this way:
+    read back, it is an ordinary side of a join, and Spark splits a key that gathers many rows on the other side."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     out = None
     for x in frames:

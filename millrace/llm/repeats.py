@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, doc_type, id_text
+from millrace.llm.common import arrow_map, doc_type, id_text, written
 from millrace.session import scratch_path
 
 LENGTH = 200
@@ -121,24 +121,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single starts of a block: a string is its block's core, some bytes before it and the rest behind it."""
+    """Single starts of a block, each under a 128-bit name: a string is its block's core, some bytes before it and the rest behind it."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest
     for batch in batches:
-        rows: list[int] = []
         names: list[int] = []
         at: list[int] = []
-        for row, (left, right, place) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), batch.column("place").to_pylist(), strict=True)):
-            core = (place >> 3) - (place & 7) * FINE
+        for near, core, block, left, right in zip(*(batch.column(c).to_pylist() for c in ("near", "core", "block", "left", "right")), strict=True):
+            meeting = near.to_bytes(8, "little", signed=True) + core.to_bytes(8, "little", signed=True)
             for before in range(FINE):
                 if before <= len(left) and FINE - 1 - before <= len(right):
-                    rows.append(row)
-                    names.append(h(left[len(left) - before :] + b"|" + right[: FINE - 1 - before], before))
-                    at.append(core - before)
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("near", "core", "k1", "k2")), _signed(names), pa.array(at, pa.int64())],
-                                         names=["near", "core", "k1", "k2", "name", "start"])
+                    names.append(xxhash.xxh3_128_intdigest(meeting + left[len(left) - before :] + b"|" + right[: FINE - 1 - before], before))
+                    at.append(block << 4 | before)
+        yield pa.RecordBatch.from_arrays([_signed([n & 0xFFFFFFFFFFFFFFFF for n in names]), _signed([n >> 64 for n in names]), pa.array(at, pa.int64())], names=["name", "more", "at"])
 
 
 def _finish(with_kept: bool):
@@ -176,37 +171,34 @@ def _range(first, count):
 
 def repeated_starts(source: DataFrame, folder: str) -> DataFrame:
     """(``k1``, ``k2``, ``range``): starts of strings that start anywhere else too."""
-    spark = source.sparkSession
     parsed = arrow_map(source.select("k1", "k2", "text"), _parse, "near long, whole long, k1 long, k2 long, place long")
     meeting = (parsed.select("near", "whole").groupBy("near").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
                .where("n > 1").select("near", (F.col("a") != F.col("b")).alias("differ")))
-    parsed.join(meeting, "near").write.parquet(f"{folder}/meeting")
-    met = spark.read.parquet(f"{folder}/meeting")
+    met = written(parsed.join(written(meeting, f"{folder}/marks"), "near"), f"{folder}/met")
     far, close = F.shiftright("place", 7).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(127))
     whole = _range(F.shiftright("place", 14) - far, far - close)
     same = met.where(~F.col("differ")).select("k1", "k2", whole.alias("range"))
     other = met.where("differ")
     counted = other.groupBy("near", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
-    counted.write.parquet(f"{folder}/dictionary")
-    dictionary = spark.read.parquet(f"{folder}/dictionary")
+    dictionary = written(counted, f"{folder}/dictionary")
     twice = other.join(dictionary.where("n > 1").select("near", "whole"), ["near", "whole"]).select("k1", "k2", whole.alias("range"))
     wanted = dictionary.select("one.*", "near").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "near")).alias("w")).select("k1", "k2", F.col("w.place").alias("places"), F.col("w.near").alias("nears"))
     single = source.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "places", "nears")
-    arrow_map(single, _blocks, "near long, core long, full long, k1 long, k2 long, place long, left binary, right binary").write.parquet(f"{folder}/blocks")
-    blocks = spark.read.parquet(f"{folder}/blocks")
+    blocks = written(arrow_map(single, _blocks, "near long, core long, full long, k1 long, k2 long, place long, left binary, right binary"), f"{folder}/blocks")
     named = blocks.groupBy("near", "core", "full").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "place", "left", "right")).alias("one"))
-    named.write.parquet(f"{folder}/named")
-    named = spark.read.parquet(f"{folder}/named")
+    named = written(named.withColumn("block", F.monotonically_increasing_id()), f"{folder}/named")
     block_start = F.shiftright("place", 3) - F.col("place").bitwiseAND(F.lit(7)) * FINE - (FINE - 1)
     # A block at the start of a text is shorter on the left: its range begins at 0.
     from_ = F.greatest(block_start, F.lit(0).cast("long"))
     block_twice = (blocks.join(named.where("copies > 1").select("near", "core", "full"), ["near", "core", "full"])
                    .select("k1", "k2", _range(from_, block_start + (FINE - 1) - from_).alias("range")))
     shared = named.groupBy("near", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("near", "core")
-    single_starts = arrow_map(named.join(shared, ["near", "core"]).select("near", "core", "one.*"), _starts,
-                              "near long, core long, k1 long, k2 long, name long, start long")
-    names = single_starts.groupBy("near", "core", "name").agg(F.count("*").alias("n")).where("n > 1").select("near", "core", "name")
-    start_twice = single_starts.join(names, ["near", "core", "name"]).select("k1", "k2", _range(F.col("start"), F.lit(0).cast("long")).alias("range"))
+    single_starts = arrow_map(named.join(written(shared, f"{folder}/shared"), ["near", "core"]).select("near", "core", "block", "one.left", "one.right"), _starts, "name long, more long, at long")
+    names = single_starts.groupBy("name", "more").agg(F.count("*").alias("n")).where("n > 1").select("name", "more")
+    found = single_starts.join(written(names, f"{folder}/names"), ["name", "more"]).select(F.shiftright("at", 4).alias("block"), F.col("at").bitwiseAND(F.lit(15)).alias("before"))
+    core_start = F.shiftright("one.place", 3) - F.col("one.place").bitwiseAND(F.lit(7)) * FINE
+    start_twice = (found.join(named.select("block", "one.k1", "one.k2", core_start.alias("first")), "block")
+                   .select("k1", "k2", _range(F.col("first") - F.col("before"), F.lit(0).cast("long")).alias("range")))
     return same.unionByName(twice).unionByName(block_twice).unionByName(start_twice)
 
 

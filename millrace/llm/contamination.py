@@ -5,7 +5,8 @@
 2. A randomised SVD of the benchmark's TF-IDF passages, summed over its
    partitions, gives a latent basis; benchmark passages and overlapping windows
    of documents are projected to it.
-3. Windows whose latent cosine reaches ``COSINE`` are candidates. Whole
+3. Windows whose latent cosine reaches ``COSINE`` are candidates; a sum of what
+   each word can add at the most leaves out nearly all others unprojected. Whole
    neighbourhoods of candidates are compared by the longest common subsequence
    of words; a paraphrase may share less of it if it keeps the answer (the
    last words of the passage).
@@ -75,6 +76,13 @@ def lcs_share(wanted: np.ndarray, found: np.ndarray) -> float:
     return float(row[-1]) / len(wanted)
 
 
+def _windows(steps: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Sums over a step and the next one of the same text."""
+    out = steps.copy()
+    out[:-1][follows[:-1]] += steps[1:][follows[:-1]]
+    return out
+
+
 @dataclass
 class Index:
     """One block of the benchmark, projected."""
@@ -85,6 +93,7 @@ class Index:
     basis: np.ndarray  # words (one more for those outside) x latent, idf included
     energy: np.ndarray  # squared idf of a word (the last: of a word outside)
     latent: np.ndarray  # items x latent, scaled so that a product over the window's norm is the cosine
+    most: np.ndarray  # the most that a word adds to that product with any item
 
     def search(self, texts: list[str], ids: WordIds, cosine: float = COSINE, lcs: float = LCS, paraphrase: float = PARAPHRASE_LCS) -> list[tuple[int, int, float, float, float]]:
         """(text, item, cosine, shared subsequence, shared answer) of all hits in some texts."""
@@ -122,16 +131,27 @@ class Index:
         for a in range(0, len(starts), 4096):  # bounded also within one very long text; one step is shared with the next
             b = min(len(starts), a + 4097)
             lo, hi = starts[a], starts[b] if b < len(starts) else len(every)
-            ids = every[lo:hi]
-            sums = np.add.reduceat(self.basis[ids], starts[a:b] - lo, axis=0)
-            norm = np.add.reduceat(self.energy[ids], starts[a:b] - lo)
-            follows = np.append(owner[a : b - 1] == owner[a + 1 : b], False) if b > a else np.zeros(0, bool)
-            sums[:-1][follows[:-1]] += sums[1:][follows[:-1]]
-            norm[:-1][follows[:-1]] += norm[1:][follows[:-1]]
+            ids, at = every[lo:hi], starts[a:b] - lo
+            follows = np.append(owner[a : b - 1] == owner[a + 1 : b], False)
             last = b - a - 1 if b < len(starts) else b - a
-            sims = (sums[:last] @ self.latent.T) / np.sqrt(np.maximum(norm[:last], 1e-9))[:, None]
+            norm, most = _windows(np.add.reduceat(self.energy[ids], at), follows), _windows(np.add.reduceat(self.most[ids], at), follows)
+            norm = np.sqrt(np.maximum(norm, 1e-9))
+            open_ = most >= (cosine - 1e-4) * norm  # the others cannot reach the cosine with any item
+            open_[last:] = False
+            if not open_.any():
+                continue
+            needed = open_ | np.concatenate([[False], open_[:-1] & follows[:-1]])
+            sizes = np.diff(np.append(at, len(ids)))
+            kept = ids[np.repeat(needed, sizes)]
+            sums = np.add.reduceat(self.basis[kept], np.cumsum(sizes[needed]) - sizes[needed], axis=0)
+            place = np.cumsum(needed) - 1
+            own = np.flatnonzero(open_)
+            vectors = sums[place[own]]
+            both = follows[own]
+            vectors[both] += sums[place[own[both] + 1]]
+            sims = (vectors @ self.latent.T) / norm[own][:, None]
             for w, i in zip(*np.nonzero(sims >= cosine), strict=True):
-                best.setdefault((int(owner[a + w]), int(i)), []).append((int(first[a + w]), float(sims[w, i])))
+                best.setdefault((int(owner[a + own[w]]), int(i)), []).append((int(first[a + own[w]]), float(sims[w, i])))
         out = []
         for (at, i), places in best.items():
             item, (k, x) = self.items[i], docs[at]
@@ -140,6 +160,9 @@ class Index:
                 if place < done:
                     continue  # inside the neighbourhood that was just compared
                 near = x[max(0, place - reach) : place + PASSAGE + reach]
+                there = set(near.tolist())
+                if sum(w in there for w in item.tolist()) < paraphrase * reach:
+                    continue  # no subsequence can be longer than the words that are there at all
                 share = lcs_share(item, near)
                 kept = lcs_share(item[-ANSWER_WORDS:], near)
                 if (share, kept) > (shared, answer):
@@ -210,7 +233,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         idf = np.log((passages + 2) / (np.array([counts.get(k, 0) for k in range(n)], float) + 1))
         width = min(RANK + OVERSAMPLE, len(rows), n)
         if not width:
-            yield Index(vocabulary, [], [], np.zeros((n + 1, 0)), np.zeros(n + 1), np.zeros((0, 0)))
+            yield Index(vocabulary, [], [], np.zeros((n + 1, 0)), np.zeros(n + 1), np.zeros((0, 0)), np.zeros(n + 1))
             continue
         parts = arrow_map(own, _range_finder(vocabulary, idf, width), "word long, z array<double>").collect()
         z = np.zeros((n, width))
@@ -226,8 +249,9 @@ def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         latent = dense @ v
         scale = np.sqrt((dense**2).sum(1)) / np.maximum((latent**2).sum(1), 1e-12)
         oov = np.log(passages + 2)
-        yield Index(vocabulary, [k for k, _ in rows], ids, np.vstack([idf[:, None] * v, np.zeros(v.shape[1])]).astype(np.float32),
-                    np.append(idf, oov).astype(np.float32) ** 2, (latent * scale[:, None]).astype(np.float32))
+        basis, latent = np.vstack([idf[:, None] * v, np.zeros(v.shape[1])]), latent * scale[:, None]
+        yield Index(vocabulary, [k for k, _ in rows], ids, basis.astype(np.float32), np.append(idf, oov).astype(np.float32) ** 2, latent.astype(np.float32),
+                    np.maximum((basis @ latent.T).max(axis=1), 0).astype(np.float32))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",

@@ -9,10 +9,17 @@ all registers, which ends the work early. Two texts agree in a register with
 the probability Jaccard of their weighted shingles.
 
 Registers are banded. In a band's bucket every text meets the bucket's hub (the
-first text in one of eight random orders, by the band), never all others. Two
+first text in one of eight random orders, by the band). Two
 texts at 0.8 share about sixteen buckets. Pairs
 that met are verified on the exact sets of shingles of the whole texts, and
 linked texts form classes.
+
+Where a bucket of three or more texts is not all one class then, hubs have not
+answered for every pair in it. Its texts are joined exactly, however they fell
+into bands: shingles are put in the order of how many of these texts hold them,
+and two texts at 0.8 must share one among the rarest few of each (``rest``).
+Every pair of texts that such a shingle brings together and that is not of one
+class is compared, unless lengths or places in the order rule it out.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_map, doc_type, id_text, keep_smaller, written
@@ -32,6 +39,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 4  # of two texts at 0.8, one in a thousand million meets in no band
 REGISTERS = BANDS * ROWS
 MOST_WORDS = 300_000
+SALTED = 2_000  # texts with one shingle among their rarest that one task compares
 _WORDS: dict[str, int] = {}  # hashes of words, one table per worker process
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,6 +136,49 @@ def _verifier(similarity: float):
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, root, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            own = np.unique(shingle_hashes(text.split())).view(np.int64)
+            for k in range(0, len(own), 100_000):
+                part = own[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x, np.int64)) for x in (node, root, len(own))] + [pa.array(part)],
+                                                 names=["node", "root", "size", "shingle"])
+
+
+def rest(texts: DataFrame, folder: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (``a``, ``b``) of ``texts`` (``node``, ``root``, ``text``) of different roots that may reach the similarity: none that does is left out.
+
+    Shingles stand in the order of how many of the texts hold them. The first
+    one that two similar texts share stands among the first
+    ``size - ceil(t * size) + 1`` of the longer text, and among the first
+    ``size - ceil(2t / (1 + t) * size) + 1`` of the shorter one; what is behind
+    it bounds what they can share in all.
+    """
+    spark = texts.sparkSession
+    rows = written(arrow_map(texts, _shingle_rows, "node long, root long, size long, shingle long"), f"{folder}/shingles")
+    held = written(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/held")
+    common = rows.join(held, "shingle")
+    own = Window.partitionBy("node")
+    # Shingles that no other text holds come first and are not listed: they only move the others back.
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "shingle")) - 1
+    size, t = F.col("size"), float(similarity)
+    ranked = common.withColumn("place", place)
+    least = F.ceil(size * t - 1e-9)  # a rounding error may only widen what is looked at
+    both = F.ceil(size * (2 * t / (1 + t)) - 1e-9)
+    first = written(ranked.where(F.col("place") <= size - least).withColumn("short", F.col("place") <= size - both).select("shingle", "node", "root", "size", "place", "short"), f"{folder}/first")
+    groups = written(first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+                     .select("shingle", F.ceil(F.col("n") / SALTED).cast("int").alias("parts")), f"{folder}/groups")
+    dealt = first.join(groups, "shingle")
+    longer = dealt.select("shingle", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"{c}_l") for c in ("node", "root", "size", "place")))
+    shorter = dealt.where("short").select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_s") for c in ("node", "root", "size", "place")))
+    ordered = (F.col("size_s") < F.col("size_l")) | (F.col("size_s") == F.col("size_l")) & (F.col("node_s") < F.col("node_l"))
+    behind = F.least(F.col("size_l") - F.col("place_l"), F.col("size_s") - F.col("place_s"))
+    possible = (F.col("root_s") != F.col("root_l")) & ordered & (F.col("size_s") >= F.col("size_l") * t - 1e-9) & (behind >= (F.col("size_s") + F.col("size_l")) * (t / (1 + t)) - 1e-9)
+    met = longer.join(shorter, ["shingle", "part"]).where(possible)
+    return met.select(F.least("node_s", "node_l").alias("a"), F.greatest("node_s", "node_l").alias("b")).distinct()
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """``node`` and ``root`` (least node reached) of every node with an edge (``a``, ``b``).
 
@@ -153,6 +204,20 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         now = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _degrees(pairs: DataFrame, path: str) -> DataFrame:
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d")), path)
+
+
+def _verified(pairs: DataFrame, degree: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that reach the similarity on their whole texts (``node``, ``text``)."""
+    # The end with more partners comes as the hub, whose shingles are kept from one row to the next.
+    turned = (pairs.join(degree.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+              .select(F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("node")))
+    full = (turned.join(texts.select("node", "text"), "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+            .select("hub", "node", "hub_text", "text").sortWithinPartitions("hub"))
+    return arrow_map(full, _verifier(similarity), "hub long, node long").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: key, ``class_id`` (least key in the class), ``class_size`` (rows in it), ``text_class`` (one number for texts with the same words).
 
@@ -178,21 +243,31 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
     nodes = spark.read.parquet(f"{folder}/nodes")  # written, so that numbers stay what they are
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     turn = F.xxhash64("node", F.col("bucket").bitwiseAND(F.lit(7)))
-    hubs = places.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", turn).alias("hub")).where("n > 1").select("bucket", "hub")
-    met = places.join(written(hubs, f"{folder}/hubs"), "bucket").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    hubs = places.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", turn).alias("hub")).where("n > 1")
+    beside = written(places.join(written(hubs, f"{folder}/hubs"), "bucket"), f"{folder}/beside")
+    met = beside.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    bearers = nodes.select("node", F.col("bearer.doc_id").alias("_id"), F.col("bearer.md5").alias("_md5"))
+
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        bearer = bearers.join(wanted, "node")
+        return written(source.join(bearer, source["doc_id"].eqNullSafe(bearer["_id"]) & (source["md5"] == bearer["_md5"])).select(*wanted.columns, "text"), f"{folder}/{name}")
+
     pairs = written(met, f"{folder}/pairs")
-    # The end with more partners comes as the hub, whose shingles are kept from one row to the next.
-    degree = written(pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d")), f"{folder}/degrees")
-    turned = (pairs.join(degree.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
-              .select(F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("node")))
-    bearer = nodes.join(degree.select(F.col("n").alias("node")), "node").select("node", F.col("bearer.doc_id").alias("_id"), F.col("bearer.md5").alias("_md5"))
-    (source.join(bearer, source["doc_id"].eqNullSafe(bearer["_id"]) & (source["md5"] == bearer["_md5"])).select("node", "text")
-     .write.parquet(f"{folder}/texts"))
-    texts = spark.read.parquet(f"{folder}/texts")
-    full = (turned.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
-            .select("hub", "node", "hub_text", "text").sortWithinPartitions("hub"))
-    edges = arrow_map(full, _verifier(similarity), "hub long, node long").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    roots = components(edges, folder)
+    degree = _degrees(pairs, f"{folder}/degrees")
+    texts = texts_of(degree.select(F.col("n").alias("node")), "texts")
+    roots = components(_verified(pairs, degree, texts, similarity), folder)
+    # Buckets of three or more that are not all one class: the pairs in them without the hub are still to be compared.
+    classed = beside.where("n > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = written(classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"), f"{folder}/mixed")
+    left = written(classed.join(mixed, "bucket").select("node", "root").distinct(), f"{folder}/left")
+    more = written(rest(texts.join(left, "node").select("node", "root", "text"), folder, similarity), f"{folder}/more")
+    found = _verified(more, _degrees(more, f"{folder}/more-degrees"), texts, similarity)
+    held = written(found.join(left.select(F.col("node").alias("a"), F.col("root").alias("u")), "a").join(left.select(F.col("node").alias("b"), F.col("root").alias("v")), "b")
+                   .select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), f"{folder}/joined")
+    if not held.isEmpty():
+        higher = components(held, f"{folder}/higher").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        every = roots.unionByName(higher.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti"))
+        roots = written(every.join(higher, "root", "left").select("node", F.coalesce("above", "root").alias("root")), f"{folder}/roots")
     owned = nodes.select("node", "key", "bearer", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = owned.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("bearer").alias("stays"))
     named = owned.join(sizes, "root").select("key", "class_id", "class_size", "node")

@@ -72,6 +72,21 @@ def test_large_groups_and_chains(spark):
     assert got == brute_classes(rows)
 
 
+def test_pairs_inside_a_family_just_below_the_limit(spark):
+    """300 texts at 0.78 to each other by a common template, and 20 pairs at 0.80 to 0.85 among them."""
+    template = prose(60, 320, 90_000)
+
+    def member(k: int, other: int | None = None, own: int = 0) -> str:
+        return f"{template} {prose(1000 + k, 44, 90_000)}" if other is None else f"{template} {prose(1000 + other, 44 - own, 90_000)} {prose(5000 + k, own, 90_000)}"
+
+    rows = [(k, member(k)) for k in range(280)] + [(280 + k, member(k, 13 * k, 34 + k % 6)) for k in range(20)]
+    sets = {i: shingles(t) for i, t in rows}
+    assert all(0.76 < len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.8 for i in range(100))
+    assert all(0.8 <= len(sets[280 + k] & sets[13 * k]) / len(sets[280 + k] | sets[13 * k]) < 0.85 for k in range(20))
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = odd_rows()
     got = near_duplicates.classes(frame(spark, rows)).collect()

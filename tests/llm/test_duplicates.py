@@ -165,3 +165,32 @@ def test_paraphrases_and_clean_texts(spark):
     assert kept.columns == frame(spark, rows).columns and {1, 2}.isdisjoint(r.doc_id for r in kept.collect() if r.text and item[:20] in r.text)
     assert contamination.leaks(frame(spark, rows), benchmark.limit(0)).count() == 0
     assert contamination.leaks(frame(spark, []), benchmark).count() == 0
+
+
+def test_items_of_any_length_are_found(spark):
+    """Heads of 5 to 12 words among many passages, a long item whole and in part, and a place with the answer beside a better one without."""
+    rng = np.random.default_rng(3)
+    common = [f"c{k}" for k in range(300)]
+    heads = [" ".join(rng.choice(common, n)) for n in (5, 6, 8, 10, 12) for _ in range(6)]
+    long_item = prose(70, 500, 3000)
+    answered = [f"q{k}" for k in range(40)]
+    first = answered[:20] + ["x"] * 15 + answered[-5:]
+    second = answered[:30] + ["y"] * 10
+    filler = [prose(800 + k, 150, 50_000) for k in range(400)]
+    rows = [(k, f"{filler[k]} {h} {filler[-k]}") for k, h in enumerate(heads)]
+    rows += [(100, f"{filler[50]} {long_item} {filler[51]}"), (101, f"{filler[52]} {' '.join(long_item.split()[213:263])} {filler[53]}"), (102, " ".join([*first, filler[54], *second]))]
+    rows += [(200 + k, " ".join([x, *rng.choice(common, 30)])) for k, x in enumerate(filler)]
+    items = [(k, h) for k, h in enumerate(heads)] + [(100, long_item), (102, " ".join(answered))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination.leaks(frame(spark, rows), benchmark).collect()}
+    assert {(k, k) for k in range(len(heads))} | {(100, 100), (101, 100), (102, 102)} <= got
+    assert not any(d >= 200 for d, _ in got)
+    assert {r.doc_id for r in contamination.keep_clean(frame(spark, rows), benchmark).collect()} == {200 + k for k in range(len(filler))}
+
+
+def test_places_are_judged_one_by_one(spark):
+    item = [f"q{k}" for k in range(40)]
+    first, second = item[:20] + ["x"] * 15 + item[-5:], item[:28] + ["y"] * 12
+    text = " ".join([prose(1, 100), *first, prose(2, 200), *second, prose(3, 100)])
+    got = contamination.leaks(frame(spark, [(1, text)]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.answer_share) for r in got] == [(1, 7, 1.0)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, contamination, keyed_ids, near_duplicates, quality, repeats, sanitise, token_counts, toxicity, url_filter
+from millrace.llm import bpe, contamination, hilbert_shards, keyed_ids, near_duplicates, quality, repeats, sanitise, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.classes(documents(spark, folder)).drop("text_class")
 
 
+@query("op13_shards")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("row.text", F.lit(""))
+    return hilbert_shards.document_shards(documents(spark, folder)).rows().select(
+        "row.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 # Days drawn from an MD5, so that any engine can draw the same.
 HEX = "0123456789abcdef"
 

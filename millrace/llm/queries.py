@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, contamination, hilbert_shards, keyed_ids, near_duplicates, quality, repeats, sanitise, token_counts, toxicity, url_filter
+from millrace.llm import bpe, contamination, filter_audit, hilbert_shards, keyed_ids, near_duplicates, quality, repeats, sanitise, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,44 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.classes(documents(spark, folder)).drop("text_class")
 
 
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(source, '') AS part, coalesce(text, '') AS t, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+         + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS INTEGER)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(docs.doc_id > first_id, false) AS INTEGER) AS mask
+  FROM docs LEFT JOIN known ON docs.doc_id = known.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM masks GROUP BY part, mask),
+letters AS (SELECT substr('ABCDE', k + 1, 1) AS letter, 1 << k AS bit FROM (SELECT unnest(range(0, 5)) AS k)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS BIGINT) AS before
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(g) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(x) FILTER (mask & bit > 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * (120 // greatest(1, bit_count(mask)))) FILTER (mask & bit > 0), 0) AS BIGINT) AS shapley
+FROM counts, steps GROUP BY part, filter_order, step
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.flags(documents(spark, folder)), labels(spark, folder))
+
+
 @query("op13_shards")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("row.text", F.lit(""))

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, contamination, filter_audit, hilbert_shards, keyed_ids, near_duplicates, quality, repeats, sanitise, token_counts, toxicity, url_filter
+from millrace.llm import (bpe, contamination, conversation_repair, filter_audit, hilbert_shards, keyed_ids, near_duplicates, quality, repeats, sanitise,
+                          token_counts, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +119,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(filter_audit.flags(documents(spark, folder)), labels(spark, folder))
 
 
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversation_repair.turns_of(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return conversation_repair.report(conversation_repair.damage(turns), turns)
+
+
 @query("op13_shards")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("row.text", F.lit(""))

@@ -18,7 +18,7 @@ figure of all 120 orders, whatever the number of documents.
 
 Nulls: a null text is empty, a null part the empty string. A row without an id is never a copy and never first. Rows
 that repeat an id and its text are each first. A label that is given more than once holds if any row says so. A very
-long text costs its bytes once per step; a step holds 64 MB of texts, or one longer text. No documents, no parts.
+long text costs its bytes once per step; a step holds 12 MB of texts, or one longer text. No documents, no parts.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from millrace.session import scratch_path, spread
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 HEAD, RANGE_KEY = 4, 16  # shortest prefix; bytes of it that order the ranges
-TRIE_BYTES, PARTITION_BYTES, PARTS_OF_A_RANGE = 64 << 20, 64 << 20, 8
+TRIE_BYTES, BATCH_BYTES, PARTITION_BYTES, PARTS_OF_A_RANGE = 12 << 20, 2 << 20, 32 << 20, 8
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _INNER = bytes(range(0x80, 0xC0))  # bytes of a character after its first
 _SYMBOL = re.compile(rb"[#$%&*|]")
@@ -118,7 +118,7 @@ def _entries(schema: pa.Schema):
     """Every document with its mask and the name of its text; one of equal ones in a trie also carries the text."""
 
     def flush(ids, parts, terminals):
-        held = set()
+        held, size = set(), 0
         columns = {name: [] for name in schema.names}
         for id_, part, terminal in zip(ids, parts, terminals):
             name, mask, first, n, text = terminal
@@ -127,12 +127,13 @@ def _entries(schema: pa.Schema):
                 row += [None] * 4
             else:
                 held.add(name)
+                size += len(text)
                 row += [text, first, n, _heads(text)]
             for column, value in zip(columns.values(), row):
                 column.append(value)
-            if len(columns["name"]) == 1000:
+            if size > BATCH_BYTES or len(columns["name"]) == 1000:
                 yield pa.RecordBatch.from_pydict(columns, schema)
-                columns = {name: [] for name in schema.names}
+                columns, size = {name: [] for name in schema.names}, 0
         yield pa.RecordBatch.from_pydict(columns, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,8 @@ index of a row's cell on the Hilbert curve orders the table, and shards are runs
 all of these columns stand in the same shard, and a question about any of them needs few shards.
 
 Rows of one cell, however many, stand in the order of a hash of key and text. The curve and that hash give every row
-its place up to a small error before anything is sorted, which cuts the table into as many even runs as files are
-wanted. A run is one group of one task, and its first ordinal is the number of rows in earlier runs. Texts are
+its place up to a small error before anything is sorted, which cuts the table into as many runs of about equal bytes as
+files are wanted. A run is one group of one task, and its first ordinal is the number of rows in earlier runs. Texts are
 exchanged once. Shard counts differ by one at the most (law ``rows``).
 
 Nulls and NaN of a column count as its lowest cell. Rows without a key or text are rows like any other. Repeated rows
@@ -121,7 +121,7 @@ def write_shards(df: DataFrame, dimensions: dict[str, str | Column], shards: int
     numbers = [as_number(df, c).alias(f"d{k}") for k, c in enumerate(dimensions.values())]
     key, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     source = spread(df).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *numbers,
-                               F.xxhash64(key.cast("string"), text).alias("x"))
+                               F.xxhash64(key.cast("string"), text).alias("x"), (F.octet_length(text) + 1).cast("long").alias("bytes"))
     share = [k / (1 << bits) for k in range(1, 1 << bits)]
     found = source.agg(*[F.percentile_approx(F.nanvl(f"d{k}", F.lit(None)), share, ACCURACY) for k in range(len(numbers))]).first()
     borders = [np.array(b or [], float) for b in found]
@@ -133,23 +133,22 @@ def write_shards(df: DataFrame, dimensions: dict[str, str | Column], shards: int
         return pd.Series(hilbert_index(np.array(cells), bits))
 
     placed = source.withColumn("h", place(F.struct(*[f"d{k}" for k in range(len(numbers))])))
-    keys = written(placed.select("h", "x"), f"{folder}/keys")
-    cells = sorted(tuple(r) for r in keys.groupBy("h").count().collect())  # bounded by the cells, 2**MOST_BITS
-    total = sum(n for _, n in cells)
+    keys = written(placed.select("h", "x", "bytes"), f"{folder}/keys")
+    cells = sorted(tuple(r) for r in keys.groupBy("h").agg(F.sum("bytes")).collect())  # bounded by the cells, 2**MOST_BITS
     before = np.cumsum([0] + [n for _, n in cells])
     starts = spark.createDataFrame([(h, int(b), n) for (h, n), b in zip(cells, before)], "h int, first long, n long")
 
     def runs(frame: DataFrame) -> DataFrame:
         """Number of the even run that a row's cell and hash lead to; never falls along (h, x)."""
         share = (F.col("x").cast("double") + 2.0 ** 63) / 2.0 ** 64
-        run = F.floor((F.col("first") + F.col("n") * share) * files / max(total, 1))
+        run = F.floor((F.col("first") + F.col("n") * share) * files / max(int(before[-1]), 1))
         return frame.join(F.broadcast(starts), "h").withColumn("run", F.least(run, F.lit(files - 1)).cast("int"))
 
     counts = sorted(tuple(r) for r in runs(keys).groupBy("run").count().collect())  # a row per file
-    before = np.cumsum([0] + [n for _, n in counts])
-    ordinals = spark.createDataFrame([(run, int(b)) for (run, _), b in zip(counts, before)], "run int, earlier long")
+    total, earlier = sum(n for _, n in counts), np.cumsum([0] + [n for _, n in counts])
+    ordinals = spark.createDataFrame([(run, int(b)) for (run, _), b in zip(counts, earlier)], "run int, earlier long")
     line = Window.partitionBy("run").orderBy("h", "x")
-    dealt = runs(placed).repartition(files, "run").withColumn("nth", F.row_number().over(line)).join(F.broadcast(ordinals), "run")
+    dealt = runs(placed).repartitionById(files, "run").withColumn("nth", F.row_number().over(line)).join(F.broadcast(ordinals), "run")
     dealt = dealt.withColumn("order", F.col("earlier") + F.col("nth") - 1)
     dealt = dealt.withColumn("shard", F.expr(f"int(`order` * {shards} div {max(total, 1)})"))
     dealt = dealt.withColumn("slot", F.col("order") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}"))

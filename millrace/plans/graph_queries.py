@@ -25,7 +25,7 @@ near AS (
   WHERE rank <= {k})"""
 
 # Parameters of the one-customer, one-product and one-category questions.
-CUSTOMER, PRODUCT, CATEGORY = 17, 3, "Brand#7"
+CUSTOMER, PRODUCT, CATEGORY = 17, 3, "Brand#22"
 HIGH, GAP, SMALL_GAP = 0.01, 0.02, 0.002
 PAIRS = PAIRS.format(customer=CUSTOMER)
 

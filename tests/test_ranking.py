@@ -51,8 +51,8 @@ def test_running_total_over_all_rows(spark):
 
 def test_average_rank_shares_ties(spark):
     df = spark.createDataFrame([(1,), (2,), (2,), (5,), (None,)], "v int")
-    got = sorted((r.v, r["rank"], r.n) for r in rk.average_rank(df, "v", ties="n").collect())
-    assert got == [(1, 1.0, 1), (2, 2.5, 2), (2, 2.5, 2), (5, 4.0, 1)]
+    got = sorted(((r.v, r["rank"], r.n) for r in rk.average_rank(df, "v", ties="n").collect()), key=lambda x: (x[0] is None, x[0] or 0))
+    assert got == [(1, 1.0, 1), (2, 2.5, 2), (2, 2.5, 2), (5, 4.0, 1), (None, None, None)]
 
 
 def test_top_k_cuts_groups_before_the_exchange(spark):

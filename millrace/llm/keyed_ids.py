@@ -6,7 +6,7 @@ the folder's address names:
 * ``shards/``: magic, raw ids (unsigned, two bytes each if the vocabulary allows
   it, else four; little endian), row borders as 64-bit counts of ids, then
   rows, ids and bytes per id. Shards hold documents in ascending key order.
-* ``index/``: one minimal perfect hash per bucket of keys. A slot holds a
+* ``index/``: one minimal perfect hash per bucket of keys, behind the salt of its hashes. A slot holds a
   32-bit fingerprint of its key, the shard, the first row in it, the number of
   rows, and whether the key's rows go on in another shard.
 * ``manifest``: Parquet, a row per shard with its file and its first id.
@@ -17,6 +17,7 @@ it name the files of the attempt that counted.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, doc_type, id_text, keep_smaller
+from millrace.llm.common import arrow_map, doc_type, id_text
 from millrace.session import scratch_path
 
 MAGIC = b"IDSHARD1"
@@ -36,10 +38,10 @@ TAIL, TAIL_BYTES = "<qqq", 24
 SHARD_BYTES = 32 << 20
 KEYS_PER_BUCKET = 200_000
 GAMMA = 2.0  # bits per key and level of the hash
-PACK_CHARS, BATCH_PACKS, MOST_WORDS, LONGEST_WORD = 4096, 32, 700_000, 40
+MOST_LEVELS = 64  # keys still together then share their hash: other bits are taken
+PACK_CHARS, BATCH_PACKS, GATHERED, ENCODED_BYTES = 4096, 32, 1 << 20, 24 << 20
 _LOWER_WS = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the tokenizers
 _ENCODERS: dict[str, WordEncoder] = {}
-_INDEXES: dict[str, PerfectHash] = {}
 
 
 def _store(address: str):
@@ -53,8 +55,10 @@ def _store(address: str):
 class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file whose pattern drops white space.
 
-    Such a text is its words one after the other, so words are encoded in
-    packs by the library and remembered up to a bound.
+    Such a text is its words one after the other. The different words of some
+    texts are found in Arrow and encoded in packs by the library, and the ids
+    of the texts are gathered by offsets. Where the file lowers letters, ASCII letters are lowered first:
+    fewer different words remain.
     """
 
     def __init__(self, path: str):
@@ -64,53 +68,59 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.whole = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if any(map(str.isspace, x.content))]
-        self.known: dict[str, bytes] = {}
-        plain = self.tokenizer.encode("a b", add_special_tokens=False).ids
-        one = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in "ab"]
-        self.by_word = plain == [*one[0], *one[1]] and not self.whole
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word = self._one("a b") == self._one("a") + self._one("b") and not any(map(str.isspace, "".join(added)))
+        self.lowers = all(self._one(c.upper()) == self._one(c) for c in ("a", "z", "word"))
+        # Texts with these go the plain way: white space to Python only, and strings that may be added tokens.
+        self.odd = "[" + _LOWER_WS + "]" + "".join("|" + re.escape(x[:2]) for x in sorted(added))
+
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        ends = np.cumsum([len(w) + 1 for w in words])
+    def _packed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one word after the other, and how many each has."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         packs, start = [], 0
         while start < len(words):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PACK_CHARS, side="right")))
-            packs.append(slice(start, stop))
+            packs.append((start, stop))
             start = stop
-        out: dict[str, bytes] = {}
+        ids, sizes = [np.zeros(0, f"<u{self.width}")], [np.zeros(0, np.int64)]
         for k in range(0, len(packs), BATCH_PACKS):
             some = packs[k : k + BATCH_PACKS]
-            for part, got in zip(some, self.tokenizer.encode_batch([" ".join(words[p]) for p in some], add_special_tokens=False), strict=True):
-                own = words[part]
-                borders = np.cumsum([len(w) + 1 for w in own])
-                starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
-                cuts = np.searchsorted(starts, borders[:-1], side="left").tolist()
-                raw, w = self._ids(got.ids), self.width
-                out.update(zip(own, (raw[a * w : b * w] for a, b in zip([0, *cuts], [*cuts, len(got)], strict=True)), strict=True))
-        return out
-
-    def _split(self, text: str) -> list[str]:
-        if any(c in text for c in _LOWER_WS):
-            from millrace.llm.common import PIECE
-
-            return [w for p in PIECE.findall(text) if (w := p.strip("\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))))]
-        return text.split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            for (a, b), got in zip(some, self.tokenizer.encode_batch([" ".join(words[a:b]) for a, b in some], add_special_tokens=False), strict=True):
+                starts = np.fromiter((x for x, _ in got.offsets), np.int64, len(got))
+                cuts = np.searchsorted(starts, ends[a:b] - (ends[a - 1] if a else 0), side="left")
+                cuts[-1] = len(got)
+                sizes.append(np.diff(cuts, prepend=0))
+                ids.append(np.array(got.ids, f"<u{self.width}"))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         if not self.by_word:
-            return [self._ids(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        keep_smaller(self.known, MOST_WORDS)
-        words = [self._split(t) for t in texts]
-        found = [list(map(self.known.get, w)) for w in words]
-        rows = [k for k, f in enumerate(found) if None in f]
-        fresh = self._fresh(list({w for k in rows for w, f in zip(words[k], found[k], strict=True) if f is None}))
-        for k in rows:
-            found[k] = [fresh[w] if f is None else f for w, f in zip(words[k], found[k], strict=True)]
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_WORD)
-        return list(map(b"".join, found))
+            return [self._ids(x.ids) for x in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+        odd = pc.match_substring_regex(column, self.odd)
+        plain = pc.if_else(odd, "", column)
+        lists = pc.utf8_split_whitespace(pc.ascii_lower(plain) if self.lowers else plain)
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        flat, sizes = self._packed(coded.dictionary.to_pylist())
+        starts = np.cumsum(sizes) - sizes
+        parts = [flat[:0]]
+        for k in range(0, len(codes), GATHERED):
+            some = codes[k : k + GATHERED]
+            n = sizes[some]
+            parts.append(flat[np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        ids = np.concatenate(parts)
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        out = [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self._ids(self._one(column[k].as_py()))
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -139,9 +149,12 @@ class PerfectHash:
         self.starts = np.cumsum([0, *map(len, levels)])
 
     @classmethod
-    def of(cls, keys: np.ndarray) -> PerfectHash:
+    def of(cls, keys: np.ndarray) -> PerfectHash | None:
+        """None if some keys never part."""
         levels, left = [], keys
         while len(left):
+            if len(levels) == MOST_LEVELS:
+                return None
             size = max(64, int(len(left) * GAMMA))
             at = (_mix(left, len(levels)) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
@@ -174,11 +187,11 @@ class PerfectHash:
         return cls(np.split(bits, np.cumsum(sizes)[:-1]) if n else []), start + (total + 7) // 8
 
 
-def _key_bits(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _key_bits(keys: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash key and fingerprint of each key, from independent halves."""
     import xxhash
 
-    wide = [xxhash.xxh3_128_intdigest(k) for k in keys]
+    wide = [xxhash.xxh3_128_intdigest(k, salt) for k in keys]
     return (np.array([w & 0xFFFFFFFFFFFFFFFF for w in wide], np.uint64), np.array([(w >> 64) & 0xFFFFFFFF for w in wide], np.uint32))
 
 
@@ -199,6 +212,18 @@ def _write_file(folder: str, name: str, parts: list[bytes]) -> str:
 def _shard_writer(folder: str, vocabulary: str, end_id: int):
     """Encode a task's rows in their order and write them in shards of bounded size; yield (key, file, row, ids, number in the task)."""
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """Keys and texts of neighbouring batches: more texts share their words."""
+        some, size = [], 0
+        for batch in batches:
+            some.append(batch)
+            size += batch.nbytes
+            if size >= ENCODED_BYTES:
+                yield tuple(pa.concat_arrays([b.column(k) if k == 0 else b.column(k).cast(pa.large_string()) for b in some]) for k in (0, 1))
+                some, size = [], 0
+        if some:
+            yield tuple(pa.concat_arrays([b.column(k) if k == 0 else b.column(k).cast(pa.large_string()) for b in some]) for k in (0, 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(vocabulary)
         width, task = tool.width, TaskContext.get().partitionId()
@@ -214,9 +239,9 @@ def _shard_writer(folder: str, vocabulary: str, end_id: int):
                 pa.concat_arrays(keys), pa.array([task] * n, pa.int64()), pa.array([count] * n, pa.int64()), pa.array([file] * n, pa.string()),
                 pa.array(range(n), pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "task", "part", "file", "row", "n_ids"])
 
-        for batch in batches:
-            for k, ids in enumerate(tool.encode(batch.column(1).to_pylist())):
-                keys.append(batch.column(0).slice(k, 1))
+        for own, texts in joined(batches):
+            for k, ids in enumerate(tool.encode(texts)):
+                keys.append(own.slice(k, 1))
                 payload += [ids, end]
                 sizes.append(len(ids) // width + 1)
                 held += len(ids) + width
@@ -236,14 +261,16 @@ def _index_writer(folder: str):
 
         def flush() -> pa.RecordBatch:
             keys = [f"{k}:{j}" for k, j, *_ in rows]
-            bits, prints = _key_bits(keys)
-            phf = PerfectHash.of(bits)
+            for salt in range(MOST_LEVELS):
+                bits, prints = _key_bits(keys, salt)
+                if (phf := PerfectHash.of(bits)) is not None:
+                    break
             slots = np.zeros(len(rows), _SLOT)
             at = phf.slots(bits)
             slots["print"][at] = prints
             for name, column in zip(("shard", "row", "rows", "more"), list(zip(*rows, strict=True))[2:], strict=True):
                 slots[name][at] = column
-            file = _write_file(f"{folder}/index", f"{bucket:06d}-{uuid.uuid4().hex}.mph", [phf.dumps(), slots.tobytes()])
+            file = _write_file(f"{folder}/index", f"{bucket:06d}-{uuid.uuid4().hex}.mph", [np.array([salt], "<i8").tobytes(), phf.dumps(), slots.tobytes()])
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([file], pa.string())], names=["bucket", "index_file"])
 
         for batch in batches:
@@ -284,7 +311,7 @@ class IdStore:
                   .select("index_file", "doc_id", "name").repartition("index_file").sortWithinPartitions("index_file"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            file, phf, slots = None, None, None
+            file, phf, slots, salt = None, None, None, 0
             for batch in batches:
                 files = np.array(batch.column(0).to_pylist(), object)
                 edges = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)]
@@ -296,12 +323,13 @@ class IdStore:
                         store, path = _store(file)
                         with store.open_input_file(path) as source:
                             raw = source.read()
-                        phf, start = PerfectHash.loads(raw)
-                        slots = np.frombuffer(raw, _SLOT, offset=start)
+                        salt = int(np.frombuffer(raw, "<i8", 1)[0])
+                        phf, start = PerfectHash.loads(raw[8:])
+                        slots = np.frombuffer(raw, _SLOT, offset=8 + start)
                     names, keys, turn = batch.column(2).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a), 0
                     at = np.arange(len(names))
                     while len(at):  # a second turn only for keys whose rows cross into another shard
-                        bits, prints = _key_bits([f"{names[k]}:{turn}" for k in at])
+                        bits, prints = _key_bits([f"{names[k]}:{turn}" for k in at], salt)
                         slot = phf.slots(bits)
                         good = (slot >= 0) & (slots["print"][slot] == prints)
                         got, at = slots[slot[good]], at[good]
@@ -372,7 +400,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | N
     arrow_map(ordered, _shard_writer(folder, vocabulary, end_id),
               f"doc_id {key_type}, task long, part long, file string, row long, n_ids long").write.parquet(f"{folder}/rows")
     rows = spark.read.parquet(f"{folder}/rows")
-    # A row per shard: numbers and first ids by a window over this short list.
+    # Numbers and first ids by a window over the list of shards: one task, a row for each 32 MB of ids.
     line = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
     (rows.groupBy("task", "part", "file").agg(F.count("*").alias("n_rows"), F.sum("n_ids").alias("ids"))
      .select("task", "part", "file", "n_rows", "ids", F.coalesce(F.sum("ids").over(line), F.lit(0)).alias("first_id"), F.coalesce(F.count("*").over(line), F.lit(0)).alias("shard"))

@@ -1,12 +1,14 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
 Every different shingle of five words is an element whose weight grows with how
-often it stands in the text. Its arrivals form a Poisson process with that
+often it stands in the text, from 1 to 9/8. Its arrivals form a Poisson process with that
 rate, drawn from the shingle's hash, and each arrival hits a random register;
 a register keeps the shingle that came first. Arrivals are drawn for all
 shingles a few at a time and a shingle leaves once its next one is later than
 all registers, which ends the work early. Two texts agree in a register with
-the probability Jaccard of their weighted shingles.
+the probability Jaccard of their weighted shingles. As no weight is over 9/8 of
+another, that is at least 8/9 of the Jaccard similarity of the sets of
+shingles, by which pairs are judged, whatever repeats in one of the texts.
 
 Registers are banded. In a band's bucket every text meets the bucket's hub (the
 first text in one of eight random orders, by the band). Two
@@ -36,7 +38,8 @@ from millrace.llm.common import arrow_map, doc_type, id_text, keep_smaller, writ
 from millrace.session import scratch_path
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 4  # of two texts at 0.8, one in a thousand million meets in no band
+BANDS, ROWS = 40, 4  # two texts at 0.8 agree in a register with 0.71 at the least: one pair in 100,000 meets in no band; at equal weights one in a thousand million
+MOST_WEIGHT = 1 / 8  # that repeats add to the weight of 1
 REGISTERS = BANDS * ROWS
 MOST_WORDS = 300_000
 SALTED = 2_000  # texts with one shingle among their rarest that one task compares
@@ -102,7 +105,7 @@ def bands_of(text: str) -> tuple[bytes, np.ndarray]:
     key = xxhash.xxh3_128_digest("\x1f".join(words).encode("utf-8", "surrogatepass"))
     if not len(elements):
         return key, np.zeros(0, np.int64)
-    owner = signature(elements, 1 + np.log(counts)).reshape(BANDS, ROWS)
+    owner = signature(elements, 1 + MOST_WEIGHT * np.minimum(np.log(counts), 1)).reshape(BANDS, ROWS)
     h = np.arange(BANDS, dtype=np.uint64) + _M2
     for c in owner.T:
         h = _mix(h * _GOLD + c)
@@ -197,9 +200,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         last, turn = state, turn + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")), f"{path}-least")  # read back, so that the join splits a hub
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, f"{path}-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{path}-lower")
         joined = large.join(least, "u")
         now = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -275,10 +279,15 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: the one with the least key, null keys first. Of rows that share key and text, one stays. All columns stay."""
+    """``docs`` with one row of each class: the one with the least key, null keys first.
+
+    Of rows that share key and text, one stays. All columns stay as they are, whatever their names. Null and empty texts
+    are copies of each other; an empty table stays empty. A very long text is held once, as its different shingles.
+    """
     _, stays = _classes(docs, similarity, id_col, text_col)
-    columns = docs.columns
-    marked = docs.withColumn("_md5", F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    named = stays.select(F.col("doc_id").alias("_id"), F.col("md5").alias("_own"))
-    kept = marked.join(named, marked[f"`{id_col}`"].eqNullSafe(named["_id"]) & (marked["_md5"] == named["_own"]))
-    return kept.dropDuplicates(["_id", "_own"]).select(*(f"`{c}`" for c in columns))
+    # All columns travel in one, so that none can clash.
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+                         F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("md5"))
+    named = stays.select(F.col("doc_id").alias("its_id"), F.col("md5").alias("its_md5"))
+    kept = marked.join(named, marked["doc_id"].eqNullSafe(named["its_id"]) & (marked["md5"] == named["its_md5"]))
+    return kept.dropDuplicates(["doc_id", "md5"]).select("row.*")

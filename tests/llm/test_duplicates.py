@@ -194,3 +194,26 @@ def test_places_are_judged_one_by_one(spark):
     text = " ".join([prose(1, 100), *first, prose(2, 200), *second, prose(3, 100)])
     got = contamination.leaks(frame(spark, [(1, text)]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.answer_share) for r in got] == [(1, 7, 1.0)]
+
+
+@pytest.mark.parametrize("times", [1, 30, 200, 1000])
+def test_repeats_of_what_is_not_shared_lose_no_pair(times):
+    """104 shared words, 20 more that one text repeats: the set similarity stays just above 0.8."""
+    for seed in range(60):
+        shared = [f"s{seed}x{k}" for k in range(104)]
+        more = [f"m{seed}x{k}" for k in range(20)] * times
+        a, b = " ".join(shared), " ".join(shared + more)
+        own, other = shingles(a), shingles(b)
+        assert len(own & other) / len(own | other) > 0.8 or times > 1
+        _, left = near_duplicates.bands_of(a)
+        _, right = near_duplicates.bands_of(b)
+        if len(own & other) >= 0.8 * len(own | other):
+            assert set(left.tolist()) & set(right.tolist()), seed
+
+
+def test_one_of_each_class_keeps_all_columns(spark):
+    rows = [(k, prose(k // 3, 60)) for k in range(60)]
+    df = frame(spark, rows).withColumn("_id", near_duplicates.F.col("doc_id") + 1000).withColumn("_own", near_duplicates.F.lit("own")).withColumn("row", near_duplicates.F.lit(1))
+    kept = near_duplicates.keep_one(df)
+    want = [r for r in df.collect() if r.doc_id % 3 == 0]
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, want))

@@ -69,12 +69,13 @@ def test_round_trip_of_odd_rows(spark):
 
 
 def test_perfect_hash_is_minimal_and_knows_strangers():
-    keys, prints = keyed_ids._key_bits([f"k{n}" for n in range(5000)])
+    keys, prints = keyed_ids._key_bits([f"k{n}" for n in range(5000)], 0)
     phf = keyed_ids.PerfectHash.of(keys)
     assert sorted(phf.slots(keys)) == list(range(5000))
     back, _ = keyed_ids.PerfectHash.loads(phf.dumps())
     assert (back.slots(keys) == phf.slots(keys)).all()
     assert len(keyed_ids.PerfectHash.of(keys[:0]).slots(keys)) == 5000
+    assert keyed_ids.PerfectHash.of(np.array([5, 7, 5], np.uint64)) is None  # other bits are taken then
 
 
 def test_keyed_ids_of_odd_rows(spark, monkeypatch):

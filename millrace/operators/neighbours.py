@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from millrace.operators.ranking import hash_order, top_k
+from millrace.session import checkpoint
 
 # Queries are sent to every task only up to this many bytes of vectors.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows per side of a tile when the queries are too many for that.
+# Beyond that: rows per side of a tile, bytes of pivot vectors, rings around a pivot.
 TILE_ROWS = 20_000
+PIVOT_BYTES = 16 * 1024 * 1024
+RINGS = 4
 
 FOUND = StructType([StructField("query_id", LongType()), StructField("row_id", LongType()), StructField("distance", DoubleType())])
 
@@ -55,41 +58,45 @@ def _frame(query_ids: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> pd.D
     })
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int, metric: str, p: float):
-    """Best k of one block of rows for all queries, some queries at a time."""
+def _search(query_ids: np.ndarray, queries: np.ndarray, row_ids: np.ndarray, rows: np.ndarray, k: int, metric: str, p: float, others: bool):
+    """Best k of one block of rows for all queries, some queries at a time. With ``others`` a row is no answer to itself."""
     parts = []
     step = max(1, 4_000_000 // max(1, len(rows)))
     for at in range(0, len(queries), step):
         part = queries[at:at + step]
         distance = _distances(part, rows, metric, p)
+        if others:
+            distance[query_ids[at:at + step, None] == row_ids[None, :]] = np.inf
         parts.append(_nearest(distance, np.broadcast_to(row_ids, distance.shape), k))
     return np.concatenate([d for d, _ in parts]), np.concatenate([i for _, i in parts])
 
 
-def nearest(queries: DataFrame, store: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0) -> DataFrame:
+def nearest(queries: DataFrame, store: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, others: bool = False) -> DataFrame:
     """The k nearest rows of ``store`` (row_id, vector) for every query
     (query_id, vector): query_id, row_id, distance, rank. Exact.
 
-    Each task keeps k candidates per query of the rows it holds, so only
-    queries x k rows per task are exchanged. Queries travel to the tasks as a
-    broadcast while their vectors stay under BROADCAST_BYTES; beyond that both
-    sides are hashed into blocks and every (query block, row block) tile is a
-    task of its own.
+    With ``others`` the row whose id is the query's is left out. Each task keeps
+    k candidates per query of the rows it holds, so only queries x k rows per
+    task are exchanged. Queries travel to the tasks as a broadcast while their
+    vectors stay under BROADCAST_BYTES; beyond that ``nearest_by_pivots`` sends
+    a query only where an answer can be.
     """
-    spark = store.sparkSession
-    wanted = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
-    rows = store.select(F.col("row_id").cast("long"), F.col("vector").cast("array<double>"))
+    wanted, rows = _plain_sides(queries, store)
     size = wanted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     if size.n == 0:
-        return spark.createDataFrame([], FOUND).withColumn("rank", F.lit(1))
-    if size.n * size.d * 8 <= BROADCAST_BYTES:
-        found = _search_broadcast(wanted, rows, k, metric, p)
-    else:
-        found = _search_tiles(wanted, rows, k, metric, p, size.n)
+        return store.sparkSession.createDataFrame([], FOUND).withColumn("rank", F.lit(1))
+    if size.n * size.d * 8 > BROADCAST_BYTES:
+        return nearest_by_pivots(queries, store, k, metric, p, others)
+    found = _search_broadcast(wanted, rows, k, metric, p, others)
     return top_k(found, ["query_id"], [F.col("distance"), F.col("row_id")], k)
 
 
-def _search_broadcast(wanted: DataFrame, rows: DataFrame, k: int, metric: str, p: float) -> DataFrame:
+def _plain_sides(queries: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")),
+            store.select(F.col("row_id").cast("long"), F.col("vector").cast("array<double>")))
+
+
+def _search_broadcast(wanted: DataFrame, rows: DataFrame, k: int, metric: str, p: float, others: bool) -> DataFrame:
     local = wanted.toPandas()
     ids = local["query_id"].to_numpy()
     vectors = np.stack(local["vector"].to_numpy())
@@ -101,30 +108,141 @@ def _search_broadcast(wanted: DataFrame, rows: DataFrame, k: int, metric: str, p
         for batch in batches:
             if batch.empty:
                 continue
-            d, i = _search(query_ids, query_vectors, batch["row_id"].to_numpy(), np.stack(batch["vector"].to_numpy()), k, metric, p)
+            d, i = _search(query_ids, query_vectors, batch["row_id"].to_numpy(), np.stack(batch["vector"].to_numpy()), k, metric, p, others)
             if best_d is not None:
                 d, i = _nearest(np.concatenate([best_d, d], 1), np.concatenate([best_i, i], 1), k)
             best_d, best_i = d, i
         if best_d is not None:
-            yield _frame(query_ids, best_d, best_i)
+            found = _frame(query_ids, best_d, best_i)
+            yield found[np.isfinite(found["distance"])]
 
     return rows.mapInPandas(search, FOUND)
 
 
-def _search_tiles(wanted: DataFrame, rows: DataFrame, k: int, metric: str, p: float, n_queries: int, tile: int = TILE_ROWS) -> DataFrame:
-    n_rows = rows.count()
-    nq, nr = -(-n_queries // tile), max(1, -(-n_rows // tile))
-    left = wanted.select("*", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
-    right = rows.select("*", F.pmod(F.xxhash64("row_id"), F.lit(nr)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+# --- pivots --------------------------------------------------------------------
+
+
+def _metric_space(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Coordinates whose distance obeys the triangle inequality. Of cosine: unit
+    vectors, whose squared distance is twice the cosine distance; a vector of
+    zeros gets a direction of its own."""
+    if metric != "cosine":
+        return vectors
+    lengths = np.linalg.norm(vectors, axis=1)[:, None]
+    return np.hstack([vectors / np.where(lengths == 0, 1.0, lengths), (lengths == 0).astype(float)])
+
+
+class _Blocks:
+    """Pivots and, for each block of rows around one of them, their least and greatest distance to it and their count."""
+
+    def __init__(self, pivots: np.ndarray, blocks: np.ndarray, low: np.ndarray, high: np.ndarray, rows: np.ndarray, metric: str, p: float):
+        self.pivots, self.blocks, self.low, self.high, self.rows = pivots, blocks, low, high, rows
+        self.metric, self.space, self.p = metric, "euclidean" if metric == "cosine" else metric, p
+
+    def bounds(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance that no row of a block falls below, and one that none exceeds, for every vector and block."""
+        away = _distances(_metric_space(vectors, self.metric), self.pivots, self.space, self.p)[:, self.blocks // RINGS]
+        slack = 1e-7 + 1e-9 * away
+        return np.maximum(np.maximum(away - self.high, self.low - away) - slack, 0.0), away + self.high
+
+    def first(self, lower: np.ndarray, upper: np.ndarray, k: int) -> np.ndarray:
+        """Blocks to look into first: the nearest ones that hold k rows besides the query."""
+        order = np.lexsort((upper, lower), axis=1)
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        out = np.zeros(lower.shape, bool)
+        np.put_along_axis(out, order, before < k + 1, 1)
+        return out
+
+    def later(self, lower: np.ndarray, limit: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Other blocks that can hold a row within ``limit`` (NaN: no limit known)."""
+        reach = np.sqrt(2.0 * np.maximum(limit, 0.0)) if self.metric == "cosine" else limit
+        return ~first & ~(lower > reach[:, None])
+
+
+def _blocked(rows: DataFrame, metric: str, p: float) -> tuple[DataFrame, _Blocks] | None:
+    """Rows with their block (checkpointed), and what the blocks hold."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if size.n == 0:
+        return None
+    most = int(max(1, min(np.ceil(np.sqrt(size.n)), PIVOT_BYTES // (8 * size.d))))
+    chosen = rows.select("vector", "row_id", hash_order("row_id", "pivot").alias("_h")).orderBy("_h", "row_id").limit(most).collect()
+    pivots = _metric_space(np.array([r.vector for r in chosen]), metric)
+    space = "euclidean" if metric == "cosine" else metric
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            away = _distances(_metric_space(np.stack(batch["vector"].to_numpy()), metric), pivots, space, p)
+            yield batch.assign(pivot=away.argmin(1).astype("int32"), away=away.min(1))
+
+    placed = checkpoint(rows.mapInPandas(place, "row_id long, vector array<double>, pivot int, away double"))
+    edges = placed.groupBy("pivot").agg(F.min("away").alias("near"), F.max("away").alias("far"))
+    ring = F.least(F.floor(RINGS * F.coalesce(F.try_divide(F.col("away") - F.col("near"), F.col("far") - F.col("near")), F.lit(0.0))), F.lit(RINGS - 1))
+    ringed = placed.join(F.broadcast(edges), "pivot").select((F.col("pivot") * RINGS + ring).cast("int").alias("block"), "row_id", "vector", "away")  # a row a pivot
+    held = sorted(tuple(r) for r in ringed.groupBy("block").agg(F.min("away"), F.max("away"), F.count(F.lit(1))).collect())
+    block, low, high, n = (np.array(x) for x in zip(*held))
+    return ringed.drop("away"), _Blocks(pivots, block, low, high, n, metric, p)
+
+
+def _tiles(routed: DataFrame, ringed: DataFrame, about: _Blocks, k: int, metric: str, p: float, others: bool) -> DataFrame:
+    """Best k of every query in every block it is sent to. Blocks with many rows
+    or many queries are cut into tiles of TILE_ROWS a side."""
+    asked = {r.block: r["count"] for r in routed.groupBy("block").count().collect()}  # at most RINGS per pivot
+    rows = dict(zip(about.blocks.tolist(), about.rows.tolist()))
+    cuts = [(b, -(-rows[b] // TILE_ROWS), -(-n // TILE_ROWS)) for b, n in asked.items()]
+    if not cuts:
+        return routed.sparkSession.createDataFrame([], FOUND)
+    parts = F.broadcast(routed.sparkSession.createDataFrame(cuts, "block int, rs long, qs long"))
+    left = routed.join(parts, "block").select("block", F.pmod(F.xxhash64("query_id"), "qs").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rs") - 1)).alias("r"), "query_id", "vector")
+    right = ringed.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("q"), F.pmod(F.xxhash64("row_id"), "rs").alias("r"), "row_id", "vector")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         ids = a["query_id"].to_numpy()
-        d, i = _search(ids, np.stack(a["vector"].to_numpy()), b["row_id"].to_numpy(), np.stack(b["vector"].to_numpy()), k, metric, p)
-        return _frame(ids, d, i)
+        found = _frame(ids, *_search(ids, np.stack(a["vector"].to_numpy()), b["row_id"].to_numpy(), np.stack(b["vector"].to_numpy()), k, metric, p, others))
+        return found[np.isfinite(found["distance"])]
+
+    return left.groupBy("block", "q", "r").cogroup(right.groupBy("block", "q", "r")).applyInPandas(search, FOUND)
+
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(search, FOUND)
+def nearest_by_pivots(queries: DataFrame, store: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, others: bool = False) -> DataFrame:
+    """The same result as ``nearest`` for any number of queries. Exact.
+
+    Rows belong to the nearest of about sqrt(n) pivots and lie in rings around
+    it. A query first looks into the blocks it stands nearest to; its k-th
+    distance there and the triangle inequality say which other blocks can hold
+    something nearer, and it is sent to those only. Cosine goes by unit vectors.
+    """
+    wanted, rows = _plain_sides(queries, store)
+    made = _blocked(rows, metric, p)
+    if made is None:
+        return store.sparkSession.createDataFrame([], FOUND).withColumn("rank", F.lit(1))
+    ringed, about = made
+    shared = store.sparkSession.sparkContext.broadcast(about)
+
+    def route(second: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            blocks = shared.value
+            step = max(1, 4_000_000 // len(blocks.blocks))
+            for batch in batches:
+                for at in range(0, len(batch), step):
+                    part = batch.iloc[at:at + step]
+                    lower, upper = blocks.bounds(np.stack(part["vector"].to_numpy()))
+                    chosen = blocks.first(lower, upper, k)
+                    if second:
+                        chosen = blocks.later(lower, part["limit"].to_numpy(float), chosen)
+                    query, block = np.nonzero(chosen)
+                    yield pd.DataFrame({"block": blocks.blocks[block].astype("int32"), "query_id": part["query_id"].to_numpy()[query], "vector": part["vector"].to_numpy()[query]})
+        return run
+
+    schema = "block int, query_id long, vector array<double>"
+    near = checkpoint(top_k(_tiles(wanted.mapInPandas(route(False), schema), ringed, about, k, metric, p, others), ["query_id"], [F.col("distance"), F.col("row_id")], k).drop("rank"))
+    limits = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("limit"))
+    again = wanted.join(limits, "query_id", "left").select("query_id", "vector", "limit")
+    far = _tiles(checkpoint(again.mapInPandas(route(True), schema)), ringed, about, k, metric, p, others)
+    return top_k(near.unionByName(far), ["query_id"], [F.col("distance"), F.col("row_id")], k)
 
 
 def classify(found: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from millrace.operators import aggregates as ag
 from millrace.operators import documents as dx
 from millrace.operators import neighbours as nb
 from millrace.operators import sampling
-from millrace.operators.ranking import hash_order
 from millrace.plans.registry import query
 
 STOPS = "[" + ",".join(f"'{w}'" for w in dx.v.STOP_WORDS) + "]"
@@ -72,11 +71,9 @@ def _(t):
     return dx.packed_chunks(t.documents, "doc_id", "text", 500)
 
 
-# A stated number of questions, whatever the store holds: the first vectors in hash order.
-QUESTIONS = 50
-SPLIT = f"""split AS (
-  SELECT *, r <= {QUESTIONS} AS is_test FROM (
-    SELECT vec_id, embedding::DOUBLE[] AS v, label, row_number() OVER (ORDER BY md5(vec_id || ':42'), vec_id) AS r FROM embeddings))"""
+# The question set: every vector whose id is divisible by 20, against all other vectors.
+EVERY = 20
+SPLIT = "split AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 DISTANCE = {
     "euclidean": "sqrt(list_sum(list_transform(list_zip(q.v, s.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))",
     "manhattan": "list_sum(list_transform(list_zip(q.v, s.v), lambda x: abs(x[1] - x[2])))",
@@ -88,15 +85,17 @@ DISTANCE = {
 def found_sql(metric: str, k: int) -> str:
     return f"""{SPLIT}, found AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id)::INTEGER AS rank FROM (
-    SELECT q.vec_id AS query_id, s.vec_id AS row_id, s.label, {DISTANCE[metric]} AS distance FROM split q, split s WHERE q.is_test AND NOT s.is_test))
+    SELECT q.vec_id AS query_id, s.vec_id AS row_id, s.label, {DISTANCE[metric]} AS distance FROM split q, split s WHERE q.vec_id % {EVERY} = 0 AND s.vec_id <> q.vec_id))
   WHERE rank <= {k})"""
 
 
 def sides(t):
-    asked = t.embeddings.orderBy(hash_order("vec_id", "42"), "vec_id").limit(QUESTIONS)
-    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    store = t.embeddings.join(F.broadcast(asked.select("vec_id")), "vec_id", "left_anti").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
-    return queries, store
+    queries = t.embeddings.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return queries, t.embeddings.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+
+
+def nearest(t, k, metric="euclidean", p=2.0, search=nb.nearest):
+    return search(*sides(t), k, metric, p, others=True)
 
 
 def labels(t):
@@ -110,12 +109,23 @@ def rounded(found):
 for _metric in ("euclidean", "manhattan", "minkowski"):
     @query(f"J13_nearest_{_metric}", f"WITH {found_sql(_metric, 10)} SELECT query_id, row_id, round(distance, 6) AS distance, rank FROM found")
     def _(t, metric=_metric):
-        return rounded(nb.nearest(*sides(t), 10, metric, 3.0))
+        return rounded(nearest(t, 10, metric, 3.0))
+
+    @query(f"J13_pivot_{_metric}", f"WITH {found_sql(_metric, 10)} SELECT query_id, row_id, round(distance, 6) AS distance, rank FROM found")
+    def _(t, metric=_metric):
+        """The same through pivots, as for more questions than can be broadcast."""
+        return rounded(nearest(t, 10, metric, 3.0, nb.nearest_by_pivots))
 
 
 @query("X5_nearest_chunks", f"WITH {found_sql('cosine', 4)} SELECT query_id, row_id, round(1 - distance, 6) AS similarity, rank FROM found")
 def _(t):
-    found = nb.nearest(*sides(t), 4, "cosine")
+    found = nearest(t, 4, "cosine")
+    return found.select("query_id", "row_id", F.round(1 - F.col("distance"), 6).alias("similarity"), "rank")
+
+
+@query("X5_pivot_chunks", f"WITH {found_sql('cosine', 4)} SELECT query_id, row_id, round(1 - distance, 6) AS similarity, rank FROM found")
+def _(t):
+    found = nearest(t, 4, "cosine", search=nb.nearest_by_pivots)
     return found.select("query_id", "row_id", F.round(1 - F.col("distance"), 6).alias("similarity"), "rank")
 
 
@@ -128,8 +138,8 @@ WITH {found_sql('cosine', 2)}, context AS (
 SELECT query_id, n_chunks, 'Use the following context to answer the question.' || chr(10) || chr(10) || context || chr(10) || chr(10)
   || 'Question: document ' || query_id || chr(10) || 'Answer:' AS prompt FROM context""")
 def _(t):
-    """Two texts per question, so a question's context is small whatever the store holds."""
-    found = nb.nearest(*sides(t), 2, "cosine")
+    """Two texts per question, so its context is small whatever the store holds."""
+    found = nearest(t, 2, "cosine")
     texts = t.documents.select(F.col("doc_id").alias("row_id"), "text")
     parts = found.join(texts, "row_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_c"))
     context = F.array_join(F.transform("_c", lambda x: x["text"]), "\n\n")
@@ -246,7 +256,7 @@ def _(t):
 WITH {found_sql('euclidean', 5)}, votes AS (SELECT query_id, label, count(*) AS votes FROM found GROUP BY ALL)
 SELECT query_id, label AS predicted, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS r FROM votes) WHERE r = 1""")
 def _(t):
-    return nb.classify(nb.nearest(*sides(t), 5), labels(t))
+    return nb.classify(nearest(t, 5), labels(t))
 
 
 @query("M7_knn_accuracy", f"""
@@ -254,7 +264,7 @@ WITH {found_sql('manhattan', 5)}, votes AS (SELECT query_id, label, count(*) AS
 best AS (SELECT query_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS r FROM votes) WHERE r = 1)
 SELECT count(*) AS n, round(100 * avg(CASE WHEN label = predicted THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy_percent FROM best JOIN embeddings ON vec_id = query_id""")
 def _(t):
-    predicted = nb.classify(nb.nearest(*sides(t), 5, "manhattan"), labels(t))
+    predicted = nb.classify(nearest(t, 5, "manhattan"), labels(t))
     actual = t.embeddings.select(F.col("vec_id").alias("query_id"), "label")
     return ag.accuracy_percent(predicted.join(actual, "query_id"), "label", "predicted")
 
@@ -262,7 +272,7 @@ def _(t):
 @query("M8_knn_regress", f"WITH {found_sql('euclidean', 5)} SELECT query_id, round(avg(label), 6) AS predicted, count(*) AS n FROM found GROUP BY query_id")
 def _(t):
     targets = t.embeddings.select(F.col("vec_id").alias("row_id"), F.col("label").alias("target"))
-    return nb.regress(nb.nearest(*sides(t), 5), targets)
+    return nb.regress(nearest(t, 5), targets)
 
 
 @query("M9_kmeans_one_step", """

@@ -180,7 +180,8 @@ def vectors(spark):
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan", "minkowski", "cosine"])
-def test_nearest_is_exact_by_broadcast_and_by_tiles(spark, metric):
+def test_nearest_is_exact_by_broadcast_and_by_pivots(spark, metric, monkeypatch):
+    monkeypatch.setattr(nb, "TILE_ROWS", 7)
     points, df = vectors(spark)
     queries = df.filter("row_id % 10 = 0").withColumnRenamed("row_id", "query_id")
     want = {}
@@ -191,9 +192,7 @@ def test_nearest_is_exact_by_broadcast_and_by_tiles(spark, metric):
             p = {"euclidean": 2, "manhattan": 1, "minkowski": 3}[metric]
             d = (np.abs(points - points[q]) ** p).sum(1) ** (1 / p)
         want[q] = np.sort(d)[:6]
-    tiles = nb._search_tiles(queries.select(F.col("query_id"), F.col("vector").cast("array<double>")),
-                             df.select("row_id", F.col("vector").cast("array<double>")), 6, metric, 3.0, 15, tile=7)
-    frames = [nb.nearest(queries, df, 6, metric, 3.0), nb.top_k(tiles, ["query_id"], [F.col("distance"), F.col("row_id")], 6)]
+    frames = [nb.nearest(queries, df, 6, metric, 3.0), nb.nearest_by_pivots(queries, df, 6, metric, 3.0)]
     for frame in frames:
         rows = frame.orderBy("query_id", "rank").collect()
         assert len(rows) == 15 * 6
@@ -201,6 +200,27 @@ def test_nearest_is_exact_by_broadcast_and_by_tiles(spark, metric):
             assert [r.distance for r in rows if r.query_id == q] == pytest.approx(want[q], abs=1e-6)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_pivots_skip_blocks_and_lose_nothing(spark, metric, monkeypatch):
+    """Clusters far apart, a third of all rows equal, vectors of zeros; a row is no answer to itself."""
+    monkeypatch.setattr(nb, "TILE_ROWS", 50)
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(12, 6)) * 40
+    points = np.concatenate([np.repeat(centres, 50, axis=0) + draw.normal(size=(600, 6)), np.repeat(centres[:1], 300, axis=0), np.zeros((9, 6))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "row_id long, vector array<double>").repartition(5)
+    queries = df.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id")
+    got, want = ({(r.query_id, r["rank"]): round(r.distance, 6) for r in f.collect()} for f in (nb.nearest_by_pivots(queries, df, 5, metric, others=True), nb.nearest(queries, df, 5, metric, others=True)))
+    assert got == want and len(got) == 5 * len(range(0, len(points), 20))
+    assert all(r.query_id != r.row_id for r in nb.nearest_by_pivots(queries, df, 5, metric, others=True).collect())
+    _, about = nb._blocked(df, metric, 2.0)
+    lower, upper = about.bounds(points[::20])
+    first = about.first(lower, upper, 5)
+    limits = np.array([want[q, 5] for q in range(0, len(points), 20)])
+    assert (first | about.later(lower, limits, first)).mean() < 0.4
+    few = nb.nearest_by_pivots(queries.limit(3), df.limit(4), 9, metric).collect()
+    assert len(few) == 12 and nb.nearest_by_pivots(queries, df.limit(0), 3, metric).count() == 0 and nb.nearest_by_pivots(queries.limit(0), df, 3, metric).count() == 0
+
+
 def test_nearest_of_itself_is_itself_or_an_equal_row(spark):
     points, df = vectors(spark)
     found = nb.nearest(df.withColumnRenamed("row_id", "query_id"), df, 1).collect()

@@ -5,13 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.ranking import hash_rank, running_total, value_ranks
-
-# Distinct values per side up to which the shift is worked out on the driver.
-LOCAL_VALUES = 2000
+from millrace.operators.selection import DifferenceMatrix
 
 
 def normal_two_sided(z: float) -> float:
@@ -78,45 +75,24 @@ def rank_sum(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
     return made.withColumn("p_value", F.lit(p).cast("double"))
 
 
-def location_shift(df: DataFrame, group: str, value: str, first, second, level: float = 0.95) -> tuple[float, float, float]:
+def location_shift(df: DataFrame, group: str, value: str, first, second, level: float = 0.95) -> tuple[float | None, float | None, float | None]:
     """Median of all differences (first - second) and its interval.
 
-    The differences are never listed. With few distinct values (survey codes)
-    their counts are paired on the driver; beyond LOCAL_VALUES the wanted
-    difference is found by bisection, each step one distributed count of pairs
-    below a bound.
+    The differences are never listed: counts per distinct value come first, and
+    the wanted places are found in the matrix of differences between two sorted
+    sides (``selection.DifferenceMatrix``). Null for a side without values.
     """
-    counts = (
-        df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("v"))
-        .agg(F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) == second).alias("n2"))
-    )
-    head = counts.limit(LOCAL_VALUES + 1).collect()
-    if len(head) <= LOCAL_VALUES:
-        v = np.array([r.v for r in head])
-        n1, n2 = np.array([r.n1 for r in head], dtype=float), np.array([r.n2 for r in head], dtype=float)
-        difference, weight = (v[:, None] - v[None, :]).reshape(-1), (n1[:, None] * n2[None, :]).reshape(-1)
-        order = np.argsort(difference, kind="stable")
-        difference, cumulative = difference[order], np.cumsum(weight[order])
-        total1, total2 = n1.sum(), n2.sum()
-
-        def quantile(place: float) -> float:
-            return float(difference[np.searchsorted(cumulative, place)])
-    else:
-        totals = counts.agg(F.sum("n1").alias("a"), F.sum("n2").alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        total1, total2 = float(totals.a), float(totals.b)
-
-        def quantile(place: float) -> float:
-            low, high = totals.lo - totals.hi, totals.hi - totals.lo
-            for _ in range(50):
-                middle = (low + high) / 2
-                low, high = (middle, high) if _pairs_up_to(counts, middle) < place else (low, middle)
-            return high
-    pairs = total1 * total2
+    known = df.filter(F.col(group).isin(first, second)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    counts = known.groupBy("v").agg(F.count_if(F.col("g") == first).alias("n1"), F.count_if(F.col("g") == second).alias("n2"))
+    matrix = DifferenceMatrix(counts)
+    pairs = matrix.pairs
+    if pairs == 0:
+        return None, None, None
     spread = 1.959963984540054 if level == 0.95 else _normal_critical(1 - level)
-    half = spread * math.sqrt(pairs * (total1 + total2 + 1) / 12)
-    middle = (quantile(pairs / 2) + quantile(pairs / 2 + 1)) / 2 if pairs % 2 == 0 else quantile((pairs + 1) / 2)
-    return middle, quantile(max(1.0, math.floor(pairs / 2 - half))), quantile(min(pairs, math.ceil(pairs / 2 + half) + 1))
+    half = spread * math.sqrt(pairs * (matrix.rows + matrix.columns + 1) / 12)
+    places = [(pairs + 1) // 2, pairs // 2 + 1, max(1, math.floor(pairs / 2 - half)), min(pairs, math.ceil(pairs / 2 + half) + 1)]
+    found = matrix.smallest(places)
+    return (found[0] + found[1]) / 2, found[2], found[3]
 
 
 def _normal_critical(level: float) -> float:
@@ -127,16 +103,6 @@ def _normal_critical(level: float) -> float:
     return (low + high) / 2
 
 
-def _pairs_up_to(counts: DataFrame, bound: float) -> float:
-    """How many pairs have first - second <= bound: for each first value, the
-    count of second values at or above value - bound."""
-    marks = counts.filter("n1 > 0").select((F.col("v") - bound).alias("v"), "n1", F.lit(0).cast("long").alias("n2"), F.lit(0).alias("kind"))
-    others = counts.filter("n2 > 0").select("v", F.lit(0).cast("long").alias("n1"), "n2", F.lit(1).alias("kind"))
-    # Descending; at equal values the second group comes first, so it counts.
-    placed = running_total(marks.unionByName(others), [], [F.desc("v"), F.desc("kind"), F.col("n1")], "n2", "above")
-    return float(placed.agg(F.sum(F.col("n1") * F.col("above"))).first()[0] or 0)
-
-
 # --- correlation and contingency -----------------------------------------------
 
 

@@ -232,7 +232,8 @@ w AS (SELECT a, b, ra - a * (a + 1) / 2 AS w, sqrt(a * b / 12 * (a + b + 1 - tie
 
 
 def answers(t):
-    return t.orders.select("o_orderstatus", F.substring("o_orderpriority", 1, 1).cast("int").alias("strength"), "o_totalprice")
+    return t.orders.select("o_orderstatus", F.substring("o_orderpriority", 1, 1).cast("int").alias("strength"), "o_totalprice",
+                           F.floor(F.col("o_totalprice") / 100).alias("hundreds"))
 
 
 @query("M13_rank_sum_test", f"""
@@ -254,17 +255,31 @@ def _(t):
     return st.rank_sum(answers(t), "o_orderstatus", "strength", "F", "O").withColumn("p_value", F.round("p_value", 6))
 
 
-@query("M13_location_shift", """
-WITH c AS (SELECT substr(o_orderpriority, 1, 1)::DOUBLE AS v, count(*) FILTER (WHERE o_orderstatus = 'F') AS n1, count(*) FILTER (WHERE o_orderstatus = 'O') AS n2 FROM orders GROUP BY 1),
-d AS (SELECT x.v - y.v AS diff, sum(x.n1 * y.n2)::DOUBLE AS n FROM c x, c y GROUP BY 1), cum AS (SELECT diff, sum(n) OVER (ORDER BY diff) AS cum FROM d),
+def shift_sql(value: str) -> str:
+    return f"""
+WITH c AS (SELECT {value} AS v, count(*) FILTER (WHERE o_orderstatus = 'F') AS n1, count(*) FILTER (WHERE o_orderstatus = 'O') AS n2 FROM orders GROUP BY 1),
+d AS (SELECT x.v - y.v AS diff, sum(x.n1 * y.n2)::DOUBLE AS n FROM c x, c y WHERE x.n1 > 0 AND y.n2 > 0 GROUP BY 1), cum AS (SELECT diff, sum(n) OVER (ORDER BY diff) AS cum FROM d),
 s AS (SELECT sum(n1)::DOUBLE * sum(n2)::DOUBLE AS pairs, 1.959963984540054 * sqrt(sum(n1)::DOUBLE * sum(n2)::DOUBLE * (sum(n1)::DOUBLE + sum(n2)::DOUBLE + 1) / 12) AS half FROM c)
-SELECT min(diff) FILTER (WHERE cum >= pairs / 2) AS shift, min(diff) FILTER (WHERE cum >= greatest(1, floor(pairs / 2 - half))) AS low,
-  min(diff) FILTER (WHERE cum >= least(pairs, ceil(pairs / 2 + half) + 1)) AS high FROM cum, s""")
-def _(t):
-    found = st.location_shift(answers(t), "o_orderstatus", "strength", "F", "O")
+SELECT (min(diff) FILTER (WHERE cum >= ceil(pairs / 2)) + min(diff) FILTER (WHERE cum >= floor(pairs / 2) + 1)) / 2 AS shift,
+  min(diff) FILTER (WHERE cum >= greatest(1, floor(pairs / 2 - half))) AS low, min(diff) FILTER (WHERE cum >= least(pairs, ceil(pairs / 2 + half) + 1)) AS high FROM cum, s"""
+
+
+def shift(t, value: str):
+    found = st.location_shift(answers(t), "o_orderstatus", value, "F", "O")
     return t.spark.createDataFrame([tuple(map(float, found))], "shift double, low double, high double")
 
 
+@query("M13_location_shift", shift_sql("substr(o_orderpriority, 1, 1)::DOUBLE"))
+def _(t):
+    return shift(t, "strength")
+
+
+@query("M13_location_shift_of_sums", shift_sql("floor(o_totalprice / 100)::DOUBLE"))
+def _(t):
+    """Thousands of different values: the differences are searched, not listed."""
+    return shift(t, "hundreds")
+
+
 @query("M14_spearman", """
 WITH r AS (SELECT rank() OVER (ORDER BY strength) + (count(*) OVER (PARTITION BY strength) - 1) / 2 AS a, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS b
   FROM (SELECT substr(o_orderpriority, 1, 1)::INTEGER AS strength, o_totalprice FROM orders))

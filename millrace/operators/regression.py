@@ -14,6 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from millrace.session import checkpoint
+
+LOCAL_CELLS = 100_000  # different regressors that descent keeps on the driver
+ALIASED = 1e-9  # share of a column's variation that earlier columns must leave, or it is aliased
 
 
 def standardised(df: DataFrame, columns: Sequence[str], ddof: int = 0, stats: dict | None = None) -> tuple[DataFrame, dict]:
@@ -172,19 +176,42 @@ def _design(df: DataFrame, terms: Mapping[str, Column], y: str) -> DataFrame:
     return df.select(F.lit(1.0).alias("one"), *columns, F.col(y).cast("double").alias("y")).dropna()
 
 
+def independent(gram: np.ndarray, use: Sequence[int]) -> list[int]:
+    """The columns, in their order, that are no linear combination of earlier ones.
+
+    Each column is reduced by those kept before it (a Cholesky factor grown row
+    by row); one of which under ``ALIASED`` of its own variation is left is aliased.
+    """
+    kept: list[int] = []
+    factor = np.zeros((0, 0))
+    for c in use:
+        row = np.array([gram[c, k] for k in kept])
+        part = np.linalg.solve(factor, row) if kept else row
+        left = gram[c, c] - part @ part
+        if left > ALIASED * gram[c, c]:
+            grown = np.zeros((len(kept) + 1, len(kept) + 1))
+            grown[:-1, :-1], grown[-1, :-1], grown[-1, -1] = factor, part, np.sqrt(left)
+            factor, kept = grown, [*kept, c]
+    return kept
+
+
 def _fit(gram: np.ndarray, centre: np.ndarray, names: list[str], use: list[int]) -> Fit:
     """The model on some columns of a matrix of sums around ``centre`` (column 0
-    is the constant, the last one the target)."""
+    is the constant, the last one the target). Aliased columns get NaN and count as no terms."""
     last = len(gram) - 1
-    xx, xy = gram[np.ix_(use, use)], gram[use, last]
-    yy, n, k = gram[last, last], int(round(gram[0, 0])), len(use)
+    own = independent(gram, use)
+    at = [use.index(c) for c in own]
+    xx, xy = gram[np.ix_(own, own)], gram[own, last]
+    yy, n, k = gram[last, last], int(round(gram[0, 0])), len(own)
     shifted = np.linalg.solve(xx, xy)
     residual = yy - shifted @ xy
     back = np.eye(k)
-    back[0, 1:] = -centre[use[1:]]
-    estimate = back @ shifted
+    back[0, 1:] = -centre[own[1:]]
+    estimate, bread = np.full(len(use), np.nan), np.zeros((len(use), len(use)))
+    estimate[at] = back @ shifted
     estimate[0] += centre[last]
-    return Fit(["intercept", *names], estimate, back @ np.linalg.inv(xx) @ back.T, n, residual / (n - k), 1.0 - residual / (yy - gram[0, last] ** 2 / n))
+    bread[np.ix_(at, at)] = back @ np.linalg.inv(xx) @ back.T
+    return Fit(["intercept", *names], estimate, bread, n, residual / (n - k), 1.0 - residual / (yy - gram[0, last] ** 2 / n))
 
 
 def _gram(design: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +229,7 @@ def _gram(design: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _meats(design: DataFrame, fits: Sequence[Fit], uses: Sequence[list[int]], kind: str) -> list[np.ndarray]:
     """The middle matrices of several models' robust errors, in one pass."""
-    models = [(fit.estimate, fit.bread, use) for fit, use in zip(fits, uses)]
+    models = [(np.nan_to_num(fit.estimate), fit.bread, use) for fit, use in zip(fits, uses)]
 
     def meat(rows: np.ndarray) -> np.ndarray:
         parts = []
@@ -221,7 +248,7 @@ def _meats(design: DataFrame, fits: Sequence[Fit], uses: Sequence[list[int]], ki
 
 
 def _sandwich(fit: Fit, middle: np.ndarray, kind: str) -> np.ndarray:
-    scale = fit.n / (fit.n - len(fit.terms)) if kind == "HC1" else 1.0
+    scale = fit.n / (fit.n - np.count_nonzero(~np.isnan(fit.estimate))) if kind == "HC1" else 1.0
     return scale * fit.bread @ middle @ fit.bread
 
 
@@ -243,11 +270,11 @@ def robust_covariance(df: DataFrame, terms: Mapping[str, Column], y: str, fit: F
 
 def fit_frame(spark: SparkSession, model: str, fit: Fit, covariance: np.ndarray | None = None, places: int = 6) -> DataFrame:
     """(model, term, estimate, std_error, t_value); classic errors if no
-    covariance is given."""
+    covariance is given. An aliased term has nulls."""
     used = fit.bread * fit.residual_variance if covariance is None else covariance
     error = np.sqrt(np.diag(used))
     rows = [
-        (model, term, round(float(b), places), round(float(e), places), round(float(b / e), 4))
+        (model, term, None, None, None) if np.isnan(b) else (model, term, round(float(b), places), round(float(e), places), round(float(b / e), 4))
         for term, b, e in zip(fit.terms, fit.estimate, error)
     ]
     return spark.createDataFrame(rows, "model string, term string, estimate double, std_error double, t_value double")
@@ -321,13 +348,39 @@ def logistic_newton(df: DataFrame, columns: Sequence[str], y: str, iterations: i
     return _named(columns, weights[1:], weights[0]), losses
 
 
-def logistic_descent(df: DataFrame, columns: Sequence[str], y: str, alpha: float, epochs: int) -> tuple[dict[str, float], list[float]]:
-    """Plain gradient steps, one pass over the table each."""
-    weights, losses = np.zeros(len(columns) + 1), []
+def cells_of(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
+    """Rows with equal regressors as one: their values, how many they are and the sum of the target."""
+    known = df.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)], F.col(y).cast("double").alias("y")).dropna()
+    return known.groupBy(*[f"x{k}" for k in range(len(columns))]).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"))
+
+
+def logistic_descent(df: DataFrame, columns: Sequence[str], y: str, alpha: float, epochs: int, most_cells: int = LOCAL_CELLS) -> tuple[dict[str, float], list[float]]:
+    """Plain gradient steps on the summed log loss, from zero weights, and the loss before each step.
+
+    The gradient needs of the rows with equal regressors only their number and
+    the sum of their targets, so the table is first reduced to such cells. Up to
+    ``most_cells`` of them are brought to the driver, and all steps cost one pass
+    over the table. With more, the cells are written and each step is a job over them.
+    """
+    k = len(columns) + 1
+    cells = checkpoint(cells_of(df, columns, y))
+    if cells.limit(most_cells + 1).count() <= most_cells:
+        parts = [cells.orderBy(*cells.columns[:-2]).toPandas().to_numpy(dtype=float)]
+    else:
+        parts = None
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        x, n, s = np.column_stack([np.ones(len(rows)), rows[:, :k - 1]]), rows[:, k - 1], rows[:, k]
+        z = x @ weights
+        p = 1.0 / (1.0 + np.exp(-np.abs(z)))
+        loss = n * np.logaddexp(0.0, z) - s * z
+        return np.concatenate([x.T @ (n * np.where(z >= 0, p, 1.0 - p) - s), [loss.sum()]])
+
+    weights, losses = np.zeros(k), []
     for _ in range(epochs):
-        gradient, _hessian, loss = _logistic_sums(df, columns, y, weights)
-        losses.append(loss)
-        weights = weights - alpha * gradient
+        flat = sums(parts[0]) if parts else _summed_matrices(cells, sums, k + 1)
+        losses.append(float(flat[-1]))
+        weights = weights - alpha * flat[:k]
     return _named(columns, weights[1:], weights[0]), losses
 
 

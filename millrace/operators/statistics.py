@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.operators.distributions import chi_square_tail, student_tails
 from millrace.operators.ranking import hash_rank, running_total, value_ranks
 from millrace.operators.selection import DifferenceMatrix
 
@@ -123,6 +124,29 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select("n", F.round(F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb")), 9).alias("rho"))
 
 
+def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The rank correlation with t = rho * sqrt((n - 2) / (1 - rho^2)) and its two-sided p value (no continuity correction).
+
+    No t and no p value for under three pairs or where a side does not vary; a
+    perfect order has p 0.
+    """
+    made = spearman(df, x, y)
+    row = made.first()
+    t = p = None
+    if row.rho is not None and row.n > 2:
+        t = math.copysign(math.inf, row.rho) if abs(row.rho) >= 1 else row.rho * math.sqrt((row.n - 2) / (1 - row.rho * row.rho))
+        p = 0.0 if math.isinf(t) else student_tails(t, row.n - 2)
+    return made.withColumn("t", F.lit(t).cast("double")).withColumn("p_value", F.lit(p).cast("double"))
+
+
+def chi_square_test(df: DataFrame, row: str, column: str) -> DataFrame:
+    """The independence statistic with its p value; none for a table of one row or column."""
+    made = chi_square(df, row, column)
+    found = made.first()
+    p = chi_square_tail(found.chi_square, found.degrees) if found.chi_square is not None and found.degrees else None
+    return made.withColumn("p_value", F.lit(p).cast("double"))
+
+
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     """Independence statistic: N * (sum of n^2 / (row * column totals) - 1)."""
     known = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())

@@ -112,18 +112,20 @@ def _(t):
     return rg.coefficient_frame(t.spark, rg.logistic_newton(points(t), ["x"], "y")[0])
 
 
-def descent_sql(steps: int, alpha: float) -> str:
-    parts = ["pts AS (SELECT (l_quantity - 25) / 10 AS x, CASE WHEN l_extendedprice > 40000 THEN 1.0::DOUBLE ELSE 0.0 END AS y FROM lineitem)",
-             "w0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS w)"]
-    for i in range(1, steps + 1):
-        parts.append(f"""w{i} AS (SELECT any_value(b) - {alpha}::DOUBLE * sum(p - y) AS b, any_value(w) - {alpha}::DOUBLE * sum((p - y) * x) AS w
-  FROM (SELECT x, y, b, w, 1 / (1 + exp(-(b + w * x))) AS p FROM pts, w{i - 1}))""")
-    return "WITH " + ", ".join(parts)
-
-
-@query("M6_logistic_descent", descent_sql(5, 1e-6) + " SELECT 'intercept' AS term, round(b, 9) AS estimate FROM w5 UNION ALL SELECT 'x', round(w, 9) FROM w5")
+ALPHA, STEPS = 1e-6, 10_000
+# A fold over the steps: intercept and slope, moved by the gradient over the cells of equal x.
+DESCENT = f"""
+WITH cells AS (
+  SELECT (l_quantity - 25) / 10 AS x, count(*)::DOUBLE AS n, sum(CASE WHEN l_extendedprice > 40000 THEN 1.0::DOUBLE ELSE 0.0 END) AS s FROM lineitem GROUP BY 1),
+packed AS (SELECT list({{'x': x, 'n': n, 's': s}} ORDER BY x) AS c FROM cells),
+gd AS (SELECT list_reduce(list_transform(range(0, {STEPS + 1}), lambda i: [0.0::DOUBLE, 0.0::DOUBLE]), lambda a, i:
+  list_transform([0.0::DOUBLE, 1.0::DOUBLE], lambda k: CASE WHEN k = 0 THEN a[1] ELSE a[2] END
+    - {ALPHA}::DOUBLE * list_sum(list_transform(c, lambda z: (z.n / (1 + exp(-(a[1] + a[2] * z.x))) - z.s) * CASE WHEN k = 0 THEN 1 ELSE z.x END)))) AS g FROM packed)"""
+
+
+@query("M6_logistic_descent", DESCENT + " SELECT 'intercept' AS term, round(g[1], 6) AS estimate FROM gd UNION ALL SELECT 'x', round(g[2], 6) FROM gd")
 def _(t):
-    return rg.coefficient_frame(t.spark, rg.logistic_descent(points(t), ["x"], "y", 1e-6, 5)[0], 9)
+    return rg.coefficient_frame(t.spark, rg.logistic_descent(points(t), ["x"], "y", ALPHA, STEPS)[0], 6)
 
 
 # --- least squares with factors
@@ -178,6 +180,17 @@ def _(t):
     return rg.nested_models(frame, "price", steps, "HC1")
 
 
+@query("M10_collinear_models", f"""
+WITH {CARS}, {HC1_ONE}, terms AS (SELECT 'intercept' AS term, round(b0, 6) AS estimate, round(sqrt(v0), 6) AS std_error, round(b0 / sqrt(v0), 4) AS t_value FROM v
+  UNION ALL SELECT 'age', round(b1, 6), round(sqrt(v1), 6), round(b1 / sqrt(v1), 4) FROM v)
+SELECT model, term, estimate, std_error, t_value FROM terms, (VALUES ('base'), ('repeated')) m(model)
+UNION ALL SELECT 'repeated', unnest(['age_twice', 'never']), NULL, NULL, NULL""")
+def _(t):
+    """A step that repeats a term and adds a level nobody has: both come out null, the rest as before."""
+    steps = [("base", {"age": F.col("age")}), ("repeated", {"age_twice": F.col("age") * 2 - 3, "never": F.lit(0.0)})]
+    return rg.nested_models(cars(t), "price", steps, "HC1")
+
+
 TWO = """cells AS (SELECT g, m, count(*)::DOUBLE AS n, avg(y) AS mean, var_pop(y) * count(*) / ((count(*) - 1) * (count(*) - 1)) AS v FROM (
   SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS g, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS m, l_quantity AS y FROM lineitem) GROUP BY g, m),
 k AS (SELECT max(mean) FILTER (WHERE g = 0 AND m = 0) AS a, max(mean) FILTER (WHERE g = 1 AND m = 0) AS b, max(mean) FILTER (WHERE g = 0 AND m = 1) AS c, max(mean) FILTER (WHERE g = 1 AND m = 1) AS d,
@@ -288,6 +301,34 @@ def _(t):
     return st.spearman(answers(t), "strength", "o_totalprice")
 
 
+# Both tails of Student's t: the series of the incomplete beta function in t^2 / (n - 2 + t^2).
+STUDENT = """r AS (SELECT rank() OVER (ORDER BY strength) + (count(*) OVER (PARTITION BY strength) - 1) / 2 AS a, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS b
+  FROM (SELECT substr(o_orderpriority, 1, 1)::INTEGER AS strength, o_totalprice FROM orders)),
+c AS (SELECT count(*) AS n, round(corr(a, b), 9) AS rho FROM r),
+t AS (SELECT n, rho, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c),
+z AS (SELECT *, (n - 2) / 2.0::DOUBLE AS h, t * t / (n - 2 + t * t) AS z FROM t),
+series AS (SELECT n, rho, t, exp(0.5 * ln(z) + h * ln(1 - z) - lgamma(0.5) - lgamma(h) + lgamma(h + 0.5)) / 0.5
+    * sum(exp(lgamma(h + 0.5 + k) - lgamma(h + 0.5) - lgamma(1.5 + k) + lgamma(1.5) + k * ln(z))) AS inner_part
+  FROM z, (SELECT unnest(range(0, 400)) AS k) GROUP BY n, rho, t, z, h)"""
+
+
+@query("M14_spearman_test", f"WITH {STUDENT} SELECT n, rho, round(t, 6) AS t, abs(round(1 - inner_part, 6)) AS p_value FROM series")
+def _(t):
+    found = st.spearman_test(answers(t), "strength", "o_totalprice")
+    return found.select("n", "rho", F.round("t", 6).alias("t"), F.abs(F.round("p_value", 6)).alias("p_value"))
+
+
+@query("M15_chi_square_test", """
+WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*)::DOUBLE AS n FROM orders GROUP BY ALL),
+e AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS expected, sum(n) OVER () AS total FROM c),
+x AS (SELECT any_value(total)::BIGINT AS n, round(sum((n - expected) * (n - expected) / expected), 6) AS chi_square,
+  ((SELECT count(DISTINCT a) FROM c) - 1) * ((SELECT count(DISTINCT b) FROM c) - 1) AS degrees FROM e)
+SELECT n, chi_square, degrees, round(1 - sum(exp((degrees / 2.0::DOUBLE + k) * ln(chi_square / 2) - chi_square / 2 - lgamma(degrees / 2.0::DOUBLE + k + 1))), 6) AS p_value
+FROM x, (SELECT unnest(range(0, 400)) AS k) GROUP BY n, chi_square, degrees""")
+def _(t):
+    return st.chi_square_test(t.orders, "o_orderpriority", "o_orderstatus").withColumn("p_value", F.round("p_value", 6))
+
+
 @query("M15_chi_square", """
 WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*)::DOUBLE AS n FROM orders GROUP BY ALL),
 e AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS expected, sum(n) OVER () AS total FROM c)

@@ -82,24 +82,6 @@ def lines(df: DataFrame, identifier: str, text: str, separator: str = "\n") -> D
     return df.select(identifier, F.posexplode(F.split(text, separator)).alias("piece", "text"))
 
 
-def packed_chunks(df: DataFrame, identifier: str, text: str, size: int, separator: str = "\n") -> DataFrame:
-    """Whole pieces packed in order into chunks of at most ``size`` characters;
-    a longer piece stays whole. The chunks joined by the separator are the text."""
-
-    def pack(done: Column, piece: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(last, F.lit(separator), piece)
-        return F.when(
-            (F.size(done) > 0) & (F.length(joined) <= size),
-            F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)),
-        ).otherwise(F.concat(done, F.array(piece)))
-
-    pieces = F.split(text, separator)
-    first = F.slice(pieces, 1, 1)
-    rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return df.select(identifier, F.posexplode(F.aggregate(rest, first, pack)).alias("chunk", "text"))
-
-
 # --- extractive digests --------------------------------------------------------
 
 
@@ -142,27 +124,6 @@ def _in_order(best: DataFrame, identifier: str, item: Column) -> DataFrame:
     )
 
 
-def longer(summary: Column, piece: Column) -> Column:
-    """Refinement step that keeps the longer of summary and piece."""
-    return F.when(F.length(piece) > F.length(summary), piece).otherwise(summary)
-
-
-def refined_digest(df: DataFrame, identifier: str, text: str, separator: str = "\n", step: Callable[[Column, Column], Column] = longer) -> DataFrame:
-    """A summary carried over the pieces of a document in order, with every
-    intermediate state; ``step(summary, piece)`` gives the next summary."""
-    pieces = F.filter(F.split(text, separator), lambda x: x != "")
-
-    def grow(states: Column, piece: Column) -> Column:
-        current = F.coalesce(F.try_element_at(states, F.lit(-1)), F.lit(""))
-        return F.concat(states, F.array(step(current, piece)))
-
-    states = F.aggregate(pieces, F.array().cast("array<string>"), grow)
-    return df.select(identifier, states.alias("steps")).select(
-        identifier, F.size("steps").cast("long").alias("n_steps"), "steps",
-        F.coalesce(F.try_element_at("steps", F.lit(-1)), F.lit("")).alias("digest"),
-    )
-
-
 def text_map(df: DataFrame, column: str, function: Callable[[pd.Series], pd.DataFrame], schema: StructType) -> DataFrame:
     """Add columns made by a Python function of a batch of texts.
 

@@ -10,6 +10,7 @@ from millrace.operators import aggregates as ag
 from millrace.operators import documents as dx
 from millrace.operators import neighbours as nb
 from millrace.operators import sampling
+from millrace.operators import splitting as sp
 from millrace.plans.registry import query
 
 STOPS = "[" + ",".join(f"'{w}'" for w in dx.v.STOP_WORDS) + "]"
@@ -66,9 +67,52 @@ def _(t):
     return dx.lines(t.documents, "doc_id", "text")
 
 
-@query("X4_packed_chunks")
+# Chunks as a recursion over the borders between pieces: i is where a chunk begins, j where it ends.
+PACKED = """
+state AS (
+  SELECT doc_id, 0 AS chunk, 0 AS i, greatest(1, len(list_filter(b, lambda x: x <= {size})) - 1) AS j FROM ends WHERE len(b) > 1
+  UNION ALL
+  SELECT doc_id, chunk + 1, i, greatest(i + 1, len(list_filter(b, lambda x: x - b[i + 1] <= {size})) - 1) FROM (
+    SELECT doc_id, chunk, b, least(j, greatest(len(list_filter(b, lambda x: x < b[j + 1] - {overlap})), len(list_filter(b, lambda x: x < b[j + 2] - {size})))) AS i
+    FROM state JOIN ends USING (doc_id) WHERE j + 1 < len(b)))"""
+
+
+def parts_sql(text: str, separator: str) -> str:
+    """Pieces of a text, each with its separator."""
+    pieces = f"string_split({text}, {separator})"
+    return f"list_filter(list_concat(list_transform({pieces}[1:-2], lambda y: y || {separator}), {pieces}[-1:]), lambda y: y <> '')"
+
+
+def cut_sql(pieces: str, separator: str, size: int) -> str:
+    return f"flatten(list_transform({pieces}, lambda x: CASE WHEN length(x) > {size} THEN {parts_sql('x', separator)} ELSE [x] END))"
+
+
+LINE, BLANK_LINE = "chr(10)", "chr(10) || chr(10)"
+PIECES = cut_sql(cut_sql(cut_sql("[text]", f"({BLANK_LINE})", 500), LINE, 500), "' '", 500)
+
+
+@query("X4_separated_chunks", f"""
+WITH RECURSIVE lengths AS (SELECT doc_id, text, list_transform({PIECES}, lambda x: length(x)) AS n FROM documents WHERE text <> ''),
+steps AS (SELECT doc_id, unnest(n) AS n, generate_subscripts(n, 1) AS k FROM lengths),
+sums AS (SELECT doc_id, k, sum(n) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS b FROM steps),
+ends AS (SELECT doc_id, list_concat([0::BIGINT], list(b ORDER BY k)) AS b FROM sums GROUP BY doc_id),
+{PACKED.format(size=500, overlap=50)}
+SELECT doc_id, chunk::INTEGER AS chunk, b[i + 1]::INTEGER AS start, substr(text, b[i + 1] + 1, b[j + 1] - b[i + 1]) AS text
+FROM state JOIN ends USING (doc_id) JOIN lengths USING (doc_id)""")
 def _(t):
-    return dx.packed_chunks(t.documents, "doc_id", "text", 500)
+    """Paragraphs, or where these are too long lines, or words, in chunks of 500 characters that share up to 50."""
+    return sp.separated_chunks(t.documents, "doc_id", "text", 500, 50)
+
+
+@query("X4_packed_chunks", f"""
+WITH RECURSIVE steps AS (SELECT doc_id, length(p[k]) + 1 AS n, k FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (
+  SELECT doc_id, string_split(coalesce(text, ''), {LINE}) AS p FROM documents))),
+sums AS (SELECT doc_id, k, sum(n) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS b FROM steps),
+ends AS (SELECT doc_id, list_concat([0::BIGINT], list(b ORDER BY k)) AS b FROM sums GROUP BY doc_id),
+{PACKED.format(size=501, overlap=0)}
+SELECT doc_id, chunk::INTEGER AS chunk, substr(coalesce(text, ''), b[i + 1] + 1, b[j + 1] - b[i + 1] - 1) AS text FROM state JOIN ends USING (doc_id) JOIN documents USING (doc_id)""")
+def _(t):
+    return sp.packed_chunks(t.documents, "doc_id", "text", 500)
 
 
 # The question set: every vector whose id is divisible by 20, against all other vectors.
@@ -187,7 +231,16 @@ WITH pieces AS (SELECT doc_id, i, p[i] AS piece FROM (
 steps AS (SELECT doc_id, i, (SELECT q.piece FROM pieces q WHERE q.doc_id = p.doc_id AND q.i <= p.i ORDER BY length(q.piece) DESC, q.i LIMIT 1) AS state FROM pieces p)
 SELECT doc_id, count(*) AS n_steps, list(state ORDER BY i) AS steps, last(state ORDER BY i) AS digest FROM steps GROUP BY doc_id""")
 def _(t):
-    return dx.refined_digest(t.documents, "doc_id", "text")
+    return sp.refined_digest(t.documents, "doc_id", "text")
+
+
+@query("X9_refined_states", """
+WITH pieces AS (SELECT doc_id, i, p[i] AS piece FROM (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p, unnest(range(1, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) + 1)) AS i FROM documents))
+SELECT doc_id, i::INTEGER AS step, piece, arg_max(piece, length(piece) * 10000000 - i) OVER (PARTITION BY doc_id ORDER BY i) AS summary FROM pieces""")
+def _(t):
+    """Every state of the refinement, by a Python step."""
+    return sp.refined_states(t.documents, "doc_id", "text")
 
 
 # A small word list with signs for the synthetic prose.

@@ -1,11 +1,14 @@
 import html
 import math
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 from millrace.operators import documents as dx
+from millrace.operators import splitting as sp
 
 
 def one(spark, text, column):
@@ -68,14 +71,45 @@ def test_chunks_rejoin_to_the_text(spark):
 
 def test_packed_chunks_rejoin_and_fit(spark):
     text = "\n".join("w" * (i * 13 % 47) for i in range(60))
-    rows = dx.packed_chunks(spark.createDataFrame([(1, text)], "d long, t string"), "d", "t", 80).orderBy("chunk").collect()
+    rows = sp.packed_chunks(spark.createDataFrame([(1, text)], "d long, t string"), "d", "t", 80).orderBy("chunk").collect()
     assert "\n".join(r.text for r in rows) == text and all(len(r.text) <= 80 for r in rows)
     assert all(len(a.text) + 1 + len(b.text.split("\n")[0]) > 80 for a, b in zip(rows, rows[1:]))
 
 
+def test_separated_chunks_cover_fit_and_overlap(spark):
+    rng = random.Random(8)
+    texts = ["", None, "x" * 900, "\n\n\n", "one line", "a b\n\nc"] + ["".join(rng.choice(["word", "w", " ", " ", "\n", "\n\n", "é😀"]) for _ in range(rng.randrange(400))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "d long, t string").repartition(5)
+    for size, overlap, hard in ((50, 10, False), (20, 0, True), (7, 7, True)):
+        got = {}
+        for r in sp.separated_chunks(df, "d", "t", size, overlap, hard=hard).orderBy("d", "chunk").collect():
+            got.setdefault(r.d, []).append((r.start, r.start + len(r.text), r.text))
+        for i, text in enumerate(texts):
+            spans = got.get(i, [])
+            assert [text[a:b] for a, b, _ in spans] == [x for _, _, x in spans] and bool(spans) == bool(text)
+            ends = sp.borders(text or "", size, hard=hard)
+            assert ends[0] == 0 and ends[-1] == len(text or "") and ends == sorted(set(ends))
+            for (a, b, _), (c, e, _) in zip(spans, spans[1:]):
+                assert a < c <= b < e and b - c <= overlap and {a, b, c, e} <= set(ends)
+                assert max(x for x in ends if x <= max(a + size, ends[ends.index(a) + 1])) == b
+            assert all(b - a <= size or ends.index(b) == ends.index(a) + 1 for a, b, _ in spans)
+
+
 def test_refined_digest_keeps_every_state(spark):
-    row = dx.refined_digest(spark.createDataFrame([(1, "aa\nb\n\ncccc")], "d long, t string"), "d", "t").first()
+    df = spark.createDataFrame([(1, "aa\nb\n\ncccc"), (2, ""), (3, None)], "d long, t string")
+    row = sp.refined_digest(df, "d", "t").first()
     assert (row.steps, row.digest, row.n_steps) == (["aa", "aa", "cccc"], "cccc", 3)
+    states = sp.refined_states(df, "d", "t", lambda summary, piece: f"{summary}<{piece}>").orderBy("step").collect()
+    assert [(r.d, r.step, r.piece, r.summary) for r in states] == [(1, 1, "aa", "<aa>"), (1, 2, "b", "<aa><b>"), (1, 3, "cccc", "<aa><b><cccc>")]
+
+
+def test_many_pieces_cost_no_square(spark):
+    text = "\n".join(f"p{k}" for k in range(20_000))
+    df = spark.createDataFrame([(1, text)], "d long, t string")
+    started = time.perf_counter()
+    assert sp.refined_states(df, "d", "t").count() == 20_000
+    assert sp.packed_chunks(df, "d", "t", 10).count() > 8_000 and sp.separated_chunks(df, "d", "t", 10, 3).count() > 8_000
+    assert time.perf_counter() - started < 30
 
 
 def test_ordered_text_parts_join_to_the_whole(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 from html.entities import html5
 
@@ -20,6 +22,19 @@ REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 # Names that count without a semicolon, longest first, so that the longest one that begins a reference is found.
 _OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 _REPLACEMENT = "\ufffd"
+# The standard library's table of names, dealt into buckets by their CRC: a literal map is searched from its front,
+# an array is not. Read from one JSON literal, which Spark folds into a constant.
+_BUCKETS = 4096
+_NAMES = [{} for _ in range(_BUCKETS)]
+for _name, _text in html5.items():
+    _NAMES[zlib.crc32(_name.encode()) % _BUCKETS][_name] = _text
+_NAMES_JSON = json.dumps(_NAMES)
+
+
+def _named(name: Column) -> Column:
+    """The text of a reference's name, null for an unknown one."""
+    buckets = F.from_json(F.lit(_NAMES_JSON), "array<map<string,string>>")
+    return F.try_element_at(F.get(buckets, (F.crc32(name.cast("binary")) % _BUCKETS).cast("int")), name)
 
 
 def unescape(column: Column) -> Column:
@@ -30,12 +45,11 @@ def unescape(column: Column) -> Column:
 
 
 def _resolve(reference: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in html5.items() for x in pair])
     body = F.substring(reference, 2, 1 << 30)
     opening = F.regexp_extract(body, f"^(?:{_OPEN_NAMES})", 0)
     named = F.coalesce(
-        F.try_element_at(names, body),
-        F.when(opening != "", F.concat(F.try_element_at(names, opening), F.substring(body, F.length(opening) + 1, F.lit(1 << 30)))),
+        _named(body),
+        F.when(opening != "", F.concat(_named(opening), F.substring(body, F.length(opening) + 1, F.lit(1 << 30)))),
         reference,
     )
     hexed = F.regexp_extract(body, "^#[xX]0*([0-9a-fA-F]*)", 1)

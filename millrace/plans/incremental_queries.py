@@ -167,6 +167,33 @@ def _(t):
     return t.spark.read.parquet(target).select("user_id")
 
 
+WEEK = 7 * 86_400
+END = "2030-01-01 00:00:00"  # the moment of the two rows that end the stream
+
+
+@query("T3_stream_first_wins", f"""
+SELECT event_id, ts, user_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // {WEEK * 10**6} ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
+def _(t):
+    """The first event of each user and week, from micro-batches of ten days in which every seventh event comes one
+    batch late. Keys expire while the stream runs; two rows at its end, which are dropped again, expire the rest."""
+    source, target, checkpoint = (scratch_path(t.spark, f"stream-{x}") for x in ("source", "table", "state"))
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    rows = t.events.select("event_id", "ts", "user_id", "event_type", F.floor(seconds / WEEK).alias("week"))
+    first = rows.agg(F.min(seconds)).first()[0]
+    turn = F.floor((seconds - first) / (10 * 86_400)) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    turns = rows.select(turn.alias("turn")).distinct().agg(F.max("turn")).first()[0]
+    for k in range(turns + 1):
+        rows.where(turn == k).repartition(4).write.mode("append").parquet(f"{source}")
+        streams.stream_first_writes(streams.file_stream(t.spark, source), "ts", ["user_id", "week"], ["event_id"], WEEK, "21 days", target, checkpoint)
+    last = t.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(END).cast(t.events.schema["ts"].dataType).alias("ts"),
+                                   F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("long").alias("week"))
+    for _ in range(2):
+        last.write.mode("append").parquet(source)
+        streams.stream_first_writes(streams.file_stream(t.spark, source), "ts", ["user_id", "week"], ["event_id"], WEEK, "21 days", target, checkpoint)
+    return t.spark.read.parquet(target).where("event_id >= 0").select("event_id", "ts", "user_id", "event_type")
+
+
 @query("T5_stream_daily_counts", "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     target, checkpoint = scratch_path(t.spark, "stream-table"), scratch_path(t.spark, "stream-state")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import text as tx
 from millrace.operators.ranking import first_by
+from millrace.session import checkpoint
 from millrace.sources.readers import capped_feed
 
 
@@ -22,7 +23,8 @@ def staged_entries(entries: DataFrame, as_of: str, lookback_days: int, cap: int
     Stages in order: stale (older than the lookback or undated), incomplete,
     off_topic, duplicate (a URL seen before, by ``feed_order`` then position),
     kept. ``feed_order`` names the column that ranks the feeds. With ``cap``
-    only the first entries of each source are staged.
+    only the first entries of each source are staged. Cleaned entries are
+    checkpointed: both the winners and the result come from them.
     """
     capped = entries if cap is None else capped_feed(entries, "source", "position", cap)
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(lookback_days)} days")
@@ -36,6 +38,7 @@ def staged_entries(entries: DataFrame, as_of: str, lookback_days: int, cap: int
         "outcome",
         F.when(~fresh, "stale").when(~complete, "incomplete").when(F.col("topic") == "off_topic", "off_topic").otherwise("kept"),
     )
+    marked = checkpoint(marked)
     passed = marked.filter(F.col("outcome") == "kept").select("url", "_feed", "source", "position")
     winners = first_by(passed, ["url"], [F.col("_feed"), F.col("source"), F.col("position")]).select(
         "source", "position", F.lit(True).alias("_first")

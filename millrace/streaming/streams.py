@@ -7,7 +7,11 @@ it stopped; the sinks are keyed, so a repeated batch changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.sources.sinks import upsert
 
@@ -75,3 +79,47 @@ def stream_in_time(events: DataFrame, moment: str, key: str, lateness: str, targ
     """
     kept = events.withColumn("_t", F.col(moment).cast("timestamp")).withWatermark("_t", lateness).dropDuplicates([key, "_t"]).drop("_t")
     _run(kept.writeStream.outputMode("append").format("parquet").option("path", target), checkpoint)
+
+
+# Moments keep their microseconds on the way through the state.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def first_writes(events: DataFrame, moment: str, keys: Sequence[str], order: Sequence[str], hold_seconds: int, lateness: str) -> DataFrame:
+    """The earliest row of each key of a stream, by moment and then by ``order``, once no earlier one can come.
+
+    State holds one row per key. A row that comes later but is earlier takes its
+    place. When the watermark (newest moment less ``lateness``) passes the held
+    moment plus ``hold_seconds``, the row is emitted and its key forgotten; rows
+    behind the watermark are dropped. Where all rows of a key lie within
+    ``hold_seconds``, the emitted rows are those of the batch form (first write
+    wins); a key that comes again after that time starts anew. Null keys are one key.
+    """
+    schema = events.schema
+    marked = events.where(F.col(moment).isNotNull()).select(
+        F.to_json(F.struct(*[F.col(c) for c in keys]), {"ignoreNullFields": "false"}).alias("_key"), F.col(moment).cast("timestamp").alias("_t"),
+        F.unix_micros(F.col(moment).cast("timestamp")).alias("_at"), F.concat_ws(",", *[F.lpad(F.col(c).cast("string"), 40, " ") for c in order]).alias("_then"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]), _EXACT).alias("_row"))
+
+    def earliest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            _, _, row = state.get
+            state.remove()
+            yield pd.DataFrame({"_row": [row]})
+            return
+        best = state.get if state.exists else None
+        for frame in frames:
+            for found in zip(frame["_at"].tolist(), frame["_then"].tolist(), frame["_row"].tolist()):
+                best = found if best is None or found[:2] < tuple(best)[:2] else best
+        state.update(tuple(best))
+        state.setTimeoutTimestamp(max(best[0] // 1000 + hold_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    held = marked.withWatermark("_t", lateness).groupBy("_key").applyInPandasWithState(
+        earliest, "_row string", "at long, then string, row string", "append", GroupStateTimeout.EventTimeTimeout)
+    return held.select(F.from_json("_row", schema, _EXACT).alias("r")).select("r.*")
+
+
+def stream_first_writes(events: DataFrame, moment: str, keys: Sequence[str], order: Sequence[str], hold_seconds: int, lateness: str, target: str, checkpoint: str) -> None:
+    """``first_writes`` into a Parquet folder."""
+    won = first_writes(events, moment, keys, order, hold_seconds, lateness)
+    _run(won.writeStream.outputMode("append").format("parquet").option("path", target), checkpoint)

@@ -63,6 +63,27 @@ def test_stream_keeps_one_row_per_key(spark, tmp_path):
     assert sorted(r.kind for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["k0", "k1", "k2", "k3"]
 
 
+def test_stream_of_first_writes(spark, tmp_path):
+    """Late but earlier rows win, rows behind the watermark are dropped, a key that comes again later starts anew."""
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    day = dt.datetime(2024, 1, 1)
+
+    def run(*rows):
+        events(spark, tmp_path, "in", [(i, day + dt.timedelta(hours=h, microseconds=7), k) for i, h, k in rows])
+        streams.stream_first_writes(streams.file_stream(spark, source), "ts", ["kind"], ["id"], 3600 * 24, "12 hours", target, state)
+        read = spark.read.schema("id long, ts timestamp, kind string").parquet(target)
+        return sorted((r.id, r.kind) for r in read.collect() if r.id < 90)
+
+    assert run((1, 10, "a"), (2, 12, "a"), (3, 12, "b"), (4, 12, "b"), (5, 14, None)) == []
+    assert run((6, 9, "a"), (7, 20, "b")) == []  # id 6 comes later but is earlier
+    assert run((90, 60, "z")) in ([], [(3, "b"), (5, None), (6, "a")])  # the watermark passes the holds
+    assert run((91, 61, "z"), (8, 10, "b")) == [(3, "b"), (5, None), (6, "a")]  # id 8 is behind the watermark
+    assert run((9, 70, "a"), (92, 140, "z")) in ([(3, "b"), (5, None), (6, "a")], [(3, "b"), (5, None), (6, "a"), (9, "a")])
+    assert run((93, 141, "z")) == [(3, "b"), (5, None), (6, "a"), (9, "a")]
+    row = [r for r in spark.read.parquet(target).collect() if r.id == 6][0]
+    assert row.ts == day + dt.timedelta(hours=9, microseconds=7)
+
+
 def test_changed_parts(spark):
     old = spark.createDataFrame([("d1", 0, "x"), ("d2", 0, "y")], "day string, part long, content_key string")
     new = spark.createDataFrame([("d1", 0, "x"), ("d2", 0, "z"), ("d3", 0, "q")], "day string, part long, content_key string")

@@ -5,15 +5,22 @@ found first. Then the corpus says how much each word near such a value tells
 about it: with n documents, n(e) with the value, n(t) with the word and n(e, t)
 with the word next to the value, the value carries log(n / n(e)) bits and the
 word gives away PMI(e, t) = log(n * n(e, t) / (n(e) * n(t))) of them. Where the
-share reaches a threshold, the word is generalised in the documents that hold
-the value; where it is close to all, it is removed.
+share reaches a threshold, the word is generalised wherever it stands in the
+documents that hold the value; where it is close to all, it is removed.
+
+Spans are written before anything is worked out from them, so that no expression
+looks for them again at each of them: a text of many thousand values costs its
+length a few times, not once for each value and step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import written
 from millrace.session import scratch_path, spread
 
 KINDS = ("email", "ip", "card", "phone")
@@ -30,6 +37,7 @@ PATTERNS = {
 # What a text must hold at least for a kind to be looked for.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CONTEXT = 64  # characters looked at on either side of a value
+FOLDED = 128  # items of an array that one inner fold takes
 MIN_TEXTS = 3  # different texts in which word and value must meet
 GENERALISE, REMOVE = 0.9, 0.98  # shares of a value's information
 WORD = r"\p{L}++"
@@ -41,16 +49,37 @@ def located(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(text, pattern, -1)
     steps = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["value"])
-        here = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(acc["out"], empty), here).alias("out"))
+        return F.struct(end.alias("at"), F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")).alias("made"))
+
+    return F.when(F.size(found) > 0, _folded(steps, step, "struct<start:int,end:int,value:string>")["out"]).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _folded(items: Column, step: Callable[[Column, Column], Column], made: str) -> Column:
+    """``at`` and ``out`` of a fold from ``at`` 0: ``step(acc, item)`` gives the next ``at`` and what is ``made`` of the item.
+
+    Items go in blocks, so that the growing array is copied once a block and not once an item.
+    """
+    empty = F.array().cast(f"array<{made}>")
+    # Bound to a variable: in the function of each block the expression itself would be worked out anew.
+    blocks = _bound(items, lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / FOLDED).cast("int")), lambda k: F.slice(own, k * FOLDED + 1, FOLDED)))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(empty)
+    def add(acc: Column, x: Column) -> Column:
+        return _bound(step(acc, x), lambda new: F.struct(new["at"].alias("at"), F.concat(acc["out"], F.array(new["made"])).alias("out")))
+
+    def block(acc: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), add)
+        return _bound(inner, lambda new: F.struct(new["at"].alias("at"), F.concat(acc["out"], new["out"]).alias("out")))
+
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), block)
 
 
 def digits(value: Column) -> Column:
@@ -91,17 +120,25 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _context(text: Column, spans: Column) -> Column:
-    """Words next to each span, with the value they stand beside. Windows end at the next span; cut words are left out."""
-    line = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+def _line(spans: Column) -> Column:
+    """Spans in the order of the text."""
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
+
+
+def _entity(kind: Column, value: Column) -> Column:
+    return F.concat_ws(":", kind.cast("string"), F.lower(value))
+
+
+def _context(text: Column, line: Column) -> Column:
+    """Words next to each span of a written ``line``, with the value they stand beside. Windows end at the next span; cut words are left out."""
     n = F.size(line)
 
-    def side(s: Column, window: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
-        size = F.length(window)
-        inner = F.filter(located(window, WORD), lambda w: ~(cut_left & (w["start"] == 0)) & ~(cut_right & (w["end"] == size)))
-        return F.transform(inner, lambda w: F.struct(
-            F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("entity"), F.lower(w["value"]).alias("term"),
-            (offset + w["start"]).alias("start"), (offset + w["end"]).alias("end")))
+    def side(s: Column, window: Column, cut_left: Column, cut_right: Column) -> Column:
+        def words(own: Column) -> Column:
+            inner = F.filter(located(own, WORD), lambda w: ~(cut_left & (w["start"] == 0)) & ~(cut_right & (w["end"] == F.length(own))))
+            return F.transform(inner, lambda w: F.struct(_entity(s["kind"], s["value"]).alias("entity"), F.lower(w["value"]).alias("term")))
+
+        return _bound(window, words)
 
     def around(s: Column, k: Column) -> Column:
         before = F.when(k > 0, F.get(line, k - 1)["end"]).otherwise(F.lit(0))
@@ -109,8 +146,8 @@ def _context(text: Column, spans: Column) -> Column:
         left = F.greatest(before, s["start"] - CONTEXT)
         right = F.least(after, s["end"] + CONTEXT)
         return F.concat(
-            side(s, F.substring(text, left + 1, F.greatest(F.lit(0), s["start"] - left)), left, left > before, F.lit(False)),
-            side(s, F.substring(text, s["end"] + 1, F.greatest(F.lit(0), right - s["end"])), s["end"], F.lit(False), right < after))
+            side(s, F.substring(text, left + 1, F.greatest(F.lit(0), s["start"] - left)), left > before, F.lit(False)),
+            side(s, F.substring(text, s["end"] + 1, F.greatest(F.lit(0), right - s["end"])), F.lit(False), right < after))
 
     return F.flatten(F.transform(line, around))
 
@@ -118,33 +155,37 @@ def _context(text: Column, spans: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """Base spans of every row (``doc_id``, ``key``, ``spans``) and words that give a value away (``key``, ``terms``: start, end, share).
 
-    ``key`` stands for the text. What the patterns find is written once to the
-    shared folder, as are the contexts, which only texts with a value have.
+    ``key`` stands for the text. What the patterns find is written to the shared
+    folder, with the text where there is a value in it, and so are the words
+    around the values.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "private")
     source = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")))
-    (source.withColumn("spans", base_spans(F.col("text")))
-     .select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"), "spans",
-             F.when(F.size("spans") > 0, _context(F.col("text"), F.col("spans"))).alias("context"))
-     .write.parquet(f"{folder}/found"))
-    found = spark.read.parquet(f"{folder}/found")
+    found = written(source.withColumn("spans", base_spans(F.col("text")))
+                    .select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), f"{folder}/found")
     total = found.count()
-    near = found.where(F.size("context") > 0).select("key", F.explode("context").alias("c")).select("key", "c.*")
+    holding = found.where("text IS NOT NULL")
+    lines = written(spread(holding.select("key", "text", _line(F.col("spans")).alias("line"))), f"{folder}/lines")
+    near = written(lines.select("key", F.array_distinct(_context(F.col("text"), F.col("line"))).alias("context")).where(F.size("context") > 0), f"{folder}/near")
     words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}]+"))
     held = source.select(F.explode(words).alias("term")).where("term != ''").groupBy("term").agg(F.count("*").alias("n_term"))
-    values = (found.where(F.size("spans") > 0).select("key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))).alias("entity"))
-              .groupBy("entity").agg(F.count("*").alias("n_entity")))
+    named = holding.select("key", F.explode(F.array_distinct(F.transform("spans", lambda s: _entity(s["kind"], s["value"])))).alias("entity"))
+    values = named.groupBy("entity").agg(F.count("*").alias("n_entity"))
     # Once a row and once a text: copies weigh in the shares as in the other counts, but are one witness.
-    rows = found.where(F.size("context") > 0).select("key", F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
+    rows = near.select("key", F.explode("context").alias("p"))
     pairs = (rows.groupBy("p.entity", "p.term", "key").agg(F.count("*").alias("n")).groupBy("entity", "term")
              .agg(F.sum("n").alias("n_both"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= min_texts))
     n = F.lit(float(max(total, 1)))
     told = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
-    giving = (pairs.join(values, "entity").join(held, "term").withColumn("share", told).where(F.col("share") >= generalise).select("entity", "term", "share"))
-    terms = (near.join(giving, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
-             .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms")))
-    return found.select("doc_id", "key", "spans"), terms
+    giving = written(pairs.join(values, "entity").join(held, "term").withColumn("share", told).where(F.col("share") >= generalise).select("entity", "term", "share"), f"{folder}/giving")
+    # Each text that holds the value: all places of its words there.
+    told_in = named.distinct().join(giving, "entity").groupBy("key", "term").agg(F.max("share").alias("share"))
+    asked = told_in.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("asked"))
+    texts = lines.join(asked, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
+    placed = F.filter(located(F.col("text"), WORD), lambda w: F.map_contains_key("asked", F.lower(w["value"])))
+    terms = texts.select("key", F.transform(placed, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("asked", F.lower(w["value"])).alias("share"))).alias("terms"))
+    return found.select("doc_id", "key", "spans"), terms.where(F.size("terms") > 0)
 
 
 def _joined(kinds: Column) -> Column:
@@ -175,30 +216,30 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_t
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS,
           generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with every base span replaced by ``<EMAIL>``, ``<IP>``, ``<CARD>``, ``<PHONE>``, words that give a value
-    away by ``<TERM>``, and those that tell nearly all of it removed. All columns stay; texts without spans stay as they
-    are, null ones null. Where spans of two kinds overlap, the first in the text is replaced and the rest of the other goes.
+    away by ``<TERM>``, and those that tell nearly all of it removed. All columns stay, whatever their names; texts without
+    spans stay as they are, null ones null; repeated rows are each cleaned; an empty table stays empty. Where spans of two
+    kinds overlap, the first in the text is replaced and the rest of the other goes.
     """
     _, terms = find(docs, id_col, text_col, min_texts, generalise)
-    columns = docs.columns
-    text = F.col(f"`{text_col}`")
-    marked = spread(docs).withColumn("_spans", F.when(text.isNotNull(), base_spans(text)).otherwise(F.array().cast(SPAN)))
-    plain = marked.where(F.size("_spans") == 0).select(*(f"`{c}`" for c in columns))
+    # All columns travel in one, so that none can clash.
+    packed = spread(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    marked = packed.withColumn("spans", F.when(F.col("text").isNotNull(), base_spans(F.col("text"))).otherwise(F.array().cast(SPAN)))
+    plain = marked.where(F.size("spans") == 0).select("row.*")
     named = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    base = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(named, s["kind"]).alias("mark")))
-    extra = F.transform(F.coalesce(F.col("_terms"), F.array().cast("array<struct<start:int,end:int,share:double>>")),
+    base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(named, s["kind"]).alias("mark")))
+    held = written(marked.where(F.size("spans") > 0).select("row", F.md5(F.col("text").cast("binary")).alias("key"), base.alias("base")), scratch_path(docs.sparkSession, "held"))
+    extra = F.transform(F.coalesce(F.col("terms"), F.array().cast("array<struct<start:int,end:int,share:double>>")),
                         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= remove, "").otherwise("<TERM>").alias("mark")))
-    every = F.array_sort(F.concat(base, extra))
+    text = F.col("row")[text_col]
 
     def put(acc: Column, s: Column) -> Column:
         between = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.concat(acc["out"], F.array(F.when(s["start"] >= acc["at"], F.concat(between, s["mark"])).otherwise(""))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(every, start, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    held = (marked.where(F.size("_spans") > 0).withColumn("_key", F.md5(text.cast("binary")))
-            .join(terms.select(F.col("key").alias("_key"), F.col("terms").alias("_terms")), "_key", "left"))
-    return plain.unionByName(held.withColumn("_done", done).select(*(F.col("_done").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(between, s["mark"])).otherwise("").alias("made"))
+
+    folded = _folded(F.array_sort(F.concat("base", extra)), put, "string")
+    done = _bound(folded, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    cleaned = held.join(terms, "key", "left").select(*(done.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+    return plain.unionByName(cleaned)
 
 
 __all__ = ["clean", "find", "spans"]

@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import time
 
 from millrace.llm import sanitise, url_filter
 from tests.llm.helpers import frame, odd_rows, prose
@@ -53,6 +54,22 @@ def test_words_that_give_a_value_away(spark):
     assert "<EMAIL>" in clean[1] and "someone wrote from <EMAIL> today" in clean[0]
 
 
+def test_words_are_replaced_wherever_they_stand(spark):
+    rows = [(k, f"Quillfeather here. {prose(k, 60)} Quillfeather wrote from ann.b@example.com today {prose(k + 500, 60)} yours, quillfeather") for k in range(6)]
+    rows += [(100 + k, f"{prose(k + 900, 60)} someone wrote from home today") for k in range(200)]
+    clean = {r.doc_id: r.text for r in sanitise.clean(frame(spark, rows)).collect()}
+    assert not any("uillfeather" in t for t in clean.values()) and all("<EMAIL>" in clean[k] for k in range(6))
+
+
+def test_a_text_of_twenty_thousand_values(spark):
+    text = " ".join(f"u{k}@mail{k % 50}.example" for k in range(20_000))
+    started = time.perf_counter()
+    row = sanitise.spans(frame(spark, [(1, text), (2, "nothing")])).where("doc_id = 1").first()
+    assert row.n_email == 20_000 and row.base_sha256 == hashlib.sha256(",".join(base(text)).encode()).hexdigest()
+    assert sanitise.clean(frame(spark, [(1, text)])).first().text == " ".join(["<EMAIL>"] * 20_000)
+    assert time.perf_counter() - started < 300
+
+
 def test_clean_keeps_rows_and_columns(spark):
     rows = [*odd_rows(), (50, "call +1 (017) 555-7713 or 4539578763621486 now"), (51, "+4539578763621486")]
     docs = frame(spark, rows)

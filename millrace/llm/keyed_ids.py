@@ -40,6 +40,7 @@ KEYS_PER_BUCKET = 200_000
 GAMMA = 2.0  # bits per key and level of the hash
 MOST_LEVELS = 64  # keys still together then share their hash: other bits are taken
 PACK_CHARS, BATCH_PACKS, GATHERED, ENCODED_BYTES = 4096, 32, 1 << 20, 24 << 20
+MARKS = ".,;:!?"
 _LOWER_WS = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the tokenizers
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -52,13 +53,24 @@ def _store(address: str):
 
 # ---------------------------------------------------------------- encoding
 
+def _gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The ids of the coded words one after the other; ``flat`` has those of each word, ``sizes`` how many."""
+    starts, parts = np.cumsum(sizes) - sizes, [flat[:0]]
+    for k in range(0, len(codes), GATHERED):
+        some = codes[k : k + GATHERED]
+        n = sizes[some]
+        parts.append(flat[np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    return np.concatenate(parts)
+
+
 class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file whose pattern drops white space.
 
     Such a text is its words one after the other. The different words of some
     texts are found in Arrow and encoded in packs by the library, and the ids
-    of the texts are gathered by offsets. Where the file lowers letters, ASCII letters are lowered first:
-    fewer different words remain.
+    of the texts are gathered by offsets. Where the file lowers letters, ASCII
+    letters are lowered first, and where it splits marks from a word before
+    them, a word and its last marks are encoded apart: fewer different words remain.
     """
 
     def __init__(self, path: str):
@@ -71,6 +83,7 @@ class WordEncoder:
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = self._one("a b") == self._one("a") + self._one("b") and not any(map(str.isspace, "".join(added)))
         self.lowers = all(self._one(c.upper()) == self._one(c) for c in ("a", "z", "word"))
+        self.splits = all(self._one(x + c) == self._one(x) + self._one(c) for c in (*MARKS, MARKS) for x in ("a", "word", "z"))
         # Texts with these go the plain way: white space to Python only, and strings that may be added tokens.
         self.odd = "[" + _LOWER_WS + "]" + "".join("|" + re.escape(x[:2]) for x in sorted(added))
 
@@ -99,6 +112,22 @@ class WordEncoder:
                 ids.append(np.array(got.ids, f"<u{self.width}"))
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_packed``; words that end in marks share the ids of what is before them."""
+        if not self.splits or not len(words):
+            return self._packed(words.to_pylist())
+        trimmed = pc.utf8_rtrim(words, characters=MARKS)
+        apart = pc.and_(pc.less(pc.binary_length(trimmed), pc.binary_length(words)), pc.match_substring_regex(trimmed, "[A-Za-z]$"))
+        which = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        some = pa.array(which)
+        ends = [w[len(c):] for w, c in zip(words.take(some).to_pylist(), trimmed.take(some).to_pylist())]
+        pieces = pa.concat_arrays([pc.if_else(apart, trimmed, words), pa.array(["", *ends], words.type)]).dictionary_encode()
+        places = pieces.indices.to_numpy(zero_copy_only=False)
+        flat, sizes = self._packed(pieces.dictionary.to_pylist())
+        pairs = np.full((len(words), 2), places[len(words)])  # each word as its core and its marks, mostly none
+        pairs[:, 0], pairs[which, 1] = places[:len(words)], places[len(words) + 1:]
+        return _gathered(flat, sizes, pairs.ravel()), sizes[pairs].sum(axis=1)
+
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         if not self.by_word:
@@ -108,14 +137,8 @@ class WordEncoder:
         lists = pc.utf8_split_whitespace(pc.ascii_lower(plain) if self.lowers else plain)
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        flat, sizes = self._packed(coded.dictionary.to_pylist())
-        starts = np.cumsum(sizes) - sizes
-        parts = [flat[:0]]
-        for k in range(0, len(codes), GATHERED):
-            some = codes[k : k + GATHERED]
-            n = sizes[some]
-            parts.append(flat[np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        ids = np.concatenate(parts)
+        flat, sizes = self._distinct(coded.dictionary)
+        ids = _gathered(flat, sizes, codes)
         ends = np.concatenate([[0], np.cumsum(sizes[codes])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         out = [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():

@@ -185,7 +185,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_te
     texts = lines.join(asked, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))
     placed = F.filter(located(F.col("text"), WORD), lambda w: F.map_contains_key("asked", F.lower(w["value"])))
     terms = texts.select("key", F.transform(placed, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("asked", F.lower(w["value"])).alias("share"))).alias("terms"))
-    return found.select("doc_id", "key", "spans"), terms.where(F.size("terms") > 0)
+    # Written, so that the join of the rows splits a text of many copies.
+    return found.select("doc_id", "key", "spans"), written(terms.where(F.size("terms") > 0), f"{folder}/terms")
 
 
 def _joined(kinds: Column) -> Column:

@@ -94,6 +94,59 @@ def state_holidays(years: DataFrame, rules: Sequence[tuple] = STATE_RULES, share
     keys = ["date"] if shared_dates else ["date", "level"]
     return first_by(others, keys, [F.col("level"), F.col("holiday_name")]).select("level", "year", "date", "holiday_name")
 
+def easter(year: Column) -> Column:
+    """Western Easter Sunday of a year, by whole-number arithmetic on the column (valid from 1583 on)."""
+    y = year.cast("int")
+    century = F.floor(y / 100).cast("int")
+    golden = y % 19
+    skipped = century - F.floor(century / 4).cast("int")
+    moon = (skipped - F.floor((8 * century + 13) / 25).cast("int") + 19 * golden + 15) % 30
+    full = moon - F.when((moon == 29) | ((moon == 28) & (golden > 10)), 1).otherwise(0)  # days from 21 March to the full moon
+    after = (y + F.floor(y / 4).cast("int") + full + 2 - skipped) % 7
+    return F.date_add(F.make_date(y, F.lit(3), F.lit(28)), (full - after).cast("int"))
+
+
+RULE_TABLE = "level string, holiday_name string, kind string, month int, weekday string, n int, shift int, since int, until int"
+
+
+def rule_dates(years: DataFrame, rules: DataFrame) -> DataFrame:
+    """(level, year, date, holiday_name, kind) of a table of rules, one row per rule and year in which it holds.
+
+    Columns of ``rules`` are those of ``RULE_TABLE``. ``kind`` is ``day`` (day
+    ``n`` of ``month``), ``nth`` (``n``-th ``weekday`` of ``month``), ``last``
+    (last ``weekday`` of ``month``), ``easter`` (Easter Sunday) or ``election``
+    (Tuesday after the first Monday of November, in every ``n``-th year; null:
+    every year). ``shift`` days are added (null: 0). ``since`` and ``until``
+    bound the years (null: open). Rules of an unknown kind, and days that a
+    year does not have, give no row. Rules meet years on the year, so there is
+    no product of all rules with all years to filter.
+    """
+    reach = years.agg(F.min("year").alias("low"), F.max("year").alias("high"))
+    low, high = reach.select("low").scalar(), reach.select("high").scalar()
+    begin, end = F.greatest(F.coalesce("since", low), low), F.least(F.coalesce("until", high), high)
+    held = rules.withColumn("year", F.explode(F.when(begin <= end, F.sequence(begin, end)))).join(years.select("year").distinct(), "year")
+    year, first = F.col("year"), F.expr("make_date(year, month, 1)")
+    november = F.next_day(F.make_date(year, F.lit(10), F.lit(31)), "MON")
+    day = (
+        F.when(F.col("kind") == "day", F.expr("CASE WHEN n BETWEEN 1 AND day(last_day(make_date(year, month, 1))) THEN make_date(year, month, n) END"))
+        .when(F.col("kind") == "nth", F.date_add(F.expr("next_day(date_sub(make_date(year, month, 1), 1), weekday)"), (7 * (F.col("n") - 1)).cast("int")))
+        .when(F.col("kind") == "last", F.expr("next_day(date_sub(last_day(make_date(year, month, 1)), 7), weekday)"))
+        .when(F.col("kind") == "easter", easter(year))
+        .when((F.col("kind") == "election") & (year % F.coalesce("n", F.lit(1)) == 0), F.date_add(november, 1))
+    )
+    day = F.when((F.col("kind") != "nth") | (F.month(day) == F.month(first)), day)
+    return (
+        held.withColumn("date", F.date_add(day, F.coalesce("shift", F.lit(0)))).filter(F.col("date").isNotNull())
+        .select("level", F.year("date").alias("year"), "date", "holiday_name", "kind")
+    )
+
+
+def state_holidays_of(years: DataFrame, rules: DataFrame, shared_dates: bool = True) -> DataFrame:
+    """As ``state_holidays``, with the rules of a table such as a file of all states; a fixed date on a weekend is not moved."""
+    others = rule_dates(years, rules).join(federal_holidays(years).select("date"), "date", "left_anti")
+    keys = ["date"] if shared_dates else ["date", "level"]
+    return first_by(others, keys, [F.col("level"), F.col("holiday_name")]).select("level", "year", "date", "holiday_name")
+
 
 def orders_on(days: DataFrame, df: DataFrame, moment: str) -> DataFrame:
     """The calendar rows with the count of table rows on each date."""

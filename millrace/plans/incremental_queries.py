@@ -257,6 +257,38 @@ def _(t):
 def _(t):
     return cal.orders_on(cal.state_holidays(cal.years_of(t.orders, "o_orderdate"), shared_dates=False), t.orders, "o_orderdate")
 
+# Rules of states as a table of the shape of ``calendar.RULE_TABLE``; a full file of all states takes its place.
+STATE_TABLE = [
+    ("CT", "Good Friday", "easter", None, None, None, -2, None, None),
+    ("DE", "Good Friday", "easter", None, None, None, -2, None, None),
+    ("DE", "Election Day", "election", None, None, 2, None, None, None),
+    ("LA", "Mardi Gras", "easter", None, None, None, -47, 1857, None),
+    ("NV", "Nevada Day", "last", 10, "FRI", None, None, 2000, None),
+    ("TX", "Friday After Thanksgiving", "nth", 11, "THU", 4, 1, None, None),
+    ("UT", "Pioneer Day", "day", 7, None, 24, None, 1849, None),
+]
+# Easter here by the other classic rule, which carries the leap corrections of the century as divisions.
+EASTER_SQL = """
+e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM years),
+e2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM e1),
+e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM e2),
+e4 AS (SELECT *, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS m FROM e3),
+easter AS (SELECT y, make_date(y::INTEGER, (m // 31)::INTEGER, (m % 31 + 1)::INTEGER) AS d FROM e4)"""
+NOVEMBER_TUESDAY = "month(d) = 11 AND isodow(d) = 2 AND day(d) BETWEEN 2 AND 8"
+RULED = f"""
+ruled AS (SELECT 'CT' AS level, d - 2 AS date, 'Good Friday' AS holiday_name FROM easter UNION ALL SELECT 'DE', d - 2, 'Good Friday' FROM easter
+  UNION ALL SELECT 'DE', d, 'Election Day' FROM days WHERE {NOVEMBER_TUESDAY} AND year(d) % 2 = 0 UNION ALL SELECT 'LA', d - 47, 'Mardi Gras' FROM easter
+  UNION ALL SELECT 'NV', d, 'Nevada Day' FROM days WHERE month(d) = 10 AND isodow(d) = 5 AND day(d) > 24 AND year(d) >= 2000
+  UNION ALL SELECT 'TX', d, 'Friday After Thanksgiving' FROM days WHERE month(d) = 11 AND isodow(d) = 5 AND day(d) BETWEEN 23 AND 29
+  UNION ALL SELECT 'UT', d, 'Pioneer Day' FROM days WHERE month(d) = 7 AND day(d) = 24),
+states AS (SELECT level, year(date)::INTEGER AS year, date::DATE AS date, holiday_name FROM ruled WHERE year(date) IN (SELECT y FROM years))"""
+
+
+@query("C2_state_rules_of_a_table", f"WITH {days_sql(0)}, {FEDERAL}, {EASTER_SQL.strip()}, {RULED.strip()} {WITH_ROWS.format(source=OWNED.format(keys='date'))}")
+def _(t):
+    rules = t.spark.createDataFrame(STATE_TABLE, cal.RULE_TABLE)
+    return cal.orders_on(cal.state_holidays_of(cal.years_of(t.orders, "o_orderdate"), rules), t.orders, "o_orderdate")
+
 
 @query("C3_holidays_of_a_year", f"""
 WITH {days_sql(0)}, {FEDERAL} SELECT level, year, date, holiday_name FROM federal WHERE year = 1999""")

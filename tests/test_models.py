@@ -253,3 +253,10 @@ def test_auc_with_ties(spark):
 def test_ensemble_tie_goes_by_probability(spark):
     df = spark.createDataFrame([(1, 60.0), (1, 45.0), (2, 51.0), (2, 20.0), (3, 80.0), (3, 70.0)], "i int, p double")
     assert {r.i: r.final_vote for r in ag.ensemble_vote(df, "i", "p").collect()} == {1: 1, 2: 0, 3: 1}
+
+
+def test_ensemble_vote_does_not_depend_on_the_order_of_summation(spark):
+    """A probability on the cut counts as no vote, and a mean on a rounding border goes up, whatever the last bits say."""
+    df = spark.createDataFrame([(1, 50.00000000000001), (1, 50.0), (1, 49.99999999999999), (2, 0.1234565 - 3e-17), (2, 0.1234565 - 3e-17)], "i int, p double")
+    got = {r.i: (r.mean_vote, r.mean_probability, r.final_vote) for r in ag.ensemble_vote(df, "i", "p").collect()}
+    assert got == {1: (0.0, 50.0, 0), 2: (0.0, 0.123457, 0)}

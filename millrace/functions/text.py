@@ -19,6 +19,7 @@ SPACES = r"[\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\
 
 # A character reference: numeric, or a name of up to 32 characters, with or without its semicolon.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+CLOSED_REFERENCE = REFERENCE.replace(";?", ";")
 # Names that count without a semicolon, longest first, so that the longest one that begins a reference is found.
 _OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 _REPLACEMENT = "\ufffd"
@@ -37,21 +38,20 @@ def _named(name: Column) -> Column:
     return F.try_element_at(F.get(buckets, (F.crc32(name.cast("binary")) % _BUCKETS).cast("int")), name)
 
 
-def unescape(column: Column) -> Column:
-    """Resolve character references in one pass: what comes out of one is never read as another."""
-    references = F.regexp_extract_all(column, F.lit(REFERENCE), F.lit(0))
-    resolved = F.zip_with(F.split(column, REFERENCE, -1), references, lambda gap, r: F.concat(gap, F.when(r.isNull(), "").otherwise(_resolve(r))))
+def unescape(column: Column, closed: bool = False) -> Column:
+    """Resolve character references in one pass: what comes out of one is never read as another.
+    With ``closed`` only those that end in a semicolon count."""
+    pattern = CLOSED_REFERENCE if closed else REFERENCE
+    references = F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
+    resolved = F.zip_with(F.split(column, pattern, -1), references, lambda gap, r: F.concat(gap, F.when(r.isNull(), "").otherwise(_resolve(r, closed))))
     return F.when(F.contains(column, F.lit("&")), F.array_join(resolved, "")).otherwise(column)
 
 
-def _resolve(reference: Column) -> Column:
+def _resolve(reference: Column, closed: bool) -> Column:
     body = F.substring(reference, 2, 1 << 30)
     opening = F.regexp_extract(body, f"^(?:{_OPEN_NAMES})", 0)
-    named = F.coalesce(
-        _named(body),
-        F.when(opening != "", F.concat(_named(opening), F.substring(body, F.length(opening) + 1, F.lit(1 << 30)))),
-        reference,
-    )
+    begun = F.when(opening != "", F.concat(_named(opening), F.substring(body, F.length(opening) + 1, F.lit(1 << 30))))
+    named = F.coalesce(_named(body), *([] if closed else [begun]), reference)
     hexed = F.regexp_extract(body, "^#[xX]0*([0-9a-fA-F]*)", 1)
     digits = F.regexp_extract(body, "^#0*([0-9]*)", 1)
     # Nothing beyond seven digits is a character.
@@ -81,9 +81,9 @@ def _character(hex_code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(hex_code, 8, "0")), "UTF-32")
 
 
-def clean_html(column: Column, max_chars: int | None = None) -> Column:
-    """Tags to spaces, references resolved, white space squeezed, trimmed."""
-    text = unescape(F.regexp_replace(F.coalesce(column, F.lit("")), r"<[^>]+>", " "))
+def clean_html(column: Column, max_chars: int | None = None, closed: bool = False) -> Column:
+    """Tags to spaces, references resolved (``closed``: only those with a semicolon), white space squeezed, trimmed."""
+    text = unescape(F.regexp_replace(F.coalesce(column, F.lit("")), r"<[^>]+>", " "), closed)
     text = F.trim(F.regexp_replace(text, SPACES, " "))
     return text if max_chars is None else F.substring(text, 1, max_chars)
 

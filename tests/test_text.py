@@ -140,3 +140,16 @@ def test_unescape_equals_the_standard_library(spark):
 def test_bullets_lose_any_white_space(spark):
     df = spark.createDataFrame([("\t- item\r",), ("Use `x`",), ("` - a`",), ("3) three ",)], "t string")
     assert [r[0] for r in df.select(tx.without_bullet(F.col("t"))).collect()] == ["item", "Use `x`", "a`", "three"]
+
+
+def test_clean_html_of_closed_references_as_its_sql_reads_them(spark, tmp_path):
+    import duckdb
+    from __spark_entry__ import oracle_sql, queries
+
+    rows = [(1, "<title>und&amp;&amp</title><p>&amp &copy; &copy 2</p>"), (2, "&ampersand &amp;quot; &middot;&quot;"), (3, "a&amp")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, queries()["F_clean_html"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(oracle_sql()["F_clean_html"]).fetchall())
+    assert one(spark, "&notit; &#65 &#65;&notin;", lambda c: tx.unescape(c, closed=True)) == "&notit; &#65 A∉"

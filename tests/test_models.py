@@ -260,3 +260,19 @@ def test_ensemble_vote_does_not_depend_on_the_order_of_summation(spark):
     df = spark.createDataFrame([(1, 50.00000000000001), (1, 50.0), (1, 49.99999999999999), (2, 0.1234565 - 3e-17), (2, 0.1234565 - 3e-17)], "i int, p double")
     got = {r.i: (r.mean_vote, r.mean_probability, r.final_vote) for r in ag.ensemble_vote(df, "i", "p").collect()}
     assert got == {1: (0.0, 50.0, 0), 2: (0.0, 0.123457, 0)}
+
+
+def test_queries_travel_once_a_tile_some_at_a_time(monkeypatch):
+    """Where nothing can be excluded, a query is sent to every tile, not to every block, and never in one piece for all."""
+    monkeypatch.setattr(nb, "SENT_ROWS", 5)
+    rows = np.array([3, 4, 2, 25, 1, 9, 1])
+    about = nb._Blocks(np.zeros((2, 3)), np.arange(7), rows * 0.0, rows * 0.0, rows, 10, "euclidean", 2.0)
+    assert list(zip(about.tile.tolist(), about.cuts.tolist())) == [(0, 1), (0, 1), (0, 1), (1, 3), (4, 1), (4, 1), (5, 1)]
+    chosen = np.ones((4, 7), bool)
+    chosen[1] = [0, 1, 0, 0, 0, 0, 1]
+    chosen[2] = False
+    frames = list(nb._sent(np.array([10, 11, 12, 13]), [np.full(3, float(i)) for i in range(4)], chosen, about))
+    assert max(map(len, frames)) == 5
+    sent = [(q, t, b.tolist(), v[0]) for f in frames for t, q, v, b in f.itertuples(index=False)]
+    each = [(0, [0, 1, 2]), (1, [3]), (2, [3]), (3, [3]), (4, [4, 5]), (5, [6])]
+    assert sent == [(10, t, b, 0.0) for t, b in each] + [(11, 0, [1], 1.0), (11, 5, [6], 1.0)] + [(13, t, b, 3.0) for t, b in each]

@@ -10,12 +10,14 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 SEPARATORS = ("\n\n", "\n", " ")
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 1_000_000
+READ_ROWS = 16
 
 
 def borders(text: str, size: int, separators: Sequence[str] = SEPARATORS, hard: bool = False) -> list[int]:
@@ -60,24 +62,35 @@ def packed(ends: Sequence[int], size: int, overlap: int) -> Iterator[tuple[int,
         i = min(j, max(bisect_left(ends, ends[j] - overlap, i, j + 1), bisect_left(ends, ends[j + 1] - size, i, j + 1)))
 
 
-def _rows(df: DataFrame, identifier: str, text: str, schema: StructType, made: Callable[[str], Iterator[tuple]]) -> DataFrame:
-    """Rows that ``made`` yields for each text, behind its identifier; a null text is empty."""
-    names = [f.name for f in schema.fields]
-    plain = df.select(F.col(identifier).alias(names[0]), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def _batches(batches: Iterator[pa.RecordBatch], made: Callable[[str], Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows made of batches of (identifier, text), in batches of about BATCH_CHARS; READ_ROWS texts at a time are Python strings."""
+    rows, held = [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], field.type) for i, field in enumerate(schema)], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, held = [], 0
-        for batch in batches:
-            for key, whole in zip(batch[names[0]], batch["_text"]):
+    for batch in batches:
+        for at in range(0, batch.num_rows, READ_ROWS):
+            part = batch.slice(at, READ_ROWS)
+            for key, whole in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 for row in made(whole):
                     rows.append((key, *row))
                     held += 100 + sum(len(x) for x in row if isinstance(x, str))
                     if held > BATCH_CHARS:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield batch_of()
                         rows, held = [], 0
-        yield pd.DataFrame(rows, columns=names)
+    yield batch_of()
+
+
+def _rows(df: DataFrame, identifier: str, text: str, schema: StructType, made: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``made`` yields for each text, behind its identifier; a null text is empty."""
+    names = [f.name for f in schema.fields]
+    plain = df.select(F.col(identifier).alias(names[0]), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+
+    out = StructType([StructField(names[0], plain.schema[0].dataType), *schema.fields[1:]])
+    arrow = to_arrow_schema(out)
 
-    return plain.mapInPandas(run, StructType([StructField(names[0], plain.schema[0].dataType), *schema.fields[1:]]))
+    return plain.mapInArrow(lambda batches: _batches(batches, made, arrow), out)
 
 
 def separated_chunks(df: DataFrame, identifier: str, text: str, size: int = 500, overlap: int = 5,

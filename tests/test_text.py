@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
@@ -153,3 +154,12 @@ def test_clean_html_of_closed_references_as_its_sql_reads_them(spark, tmp_path):
     got = sorted(map(tuple, queries()["F_clean_html"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(oracle_sql()["F_clean_html"]).fetchall())
     assert one(spark, "&notit; &#65 &#65;&notin;", lambda c: tx.unescape(c, closed=True)) == "&notit; &#65 A∉"
+
+
+def test_pieces_leave_in_batches_of_about_a_million_characters():
+    """What a task holds does not grow with its texts: 400 texts of 1 MB of pieces in all come in one batch and leave in many."""
+    schema = pa.schema([("d", pa.int64()), ("piece", pa.string())])
+    texts = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(["\n".join([f"{i:03}" + "é" * 96] * 100) for i in range(400)])], ["d", "t"])
+    out = list(sp._batches(iter([texts]), lambda whole: ((x,) for x in whole.split("\n")), schema))
+    assert max(b.nbytes for b in out) < 2_500_000 and len(out) == 8
+    assert [(r["d"], r["piece"][:3]) for b in out for r in b.to_pylist()] == [(i, f"{i:03}") for i in range(400) for _ in range(100)]

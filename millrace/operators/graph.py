@@ -33,23 +33,24 @@ def edge_table(lines: DataFrame, orders: DataFrame, products: DataFrame, supplie
     live_lines = lines.join(live.select("product_id"), "product_id", "left_semi")
     line_id = F.concat_ws("_", F.lit("line"), F.col("order_id").cast("string"), F.col("product_id").cast("string"))
 
-    def edge(frame: DataFrame, name: str, src: Column, dst: Column) -> DataFrame:
-        return frame.select(F.lit(name).alias("edge"), src.alias("src"), dst.alias("dst"))
+    def edge(frame: DataFrame, name: str, keys: tuple[str, ...], src: Column, dst: Column) -> DataFrame:
+        # Kinds share no edge, and the keys say which edges are equal: what is hashed are their few bytes, not the names.
+        return frame.select(*keys).distinct().select(F.lit(name).alias("edge"), src.alias("src"), dst.alias("dst"))
 
     parts = [
-        edge(live, "part_of", prefixed("prod_", "product_id"), prefixed("ctg_", "category_id")),
-        edge(supplies.join(live.select("product_id"), "product_id", "left_semi"), "supplies",
+        edge(live, "part_of", ("product_id", "category_id"), prefixed("prod_", "product_id"), prefixed("ctg_", "category_id")),
+        edge(supplies.join(live.select("product_id"), "product_id", "left_semi"), "supplies", ("supplier_id", "product_id"),
              prefixed("suppl_", "supplier_id"), prefixed("prod_", "product_id")),
-        edge(orders, "orders", prefixed("cust_", "customer_id"), prefixed("ord_", "order_id")),
-        edge(lines, "comprised_of", prefixed("ord_", "order_id"), line_id),
-        edge(live_lines, "contains", line_id, prefixed("prod_", "product_id")),
-        edge(rating_counts, "has_number_of", prefixed("prod_", "product_id"),
+        edge(orders, "orders", ("customer_id", "order_id"), prefixed("cust_", "customer_id"), prefixed("ord_", "order_id")),
+        edge(lines, "comprised_of", ("order_id", "product_id"), prefixed("ord_", "order_id"), line_id),
+        edge(live_lines, "contains", ("order_id", "product_id"), line_id, prefixed("prod_", "product_id")),
+        edge(rating_counts, "has_number_of", ("product_id",), prefixed("prod_", "product_id"),
              F.concat(F.lit("rating_"), F.col("product_id").cast("string"))),
     ]
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
-    return table.distinct()
+    return table
 
 
 def graph_counts(nodes: dict[str, DataFrame], edges: DataFrame) -> DataFrame:

@@ -91,3 +91,17 @@ def test_discount_is_an_amount_and_equal_customers_collapse_in_the_quirk(spark):
 def test_ratings_sum_to_one(spark):
     totals = retail.ratings(sales(spark)).groupBy("customer_id").agg(F.sum("rating").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-12 for r in totals)
+
+
+def test_edges_are_told_apart_by_their_keys_before_they_are_named(spark):
+    lines = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (2, 8)], "order_id long, product_id long")
+    orders = spark.createDataFrame([(1, 5), (2, 5), (2, 5)], "order_id long, customer_id long")
+    products = spark.createDataFrame([(7, "a", 0), (8, "b", 1)], "product_id long, category_id string, discontinued int")
+    supplies = spark.createDataFrame([(3, 7), (3, 7), (3, 8)], "supplier_id long, product_id long")
+    table = graph.edge_table(lines, orders, products, supplies, spark.createDataFrame([(7,)], "product_id long"))
+    assert sorted(map(tuple, table.collect())) == [
+        ("comprised_of", "ord_1", "line_1_7"), ("comprised_of", "ord_2", "line_2_7"), ("comprised_of", "ord_2", "line_2_8"),
+        ("contains", "line_1_7", "prod_7"), ("contains", "line_2_7", "prod_7"), ("has_number_of", "prod_7", "rating_7"),
+        ("orders", "cust_5", "ord_1"), ("orders", "cust_5", "ord_2"), ("part_of", "prod_7", "ctg_a"), ("supplies", "suppl_3", "prod_7")]
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [order_id" in plan and "Aggregate [edge" not in plan

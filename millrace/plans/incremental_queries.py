@@ -179,18 +179,21 @@ def _(t):
     batch late. Keys expire while the stream runs; two rows at its end, which are dropped again, expire the rest."""
     source, target, checkpoint = (scratch_path(t.spark, f"stream-{x}") for x in ("source", "table", "state"))
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
-    rows = t.events.select("event_id", "ts", "user_id", "event_type", F.floor(seconds / WEEK).alias("week"))
+    rows = t.events.select("event_id", "ts", "user_id", "event_type")
     first = rows.agg(F.min(seconds)).first()[0]
     turn = F.floor((seconds - first) / (10 * 86_400)) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
-    turns = rows.select(turn.alias("turn")).distinct().agg(F.max("turn")).first()[0]
+    turns = rows.agg(F.max(turn)).first()[0]
+
+    def arrive(batch):
+        batch.write.mode("append").parquet(source)
+        streams.stream_first_writes_in_windows(streams.file_stream(t.spark, source), "ts", ["user_id"], ["event_id"], WEEK, "21 days", target, checkpoint)
+
     for k in range(turns + 1):
-        rows.where(turn == k).repartition(4).write.mode("append").parquet(f"{source}")
-        streams.stream_first_writes(streams.file_stream(t.spark, source), "ts", ["user_id", "week"], ["event_id"], WEEK, "21 days", target, checkpoint)
+        arrive(rows.where(turn == k))
     last = t.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(END).cast(t.events.schema["ts"].dataType).alias("ts"),
-                                   F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("long").alias("week"))
+                                   F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"))
     for _ in range(2):
-        last.write.mode("append").parquet(source)
-        streams.stream_first_writes(streams.file_stream(t.spark, source), "ts", ["user_id", "week"], ["event_id"], WEEK, "21 days", target, checkpoint)
+        arrive(last)
     return t.spark.read.parquet(target).where("event_id >= 0").select("event_id", "ts", "user_id", "event_type")
 
 

@@ -123,3 +123,28 @@ def stream_first_writes(events: DataFrame, moment: str, keys: Sequence[str], ord
     """``first_writes`` into a Parquet folder."""
     won = first_writes(events, moment, keys, order, hold_seconds, lateness)
     _run(won.writeStream.outputMode("append").format("parquet").option("path", target), checkpoint)
+
+
+def first_writes_in_windows(events: DataFrame, moment: str, keys: Sequence[str], order: Sequence[str], window_seconds: int, lateness: str) -> DataFrame:
+    """The earliest row of each key and fixed window of a stream, by moment and then by ``order`` (nulls last), once no earlier one can come.
+
+    Windows begin at multiples of ``window_seconds`` since 1970. State holds one row per key and window, kept by
+    Spark's own aggregate; the row is emitted when the watermark (newest moment less ``lateness``) passes the end of
+    the window. Rows of a window that has ended are dropped, as are rows without a moment. Null keys are one key.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in events.columns])
+    place = F.struct("_t", *[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    return (
+        events.where(F.col(moment).isNotNull())
+        .withColumn("_t", F.col(moment).cast("timestamp"))
+        .withWatermark("_t", lateness)
+        .groupBy(F.window("_t", f"{window_seconds} seconds"), *keys)
+        .agg(F.min_by(row, place).alias("_row"))
+        .select("_row.*")
+    )
+
+
+def stream_first_writes_in_windows(events: DataFrame, moment: str, keys: Sequence[str], order: Sequence[str], window_seconds: int, lateness: str, target: str, checkpoint: str) -> None:
+    """``first_writes_in_windows`` into a Parquet folder."""
+    won = first_writes_in_windows(events, moment, keys, order, window_seconds, lateness)
+    _run(won.writeStream.outputMode("append").format("parquet").option("path", target), checkpoint)

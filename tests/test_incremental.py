@@ -84,6 +84,29 @@ def test_stream_of_first_writes(spark, tmp_path):
     assert row.ts == day + dt.timedelta(hours=9, microseconds=7)
 
 
+def test_stream_of_first_writes_in_windows(spark, tmp_path):
+    """State is an aggregate of Spark's own, no Python call per key; late but earlier rows win, each window has its own row."""
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    day = dt.datetime(2024, 1, 1)
+
+    def run(*rows):
+        events(spark, tmp_path, "in", [(i, day + dt.timedelta(hours=h, microseconds=7), k) for i, h, k in rows])
+        stream = streams.file_stream(spark, source)
+        streams.stream_first_writes_in_windows(stream, "ts", ["kind"], ["id"], 3600 * 24, "12 hours", target, state)
+        read = spark.read.schema("id long, ts timestamp, kind string").parquet(target)
+        return sorted((r.id, r.kind) for r in read.collect() if r.id < 90)
+
+    assert run((1, 10, "a"), (10, 12, "b"), (9, 12, "b"), (5, 14, None), (11, 25, "a"), (12, 24, "a")) == []
+    assert run((6, 9, "a"), (7, 20, "b")) == []  # id 6 comes later but is earlier
+    run((90, 40, "z"))  # the watermark passes the first window
+    assert run((91, 41, "z"), (8, 8, "b")) == [(5, None), (6, "a"), (9, "b")]  # id 8 is behind the watermark
+    run((92, 140, "z"))
+    assert run((93, 141, "z")) == [(5, None), (6, "a"), (9, "b"), (12, "a")]
+    assert [r.ts for r in spark.read.parquet(target).collect() if r.id == 6] == [day + dt.timedelta(hours=9, microseconds=7)]
+    plan = streams.first_writes_in_windows(streams.file_stream(spark, source), "ts", ["kind"], ["id"], 3600 * 24, "12 hours")
+    assert "Pandas" not in plan._jdf.queryExecution().analyzed().toString()
+
+
 def test_changed_parts(spark):
     old = spark.createDataFrame([("d1", 0, "x"), ("d2", 0, "y")], "day string, part long, content_key string")
     new = spark.createDataFrame([("d1", 0, "x"), ("d2", 0, "z"), ("d3", 0, "q")], "day string, part long, content_key string")

@@ -163,3 +163,33 @@ def test_pieces_leave_in_batches_of_about_a_million_characters():
     out = list(sp._batches(iter([texts]), lambda whole: ((x,) for x in whole.split("\n")), schema))
     assert max(b.nbytes for b in out) < 2_500_000 and len(out) == 8
     assert [(r["d"], r["piece"][:3]) for b in out for r in b.to_pylist()] == [(i, f"{i:03}") for i in range(400) for _ in range(100)]
+
+
+def test_words_are_cut_once_for_counts_and_frequencies(spark):
+    """The counts are written and read twice; the join on the term hashes the frequencies, so nothing is sorted by term."""
+    docs = spark.createDataFrame([(1, "red green red _x 1a"), (2, ""), (3, None), (4, "the and"), (5, "Green blue")], "d int, t string")
+    weights = dx.tf_idf(docs, "d", "t")
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "shuffle_hash" in plan
+    assert sorted((r.d, r.term, r.n) for r in weights.collect()) == [(1, "green", 1), (1, "red", 2), (5, "blue", 1), (5, "green", 1)]
+    ranked = dx.keywords(weights, "d", 1).collect()
+    assert sorted((r.d, r.term, r["rank"]) for r in ranked) == [(1, "red", 1), (5, "blue", 1)]
+
+
+def test_sentences_are_scored_in_the_row_of_their_document(spark):
+    """More documents than are scored together; words cut by a chunk count only where the document has them whole."""
+    docs = spark.createDataFrame([(i, f"red w{i}x bluegreen. The and. green blue red!{'' if i % 2 else ' green'}", 0) for i in range(1200)], "d int, t string, other int")
+    weights = spark.createDataFrame([(i, t, w) for i in range(1200) if i != 7 for t, w in (("red", 0.1), ("blue", 0.000000007), ("green", 0.25 + i))], "d int, term string, tf_idf double")
+    pieces = F.array(F.lit(None).cast("string"), "t", F.lit(""), F.lit("bluegre. en"))
+    found = dx.sentence_scores(docs.repartition(2), "d", pieces, weights)
+    got = {(r.d, r.chunk, r.sentence): (r.text, r.score) for r in found.collect()}
+    want = {}
+    for i in range(1200):
+        if i != 7:
+            last = round(0.35 + i, 6)
+            want[i, 1, 0] = (f"red w{i}x bluegreen", 0.1)
+            want[i, 1, 2] = ("green blue red", last)
+            if i % 2 == 0:
+                want[i, 1, 3] = ("green", 0.25 + i)
+    assert got == want
+    assert "explode(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row per word

@@ -237,6 +237,19 @@ def test_k_means_follows_the_plain_loop(spark):
     assert [r.cluster for r in clusters.orderBy("row_id").collect()] == list(((points[:, None] - moved[None]) ** 2).sum(2).argmin(1))
 
 
+def test_centres_of_packed_blocks(spark, monkeypatch):
+    """Few wide blocks instead of a conversion of every vector at every step; the same through the exchange, and empty clusters stay."""
+    points, df = vectors(spark)
+    centres = [points[0].tolist(), points[1].tolist(), [1e6] * points.shape[1]]
+    assert nb._packed(df.coalesce(1), "vector").count() == 1
+    label = ((points[:, None] - np.array(centres)[None]) ** 2).sum(2).argmin(1)
+    want = [points[label == i].mean(0) if (label == i).any() else centres[i] for i in range(3)]
+    assert np.allclose(nb.updated_centres(df, "vector", centres), want)
+    monkeypatch.setattr(nb, "DRIVER_NUMBERS", 0)
+    monkeypatch.setattr(nb, "BLOCK_NUMBERS", points.shape[1] * 7)
+    assert np.allclose(nb.updated_centres(df, "vector", centres), want)
+
+
 def test_votes_prefer_the_smallest_label_on_a_tie(spark):
     found = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (2, 13)], "query_id long, row_id long")
     labels = spark.createDataFrame([(10, 5), (11, 3), (12, 7), (13, 7)], "row_id long, label int")
